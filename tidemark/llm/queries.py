@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid
+from tidemark.llm import bpe, fingerprint, langid, minhash, secrets
 from tidemark.plans.shared import table
 
 
@@ -42,4 +42,20 @@ def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(held, model).withColumn("held_out", crc_fold(3) == 1).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op8_langid": op8_langid}
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s.kind < 3)
+    count = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op8_langid": op8_langid}
