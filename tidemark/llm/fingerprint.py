@@ -61,10 +61,10 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     lows = heads.groupBy(block.alias("block")).agg(F.min("run").alias("low"))
     lows = lows.select("block", F.lead("low").over(Window.orderBy("block")).alias("above"), F.min("low").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
     up = heads.withColumn("block", block).withColumn("near", F.lead("run").over(Window.partitionBy("block").orderBy("run"))).join(F.broadcast(lows), "block")
-    up = up.select("run", F.col("doc_id").alias("head"), F.coalesce("near", "above", "lowest").alias("host"))
+    up = up.select(F.col("run").alias("from_run"), F.col("doc_id").alias("head"), F.coalesce("near", "above", "lowest").alias("host"))
     if heads.count() <= HEADS_BROADCAST:
         up = F.broadcast(up)
-    hosts = runs.join(up, (runs.run == up.run) & runs.doc_id.eqNullSafe(up["head"]), "left").select("doc_id", "text", runs.run, "host")
+    hosts = runs.join(up, (F.col("run") == F.col("from_run")) & F.col("doc_id").eqNullSafe(F.col("head")), "left").select("doc_id", "text", "run", "host")
     dealt = hosts.select("doc_id", "text", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("run"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("run"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("run"), F.lit(True).alias("guest"))))).alias("at"))
     order = Window.partitionBy("at.run").orderBy("at.guest", F.col("doc_id").desc_nulls_last(), "text")
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("not at.guest").select("doc_id", "text", "next_text")

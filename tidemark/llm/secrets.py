@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.shared import stored
+
 #: Kinds in the order in which spans with one start are listed.
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -90,8 +92,6 @@ def scan(docs: DataFrame) -> DataFrame:
     t = F.col("t")
     base = F.concat(spans_of(t, PATTERNS["assign"], 0, long_value), spans_of(t, PATTERNS["access"], 1), spans_of(t, PATTERNS["hex"], 2))
     scanned = rows.select("doc_id", F.xxhash64("t").alias("key"), base.alias("base"), spans_of(t, CANDIDATE, 3).alias("maybe"))
-    from tidemark.plans.shared import stored
-
     scanned = stored(scanned)
     known = scanned.select(F.explode("base").alias("s")).select(F.when(F.col("s.kind") == 0, F.regexp_extract("s.value", ASSIGN, 2)).otherwise(F.col("s.value")).alias("token"))
     known = known.groupBy(F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("token")).agg(F.lit(1).alias("n")).where("token != ''")
@@ -101,9 +101,9 @@ def scan(docs: DataFrame) -> DataFrame:
     maybe = scanned.where(F.size("maybe") > 0).select("doc_id", "key", "base", F.explode("maybe").alias("s"))
     maybe = maybe.where(~F.exists("base", lambda b: (b.start < F.col("s.stop")) & (F.col("s.start") < b.stop))).select("doc_id", "key", "s").distinct()
     scored = maybe.select(F.col("s.value").alias("token")).distinct().select("token", F.explode(bigrams(F.col("token"))).alias("pair")).join(F.broadcast(model), "pair").groupBy("token").agg(F.avg("llr").alias("lead")).where(F.col("lead") > LEAD)
-    added = maybe.join(scored, maybe["s"]["value"] == scored["token"]).groupBy("doc_id", "key").agg(F.collect_list("s").alias("added"))
-    joined = scanned.join(added, scanned.doc_id.eqNullSafe(added.doc_id) & (scanned.key == added.key), "left")
-    return joined.select(scanned.doc_id, sorted_spans(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))).alias("spans"))
+    added = maybe.join(scored, maybe["s"]["value"] == scored["token"]).groupBy(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key")).agg(F.collect_list("s").alias("added"))
+    joined = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key")), "left")
+    return joined.select("doc_id", sorted_spans(F.concat("base", F.coalesce("added", F.array().cast(SPAN)))).alias("spans"))
 
 
 def sorted_spans(spans: Column) -> Column:
