@@ -257,7 +257,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
 
     def in_blocks(batches):
         for (_, lo, hi), t in groups(batches, 3):
-            order = np.argsort(t.column("part").to_numpy(), kind="stable")
+            order = np.lexsort((t.column("doc_id").to_numpy(), t.column("part").to_numpy()))  # small ids first: blocks agree on their hubs
             sets = [np.frombuffer(t.column("hashes")[int(i)].as_py(), np.uint64) for i in order]
             doc = t.column("doc_id").to_numpy()[order]
             split = 0 if lo == hi else int((t.column("part").to_numpy() == lo).sum())
@@ -269,7 +269,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(doc[list(a)]), pa.array(doc[list(b)])], ["src", "dst"])
 
     hot = large.join(sets, ["doc_id", "k1"]).select("bucket", "left", "right", "part", "doc_id", "hashes").repartition("bucket", "left", "right").sortWithinPartitions("bucket", "left", "right").mapInArrow(in_blocks, "src long, dst long")
-    return small.union(hot)
+    return small.union(hot).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
