@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, minhash, secrets, toxicity
+from tidemark.llm import bpe, fingerprint, langid, linededup, minhash, secrets, toxicity
 from tidemark.plans.shared import table
 
 
@@ -46,6 +46,11 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "text", "lines_removed")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     known = docs.select("doc_id", "text").where(crc_fold(4) != 2).join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
@@ -65,4 +70,4 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op8_langid": op8_langid}
+QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op8_langid": op8_langid}
