@@ -21,7 +21,7 @@ from tidemark.plans.shared import stored
 #: Registers, registers to a band, base and rate of the exponential spacing, largest register value.
 REGISTERS, BAND, BASE, RATE, TOP = 128, 4, 1.001, 20.0, 65534
 #: Buckets over LARGE members are compared by blocks of about BLOCK members, on full sets.
-LARGE, BLOCK = 64, 256
+LARGE, BLOCK = 64, 512
 #: Likelihood ratio (natural log) against the least similarity at which a candidate is dropped.
 DROP = 10.0
 #: Word hashes kept in a worker; a full table is emptied.
@@ -205,9 +205,12 @@ def candidates(classes: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
             yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(regs))), batch.column("doc_id").take(pa.array(at)), batch.column("k1").take(pa.array(at))], ["bucket", "band", "doc_id", "k1"])
 
     rows = stored(classes.select("doc_id", "k1", "registers").mapInArrow(banded, "bucket long, band int, doc_id long, k1 long"))
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min("band").alias("band"), F.sum(F.xxhash64("doc_id", "k1").cast("decimal(38,0)")).alias("who")).where("members > 1")
+    # near copies meet in many bands; of buckets with the same members the first band's is enough
+    sizes = sizes.groupBy("members", "who").agg(F.min_by("bucket", "band").alias("bucket")).select("bucket", "members")
     rows = stored(rows.join(sizes, "bucket"))
-    few = rows.where(F.col("members") <= LARGE).join(classes.select("doc_id", "k1", "n_shingles", "registers"), ["doc_id", "k1"])
+    sketches = classes.select(F.col("doc_id").alias("of"), F.col("k1").alias("of_k1"), "n_shingles", "registers")
+    few = rows.where(F.col("members") <= LARGE).join(sketches, (F.col("doc_id") == F.col("of")) & (F.col("k1") == F.col("of_k1")))
 
     def compared(batches):
         for _, t in groups(batches, 1):
