@@ -43,6 +43,19 @@ def lexicon(labelled: DataFrame) -> DataFrame:
     return counts.select("term", odds.alias("weight"), "p").where(F.col("weight") >= ODDS).orderBy((F.col("weight") * F.ln("p")).desc(), "term").limit(TERMS).select("term", "weight")
 
 
+class Known(dict):
+    """What has been found for each word; a full table is emptied."""
+
+    def __init__(self, find):
+        self.find = find
+
+    def __missing__(self, word: str):
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        out = self[word] = self.find(word)
+        return out
+
+
 class Matcher:
     """Deterministic product of a lexicon trie with Levenshtein automata of one edit."""
 
@@ -61,7 +74,7 @@ class Matcher:
                     self.stem.append(-1)
                 at = self.next[at][c]
             (self.stem if t.endswith("*") else self.term)[at] = i
-        self.words: dict[str, tuple[int, bool] | None] = {}
+        self.known = Known(self.find)
         self.clear()
 
     def clear(self):
@@ -124,13 +137,6 @@ class Matcher:
         hits = [self.term[node] for node, edits in self.sets[s] if edits <= 1 and self.term[node] >= 0]
         return (max(hits, key=lambda i: self.weights[i]), False) if hits else None
 
-    def known(self, word: str) -> tuple[int, bool] | None:
-        if word not in self.words:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = self.find(word)
-        return self.words[word]
-
 
 def hits_of(text: str | None, matcher: Matcher) -> list[tuple[int, int, int, bool, bool]]:
     """(start, stop, term, exact, quoted) of each hit in a whole text. Quoted: between quotation marks on one
@@ -141,7 +147,7 @@ def hits_of(text: str | None, matcher: Matcher) -> list[tuple[int, int, int, boo
     if len(low) != len(text):
         low = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
     words, known, out = WORD.findall(low), matcher.known, []
-    found = [k for k, w in enumerate(words) if known(w)]
+    found = [k for k, w in enumerate(words) if known[w]]
     if not found:
         return []
     spans = [m.span() for m in WORD.finditer(low)]
@@ -150,20 +156,20 @@ def hits_of(text: str | None, matcher: Matcher) -> list[tuple[int, int, int, boo
         line = low.rfind("\n", 0, a) + 1
         marks = sum(low.count(q, line, a) for q in '"“”«»„')
         quoted = marks % 2 == 1 or any(w in REPORTING for w in words[max(0, k - CONTEXT) : k + CONTEXT + 1])
-        term, exact = known(words[k])
+        term, exact = known[words[k]]
         out.append((a, b, term, exact, quoted))
     return out
 
 
-def features(text: str | None, matcher: Matcher) -> np.ndarray:
-    """Summed and largest weights of plain exact, plain inexact and quoted hits, their density, and a constant."""
+def features(hits: list, size: int, matcher: Matcher) -> np.ndarray:
+    """Of the hits of a text of ``size`` characters: summed and largest weights of plain exact, plain inexact and quoted hits, their density, and a constant."""
     x = np.zeros(FEATURES, np.float32)
     x[7] = 1
-    for _, _, term, exact, quoted in hits_of(text, matcher):
+    for _, _, term, exact, quoted in hits:
         w, k = matcher.weights[term], 4 if quoted else 0 if exact else 2
         x[k] += w
         x[k + 1] = max(x[k + 1], w)
-    x[6] = min(1.0, 200 * (x[0] + x[2] + x[4]) / max(200, len(text or "")) / 10)
+    x[6] = min(1.0, 200 * (x[0] + x[2] + x[4]) / max(200, size) / 10)
     x[[0, 2, 4]] = np.log1p(x[[0, 2, 4]])
     return x
 
@@ -178,7 +184,7 @@ def train(labelled: DataFrame) -> dict:
     def run(batches):
         matcher = Matcher(shared.value)
         for batch in batches:
-            x = [features(t.as_py(), matcher).tobytes() for t in batch.column(0)]
+            x = [features(hits_of(t, matcher), len(t or ""), matcher).tobytes() for t in (c.as_py() for c in batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(1)], ["x", "toxic"])
 
     ids = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(FIT_ROWS).select("doc_id").distinct()
@@ -218,9 +224,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [t.as_py() for t in part.column(1)]
-                x = np.stack([features(t, matcher) for t in texts])
+                hits = [hits_of(t, matcher) for t in texts]
+                x = np.stack([features(h, len(t or ""), matcher) for h, t in zip(hits, texts, strict=True)])
                 p = 1 / (1 + np.exp(-np.clip(x @ model["w"], -30, 30)))
-                spans = [[{"start": a, "stop": b, "term": model["terms"][k][0], "exact": e, "quoted": q} for a, b, k, e, q in hits_of(t, matcher)] for t in texts]
+                spans = [[{"start": a, "stop": b, "term": model["terms"][k][0], "exact": e, "quoted": q} for a, b, k, e, q in h] for h in hits]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p.astype(np.float64)), pa.array(spans, span)], ["doc_id", "score", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, spans array<struct<start int, stop int, term string, exact boolean, quoted boolean>>")
