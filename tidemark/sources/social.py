@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.plans.shared import table
 
@@ -60,9 +59,9 @@ edges AS (SELECT l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l
 follows AS (SELECT DISTINCT o_custkey % 150 AS follower_id, o_orderkey * 7 % 150 AS followee_id FROM orders WHERE o_custkey % 150 <> o_orderkey * 7 % 150)
 """
 
-USER_SCHEMA = T.StructType.fromDDL("id string, description string, username string, created_at string, verified boolean, public_metrics struct<followers_count bigint, following_count bigint>")
-POST_SCHEMA = T.StructType.fromDDL("id string, author_id string, text string, created_at string, conversation_id string, in_reply_to_user_id string, public_metrics struct<like_count bigint, reply_count bigint, retweet_count bigint, quote_count bigint>, referenced_tweets array<struct<type string, id string>>")
-EDGE_SCHEMA = T.StructType.fromDDL("source_id string, relation string, target_id string")
+USER_SCHEMA = "id string, description string, username string, created_at string, verified boolean, public_metrics struct<followers_count bigint, following_count bigint>"
+POST_SCHEMA = "id string, author_id string, text string, created_at string, conversation_id string, in_reply_to_user_id string, public_metrics struct<like_count bigint, reply_count bigint, retweet_count bigint, quote_count bigint>, referenced_tweets array<struct<type string, id string>>"
+EDGE_COLUMNS = ("source_id", "relation", "target_id")
 
 
 def read_users(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -77,9 +76,9 @@ def read_posts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
     """Edges from CSV; a file whose header lacks a required column is refused."""
     header = spark.read.option("header", True).csv(path).columns
-    if missing := {f.name for f in EDGE_SCHEMA} - set(header):
+    if missing := set(EDGE_COLUMNS) - set(header):
         raise ValueError(f"edge file lacks {sorted(missing)}")
-    return spark.read.option("header", True).csv(path).select(*[f.name for f in EDGE_SCHEMA])
+    return spark.read.option("header", True).csv(path).select(*EDGE_COLUMNS)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
