@@ -1 +1,169 @@
-"""Queries."""
+"""Queries over reactions, exposure, cascades and folds of the action log."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import graph
+from tidemark.operators import tables as ops
+from tidemark.plans.registry import query
+
+from tidemark.sources import social
+
+WITH_ROOTS = social.SQL.replace("WITH trace", "WITH RECURSIVE trace", 1) + ", roots AS (SELECT post_id, post_id AS root, 0 AS depth FROM posts WHERE original_post_id IS NULL UNION ALL SELECT p.post_id, r.root, r.depth + 1 FROM posts p JOIN roots r ON p.original_post_id = r.post_id)"
+
+
+def roots(spark, d):
+    return graph.resolve_roots(social.posts(spark, d).select(F.col("post_id").alias("id"), F.col("original_post_id").alias("parent"))).withColumnRenamed("id", "post_id")
+
+
+@query("root_post", WITH_ROOTS + " SELECT post_id, root, depth FROM roots", views=False)
+def root_post(spark, d):
+    return roots(spark, d)
+
+
+def interactions(spark, d):
+    """Reactions with the class of the actor and of the root post's author."""
+    p = social.posts(spark, d).select(F.col("post_id").alias("root"), F.col("user_id").alias("author"))
+    u = social.users(spark, d).select("user_id", "is_bad")
+    r = social.reactions(spark, d).join(roots(spark, d).select("post_id", "root"), "post_id").join(p, "root")
+    return r.join(u.withColumnRenamed("is_bad", "actor_bad"), "user_id").join(u.select(F.col("user_id").alias("author"), F.col("is_bad").alias("target_bad")), "author")
+
+
+INTER = WITH_ROOTS + ", inter AS (SELECT r.*, q.root, a.is_bad AS actor_bad, b.is_bad AS target_bad FROM reactions r JOIN roots q USING (post_id) JOIN posts p ON p.post_id = q.root JOIN users a ON a.user_id = r.user_id JOIN users b ON b.user_id = p.user_id)"
+
+
+@query("interaction_matrix", INTER + " SELECT action, actor_bad, target_bad, count(*) AS n FROM inter GROUP BY 1, 2, 3", views=False)
+def interaction_matrix(spark, d):
+    return interactions(spark, d).groupBy("action", "actor_bad", "target_bad").agg(F.count("*").alias("n"))
+
+
+@query("agent_attack_features", INTER + " SELECT user_id, count(*) FILTER (action = 'like' AND target_bad = 1) AS like_to_bad, count(*) FILTER (action = 'like' AND target_bad = 0) AS like_to_good, count(*) FILTER (action = 'repost' AND target_bad = 1) AS repost_to_bad, count(*) AS total FROM inter GROUP BY 1", views=False)
+def agent_attack_features(spark, d):
+    a, t = F.col("action"), F.col("target_bad")
+    return interactions(spark, d).groupBy("user_id").agg(F.count_if((a == "like") & (t == 1)).alias("like_to_bad"), F.count_if((a == "like") & (t == 0)).alias("like_to_good"), F.count_if((a == "repost") & (t == 1)).alias("repost_to_bad"), F.count("*").alias("total"))
+
+
+@query("view_exposure", INTER + " SELECT root AS post_id, count(*) AS views, count(DISTINCT user_id) AS viewers FROM inter WHERE action = 'refresh' GROUP BY 1", views=False)
+def view_exposure(spark, d):
+    return interactions(spark, d).where("action = 'refresh'").groupBy(F.col("root").alias("post_id")).agg(F.count("*").alias("views"), F.countDistinct("user_id").alias("viewers"))
+
+
+METRICS = {
+    "views": "action = 'refresh' AND target_bad = 1",
+    "good_views": "action = 'refresh' AND target_bad = 1 AND actor_bad = 0",
+    "likes": "action = 'like' AND target_bad = 1",
+    "good_likes": "action = 'like' AND target_bad = 1 AND actor_bad = 0",
+    "dislikes": "action = 'dislike' AND target_bad = 1",
+    "reposts": "action = 'repost' AND target_bad = 1",
+    "good_reposts": "action = 'repost' AND target_bad = 1 AND actor_bad = 0",
+    "comments": "action = 'comment' AND target_bad = 1",
+    "in_group": "actor_bad = 1 AND target_bad = 1",
+}
+
+
+@query("attack_metrics", INTER + " SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in METRICS.items()) + ", count(DISTINCT CASE WHEN action = 'refresh' AND target_bad = 1 AND actor_bad = 0 THEN user_id END) AS good_viewers, count(DISTINCT CASE WHEN target_bad = 1 THEN root END) AS touched_posts, count(*) FILTER (target_bad = 1) / count(*) AS bad_share FROM inter", views=False)
+def attack_metrics(spark, d):
+    bad_view = (F.col("action") == "refresh") & (F.col("target_bad") == 1) & (F.col("actor_bad") == 0)
+    return interactions(spark, d).agg(*[F.count_if(F.expr(c)).alias(n) for n, c in METRICS.items()], F.countDistinct(F.when(bad_view, F.col("user_id"))).alias("good_viewers"), F.countDistinct(F.when(F.col("target_bad") == 1, F.col("root"))).alias("touched_posts"), (F.count_if(F.col("target_bad") == 1) / F.count("*")).alias("bad_share"))
+
+
+@query("post_engagement", "SELECT post_id, count(DISTINCT CASE WHEN action = 'like' AND is_bad = 0 THEN user_id END) AS good_likes, count(DISTINCT CASE WHEN action = 'repost' THEN user_id END) AS reposts, count(*) FILTER (action = 'comment' AND event_id % 2 = 0) AS agree, count(*) FILTER (action = 'comment' AND event_id % 2 = 1) AS disagree, count(DISTINCT CASE WHEN action = 'refresh' THEN user_id END) AS viewers FROM reactions JOIN users USING (user_id) GROUP BY 1")
+def post_engagement(spark, d):
+    a = F.col("action")
+    r = social.reactions(spark, d).join(social.users(spark, d).select("user_id", "is_bad"), "user_id")
+    once = lambda c: F.countDistinct(F.when(c, F.col("user_id")))
+    return r.groupBy("post_id").agg(once((a == "like") & (F.col("is_bad") == 0)).alias("good_likes"), once(a == "repost").alias("reposts"), F.count_if((a == "comment") & (F.col("event_id") % 2 == 0)).alias("agree"), F.count_if((a == "comment") & (F.col("event_id") % 2 == 1)).alias("disagree"), once(a == "refresh").alias("viewers"))
+
+
+@query("step_engagement", ", b AS (SELECT r.* FROM reactions r JOIN posts p USING (post_id) JOIN users u ON u.user_id = p.user_id WHERE u.is_bad = 1), s AS (SELECT step, count(*) FILTER (action = 'like') AS likes, count(*) FILTER (action = 'repost') AS reposts FROM b GROUP BY 1) SELECT step, CAST(sum(likes) OVER (ORDER BY step) AS BIGINT) AS likes, CAST(sum(reposts) OVER (ORDER BY step) AS BIGINT) AS reposts FROM s")
+def step_engagement(spark, d):
+    bad = social.posts(spark, d).join(social.users(spark, d).where("is_bad = 1"), "user_id").select("post_id")
+    s = social.reactions(spark, d).join(bad, "post_id", "left_semi").groupBy("step").agg(F.count_if(F.col("action") == "like").alias("likes"), F.count_if(F.col("action") == "repost").alias("reposts"))
+    w = Window.orderBy("step")  # one row a step
+    return s.select("step", F.sum("likes").over(w).alias("likes"), F.sum("reposts").over(w).alias("reposts"))
+
+
+@query("same_status", "SELECT likes, reposts, list(post_id ORDER BY post_id) AS posts FROM (SELECT post_id, count(*) FILTER (action = 'like') AS likes, count(*) FILTER (action = 'repost') AS reposts FROM reactions GROUP BY 1) GROUP BY 1, 2")
+def same_status(spark, d):
+    s = social.reactions(spark, d).groupBy("post_id").agg(F.count_if(F.col("action") == "like").alias("likes"), F.count_if(F.col("action") == "repost").alias("reposts"))
+    return s.groupBy("likes", "reposts").agg(F.array_sort(F.collect_list("post_id")).alias("posts"))
+
+
+@query("reaction_state", "SELECT user_id, post_id, arg_max(action, struct_pack(ts := ts, e := event_id)) AS state FROM reactions WHERE action IN ('like', 'dislike') GROUP BY 1, 2")
+def reaction_state(spark, d):
+    r = social.reactions(spark, d).where("action IN ('like', 'dislike')")
+    return r.groupBy("user_id", "post_id").agg(F.max_by("action", F.struct("ts", "event_id")).alias("state"))
+
+
+@query("root_rollup", WITH_ROOTS + ", both_posts AS (SELECT r.event_id, r.action, unnest(list_distinct([r.post_id, q.root])) AS post_id FROM reactions r JOIN roots q USING (post_id)) SELECT post_id, action, count(*) AS n FROM both_posts GROUP BY 1, 2", views=False)
+def root_rollup(spark, d):
+    r = social.reactions(spark, d).join(roots(spark, d).select("post_id", "root"), "post_id")
+    return r.select("action", F.explode(F.array_distinct(F.array("post_id", "root"))).alias("post_id")).groupBy("post_id", "action").agg(F.count("*").alias("n"))
+
+
+@query("follow_state", "SELECT user_id, target FROM (SELECT user_id, target, action FROM trace WHERE action IN ('signup', 'error') QUALIFY row_number() OVER (PARTITION BY user_id, target ORDER BY ts DESC, event_id DESC) = 1) WHERE action = 'signup'")
+def follow_state(spark, d):
+    return ops.fold_switch(social.trace(spark, d), ["user_id", "target"], ["ts", "event_id"], ["signup"], ["error"])
+
+
+@query("counter_state", "SELECT target AS post_id, count(*) FILTER (action = 'purchase') AS reposts, count(*) FILTER (action = 'click') - count(*) FILTER (action = 'error') AS net_likes, sum(CASE WHEN action = 'purchase' THEN value ELSE 0 END) AS sales FROM trace GROUP BY 1")
+def counter_state(spark, d):
+    a = F.col("action")
+    return social.trace(spark, d).groupBy(F.col("target").alias("post_id")).agg(F.count_if(a == "purchase").alias("reposts"), (F.count_if(a == "click") - F.count_if(a == "error")).alias("net_likes"), F.sum(F.when(a == "purchase", F.col("value")).otherwise(0.0)).alias("sales"))
+
+
+@query("rec_trace", ", s AS (SELECT user_id, post_id, count(*) FILTER (action = 'refresh') * 1.0 AS base, count(*) FILTER (action = 'like') - count(*) FILTER (action = 'dislike') AS adj FROM reactions GROUP BY 1, 2), g AS (SELECT *, max(base) OVER (PARTITION BY user_id) - min(base) OVER (PARTITION BY user_id) AS spread FROM s) SELECT user_id, post_id, base + adj * spread / 2 AS score FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY base + adj * spread / 2 DESC, post_id) <= 5")
+def rec_trace(spark, d):
+    a, w = F.col("action"), Window.partitionBy("user_id")
+    s = social.reactions(spark, d).groupBy("user_id", "post_id").agg((F.count_if(a == "refresh") * 1.0).cast("double").alias("base"), (F.count_if(a == "like") - F.count_if(a == "dislike")).alias("adj"))
+    s = s.withColumn("score", F.col("base") + F.col("adj") * (F.max("base").over(w) - F.min("base").over(w)) / 2)
+    return ops.cap_per_key(s, ["user_id"], [F.desc("score"), "post_id"], 5).select("user_id", "post_id", "score")
+
+
+CHAIN_TEXT = "CASE WHEN original_post_id IS NULL THEN 'original_post: ' || post_id ELSE 'A repost from user_' || (original_post_id % 150) || '. original_post: ' || post_id END"
+
+
+@query("cascade_edges", f"SELECT regexp_extract(t, 'repost from user_([0-9]+)\\.', 1) AS src, 'user_' || user_id AS dst, count(*) AS n FROM (SELECT user_id, {CHAIN_TEXT} AS t FROM posts) WHERE t LIKE 'A repost%' GROUP BY 1, 2")
+def cascade_edges(spark, d):
+    text = social.posts(spark, d).select("user_id", F.expr(CHAIN_TEXT).alias("t")).where(F.col("t").startswith("A repost"))
+    return text.groupBy(F.regexp_extract("t", r"repost from user_(\d+)\.", 1).alias("src"), F.concat(F.lit("user_"), F.col("user_id")).alias("dst")).agg(F.count("*").alias("n"))
+
+
+@query("cascade_shape", WITH_ROOTS + ", b AS (SELECT root, depth, count(*) AS n FROM roots GROUP BY 1, 2) SELECT root, max(depth) AS depth, max(n) AS breadth, CAST(sum(n) AS BIGINT) AS size FROM b GROUP BY 1", views=False)
+def cascade_shape(spark, d):
+    b = roots(spark, d).groupBy("root", "depth").agg(F.count("*").alias("n"))
+    return b.groupBy("root").agg(F.max("depth").alias("depth"), F.max("n").alias("breadth"), F.sum("n").alias("size"))
+
+
+@query("virality", WITH_ROOTS + ", anc AS (SELECT post_id, post_id AS a FROM posts UNION ALL SELECT x.post_id, p.original_post_id FROM anc x JOIN posts p ON p.post_id = x.a WHERE p.original_post_id IS NOT NULL), s AS (SELECT a, count(*) AS s FROM anc GROUP BY 1), t AS (SELECT r.root, s.s, count(*) OVER (PARTITION BY r.root) AS n FROM s JOIN roots r ON r.post_id = s.a) SELECT root, 2.0 * sum(s * (n - s)) / any_value(n * (n - 1)) AS virality FROM t WHERE n > 1 GROUP BY 1", views=False)
+def virality(spark, d):
+    """Mean distance in a cascade tree from subtree sizes; each round lifts all nodes one ancestor."""
+    p = social.posts(spark, d).select("post_id", "original_post_id")
+    up = p.select(F.col("post_id").alias("a"), F.col("original_post_id").alias("next")).where("next is not null")
+    now = p.select("post_id", F.col("post_id").alias("a"))
+    layers = [now]
+    depth = roots(spark, d)
+    for _ in range(depth.agg(F.max("depth")).first()[0] or 0):
+        now = now.join(up, "a").select("post_id", F.col("next").alias("a"))
+        layers.append(now)
+    s = reduce(lambda x, y: x.unionByName(y), layers).groupBy("a").agg(F.count("*").alias("s"))
+    t = s.join(depth.select(F.col("post_id").alias("a"), "root"), "a")
+    n = t.groupBy("root").agg(F.count("*").alias("n"))
+    return t.join(n, "root").where("n > 1").groupBy("root").agg((2.0 * F.sum(F.col("s") * (F.col("n") - F.col("s"))) / F.first(F.col("n") * (F.col("n") - 1))).alias("virality"))
+
+
+@query("isolates", "SELECT user_id FROM users WHERE user_id NOT IN (SELECT follower_id FROM follows UNION SELECT followee_id FROM follows)")
+def isolates(spark, d):
+    ends = social.follows(spark, d).select(F.explode(F.array("follower_id", "followee_id")).alias("user_id"))
+    return social.users(spark, d).select("user_id").join(ends, "user_id", "left_anti")
+
+
+@query("enhanced_edges", "SELECT DISTINCT least(follower_id, followee_id) AS a, greatest(follower_id, followee_id) AS b FROM follows UNION SELECT least(user_id, original_post_id % 150), greatest(user_id, original_post_id % 150) FROM posts WHERE original_post_id IS NOT NULL AND user_id <> original_post_id % 150")
+def enhanced_edges(spark, d):
+    f = social.follows(spark, d).select(F.col("follower_id").alias("x"), F.col("followee_id").alias("y"))
+    p = social.posts(spark, d).where("original_post_id is not null").select(F.col("user_id").alias("x"), (F.col("original_post_id") % 150).alias("y")).where("x != y")
+    return f.union(p).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -1 +1,77 @@
-"""Queries."""
+"""Queries over graph measures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions import geometry as geo
+from tidemark.operators import graph
+from tidemark.operators.components import connected_components
+from tidemark.plans.registry import query
+from tidemark.plans.shared import table
+from tidemark.sources import social
+
+UND = ", und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM net WHERE src <> dst), sym AS (SELECT a, b FROM und UNION ALL SELECT b, a FROM und)"
+NET = ", net AS (SELECT follower_id AS src, followee_id AS dst FROM follows WHERE (follower_id * 31 + followee_id * 17) % 10 = 0)"
+
+
+def net(spark, d):
+    """A tenth of the follow pairs by a rule on their ends: sparse enough to have structure."""
+    return social.follows(spark, d).select(F.col("follower_id").alias("src"), F.col("followee_id").alias("dst")).where("(src * 31 + dst * 17) % 10 = 0")
+
+
+@query("degree", NET + ", g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM net UNION ALL SELECT dst FROM net) GROUP BY 1) SELECT node, degree, degree / (count(*) OVER () - 1) AS centrality FROM g")
+def degree(spark, d):
+    return graph.degrees(net(spark, d))
+
+
+@query("clustering", NET + UND + ", k AS (SELECT a AS node, count(*) AS k FROM sym GROUP BY 1), t AS (SELECT x.a AS node, count(*) AS n FROM sym x JOIN sym y ON x.a = y.a AND x.b < y.b JOIN und z ON z.a = x.b AND z.b = y.b GROUP BY 1) SELECT node, coalesce(n, 0) AS triangles, CASE WHEN k > 1 THEN 2.0 * coalesce(n, 0) / (k * (k - 1)) ELSE 0 END AS coefficient FROM k LEFT JOIN t USING (node)")
+def clustering(spark, d):
+    return graph.clustering(net(spark, d))
+
+
+@query("pagerank")
+def pagerank(spark, d):
+    return graph.pagerank(net(spark, d), tolerance=1e-8)
+
+
+@query("eigenvector")
+def eigenvector(spark, d):
+    return graph.eigenvector(net(spark, d), rounds=30)
+
+
+@query("kcore")
+def kcore(spark, d):
+    return graph.core_numbers(net(spark, d))
+
+
+@query("betweenness")
+def betweenness(spark, d):
+    return graph.betweenness(net(spark, d))
+
+
+@query("communities")
+def communities(spark, d):
+    return graph.communities(net(spark, d))
+
+
+@query("components", social.SQL.replace("WITH trace", "WITH RECURSIVE trace", 1) + NET.replace("% 10 = 0", "% 211 = 0") + ", und AS (SELECT src AS a, dst AS b FROM net UNION SELECT dst, src FROM net), walk AS (SELECT a AS node, a AS seen FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON u.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY 1", views=False)
+def components(spark, d):
+    e = social.follows(spark, d).where("(follower_id * 31 + followee_id * 17) % 211 = 0")
+    return connected_components(e, "follower_id", "followee_id")
+
+
+@query("radial_order", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), r AS (SELECT label, vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS r, sqrt(list_sum(list_transform(v[1:32], lambda x: x * x))) AS s FROM e) SELECT a.label, avg(CASE WHEN (a.r - b.r) * (a.s - b.s) > 0 THEN 1.0 ELSE 0.0 END) AS agreement, avg(greatest(0, 0.1 - sign(a.r - b.r) * (a.s - b.s))) AS loss, count(*) AS pairs FROM r a JOIN r b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1", views=False)
+def radial_order(spark, d):
+    r = table(spark, d, "embeddings").select("label", "vec_id", geo.norm(F.col("embedding")).alias("r"), geo.norm(F.slice("embedding", 1, 32)).alias("s"))
+    b = r.select("label", F.col("vec_id").alias("other"), F.col("r").alias("r2"), F.col("s").alias("s2"))
+    p = r.join(b, "label").where("vec_id < other").select("label", (F.col("r") - F.col("r2")).alias("dr"), (F.col("s") - F.col("s2")).alias("ds"))
+    return p.groupBy("label").agg(F.avg((F.col("dr") * F.col("ds") > 0).cast("double")).alias("agreement"), F.avg(F.greatest(F.lit(0.0), 0.1 - F.signum("dr") * F.col("ds"))).alias("loss"), F.count("*").alias("pairs"))
+
+
+@query("lorentz_centroid", "WITH e AS (SELECT label, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE) / 20) AS v FROM embeddings), x AS (SELECT label, v, greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-12) AS n FROM e), p AS (SELECT label, avg(cosh(n)) AS t, avg(v[1] * sinh(n) / n) AS a, avg(v[2] * sinh(n) / n) AS b, avg(v[3] * sinh(n) / n) AS c, avg(v[4] * sinh(n) / n) AS d FROM x GROUP BY 1) SELECT label, t / sqrt(t * t - a * a - b * b - c * c - d * d) AS time, a / sqrt(t * t - a * a - b * b - c * c - d * d) AS first FROM p", views=False)
+def lorentz_centroid(spark, d):
+    x = table(spark, d, "embeddings").select("label", geo.exp0(geo.scaled(F.slice("embedding", 1, 4), F.lit(0.05))).alias("x"))
+    m = x.groupBy("label").agg(*[F.avg(F.element_at("x", i + 1)).alias(f"x{i}") for i in range(5)])
+    size = F.sqrt(F.col("x0") * F.col("x0") - sum(F.col(f"x{i}") * F.col(f"x{i}") for i in range(1, 5)))
+    return m.select("label", (F.col("x0") / size).alias("time"), (F.col("x1") / size).alias("first"))
