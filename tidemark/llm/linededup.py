@@ -23,7 +23,22 @@ NO_ID = -(1 << 63)
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(line), r"[ \t\n\x0B\f\r]+", " "))
+    """Lower case, words parted by one space; the pattern runs only on lines that need it."""
+    low = F.trim(F.lower(line))
+    odd = low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\x0b")
+    return F.when(odd, F.trim(F.regexp_replace(low, r"[ \t\n\x0B\f\r]+", " "))).otherwise(low)
+
+
+def has_words(norm: Column, words: int) -> Column:
+    """Whether a line has ``words`` distinct words; its first words settle that for nearly every line."""
+    all_words = F.split(norm, " ")
+    first = F.size(F.array_distinct(F.slice(all_words, 1, 3 * words))) >= words
+    return (F.length(norm) > 2 * words - 2) & (first | (F.size(F.array_distinct(all_words)) >= words))
+
+
+def bitmaps(words: Column) -> Column:
+    """Parity bitmap of 256 bits as four numbers: a word flips the bit that its hash names."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.aggregate(F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))))
 
 
 def word_classes(texts: DataFrame) -> Column:
@@ -71,7 +86,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     all documents share costs one row a partition; the join sees each distinct line once.
     """
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc", "line", normal(F.col("raw")).alias("norm"))
-    long_enough = lines.where(F.size(F.array_distinct(F.split("norm", " "))) >= words)
+    long_enough = lines.where(has_words(F.col("norm"), words))
     light = stored(long_enough.select("doc", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2")))
     firsts = stored(light.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")))
 
@@ -79,7 +94,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     # documents whose every line is a first need no list; others list the lines that aren't
     repeats = stored(light.join(firsts.where("n > 1"), ["h1", "h2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))).groupBy("doc").agg(F.collect_list("line").alias("listed")))
     unique = on_lists(docs, repeats, "left").select("doc", "listed", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("listed").isNull() | ~F.array_contains("listed", F.col("line")))
-    sets = unique.select("doc", "line", normal(F.col("raw")).alias("norm")).where(F.size(F.split("norm", " ")) >= words).select("doc", "line", sorted_words(F.col("norm"), ranks).alias("keys"))
+    sets = unique.select("doc", "line", normal(F.col("raw")).alias("norm")).where(F.length("norm") > 2 * words - 2).select("doc", "line", sorted_words(F.col("norm"), ranks).alias("keys"))
     sets = sets.select("doc", "line", "keys", F.size("keys").alias("n")).where(F.col("n") >= words)
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(1L, int(k & 63)))")
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
@@ -102,6 +117,12 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     wanted = stored(ends.groupBy("doc").agg(F.collect_list("line").alias("listed")))
     full = on_lists(docs, wanted, "inner").select("doc", "text", F.explode("listed").alias("line")).select("doc", "line", F.array_distinct(F.split(normal(F.element_at(F.split("text", "\n"), F.col("line") + 1)), " ")).alias("words"))
     full = stored(full.select("doc", "line", F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
+    # a wider bitmap first, so that few word lists have to move
+    maps = full.select("doc", "line", F.size("words").alias("n"), bitmaps(F.col("words")).alias("map"))
+    ma, mb = (maps.select(*[F.col(c).alias(c + x) for c in ("doc", "line", "n", "map")]) for x in "ab")
+    apart = F.aggregate(F.zip_with("mapa", "mapb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    near = pairs.join(ma, ["doca", "linea"]).join(mb, ["docb", "lineb"]).where(apart <= spare)
+    pairs = stored(near.select("doca", "linea", "docb", "lineb"))
     wa, wb = (full.select(*[F.col(c).alias(c + x) for c in ("doc", "line", "words")]) for x in "ab")
     both = pairs.join(wa, ["doca", "linea"]).join(wb, ["docb", "lineb"]).withColumn("common", F.size(F.array_intersect("wordsa", "wordsb")))
     true = both.where((100 + percent) * F.col("common") >= percent * (F.size("wordsa") + F.size("wordsb"))).select("doca", "linea", "docb", "lineb")
