@@ -22,7 +22,7 @@ TOKEN = "[A-Za-z0-9+/_=-]"
 CANDIDATE = rf"(?<!{TOKEN})(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z]){TOKEN}{{16,}}"
 ORDINARY = rf"(?<!{TOKEN})[A-Za-z_-]{{12,}}(?!{TOKEN})"
 #: Nats per character by which the random model must lead; generated random strings for training.
-LEAD, GENERATED = 0.35, 4000
+LEAD, GENERATED, BACKOFF = 0.5, 4000, 2.0
 #: Characters of the models, without and with the start mark.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -59,16 +59,20 @@ def bigrams(token: Column) -> Column:
 def markov_table(random: DataFrame, ordinary: DataFrame) -> DataFrame:
     """pair, llr: ln P(second | first) under the random less the ordinary model, for every pair of the alphabet.
 
-    Both inputs have a ``token`` and a count ``n``. Counts are smoothed by one half a pair; the table has 67 * 68 rows.
+    Both inputs have a ``token`` and a count ``n``. A row of counts is mixed with BACKOFF counts dealt as single
+    characters are; the table has 67 * 68 rows.
     """
     spark = random.sparkSession
     chars = F.array(*[F.lit(c) for c in ALPHABET])
-    pairs = spark.range(1).select(F.explode(F.concat(chars, F.array(F.lit("^")))).alias("a"), chars.alias("bs")).select("a", F.explode("bs").alias("b")).select(F.concat("a", "b").alias("pair"), "a")
+    pairs = spark.range(1).select(F.explode(F.concat(chars, F.array(F.lit("^")))).alias("a"), chars.alias("bs")).select("a", F.explode("bs").alias("b"))
     both = random.select("token", "n", F.lit(1).alias("is_random")).unionByName(ordinary.select("token", "n", F.lit(0).alias("is_random")))
     counted = both.select(F.explode(bigrams(F.col("token"))).alias("pair"), "n", "is_random").groupBy("pair").agg(F.sum(F.col("n") * F.col("is_random")).alias("r"), F.sum(F.col("n") * (1 - F.col("is_random"))).alias("o"))
-    full = pairs.join(counted, "pair", "left").select("pair", "a", (F.coalesce("r", F.lit(0)) + 0.5).alias("r"), (F.coalesce("o", F.lit(0)) + 0.5).alias("o"))
-    total = full.groupBy("a").agg(F.sum("r").alias("tr"), F.sum("o").alias("to"))
-    return full.join(total, "a").select("pair", F.ln(F.col("r") / F.col("tr") / (F.col("o") / F.col("to"))).alias("llr"))
+    full = stored(pairs.withColumn("pair", F.concat("a", "b")).join(counted, "pair", "left").select("pair", "a", "b", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o")))
+    rows = full.groupBy("a").agg(F.sum("r").alias("ra"), F.sum("o").alias("oa"))
+    columns = full.groupBy("b").agg((F.sum("r") + 0.5).alias("rb"), (F.sum("o") + 0.5).alias("ob"))
+    totals = columns.agg(F.sum("rb").alias("rt"), F.sum("ob").alias("ot")).first()
+    p = lambda n, row, column, total: (F.col(n) + BACKOFF * F.col(column) / F.lit(float(totals[total]))) / (F.col(row) + BACKOFF)
+    return full.join(rows, "a").join(columns, "b").select("pair", F.ln(p("r", "ra", "rb", "rt") / p("o", "oa", "ob", "ot")).alias("llr"))
 
 
 def random_strings(spark, n: int) -> DataFrame:
