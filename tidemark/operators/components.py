@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     neighbour of its neighbourhood, so the number of rounds grows with the logarithm of the diameter. Hubs cost one
     partial minimum per partition and a join that adaptive execution can split.
     """
-    pairs = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    pairs = stored(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null"))  # read twice
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     now = stored(pairs.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
