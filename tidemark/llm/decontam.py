@@ -77,9 +77,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -
     items, wanted = benchmark_windows(benchmark)
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # WINDOW or fewer values
     rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc"), "text")
-    tokens = rows.select("doc", template(raw_tokens(F.col("text"))).alias("t"))
+    tokens = rows.select("doc", F.explode(F.array(template(raw_tokens(F.col("text"))))).alias("t"))  # one row each: keeps the optimiser from copying the expression
     all_windows = F.concat(*[windows(F.col("t"), s) for s in sizes]) if sizes else F.array().cast("array<struct<at int, hash long>>")
-    hits = tokens.select("doc", F.explode(all_windows).alias("w")).select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(bounded(wanted), "hash")
+    hits = tokens.select("doc", F.explode(F.array(all_windows)).alias("all")).select("doc", F.explode("all").alias("w")).select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(bounded(wanted), "hash")
     hits = stored(hits.select("doc", "item_id", "at", "item_at", "size").distinct())
 
     diagonals = hits.groupBy("doc", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("size") - 1).alias("hi"))

@@ -22,13 +22,18 @@ LISTS_BROADCAST = 1_000_000
 NO_ID = -(1 << 63)
 
 
-def normal(line: Column) -> Column:
-    """Lower case, words parted by one space; the pattern runs only on lines that need it."""
-    low = F.trim(F.lower(line))
+def normal(low: Column) -> Column:
+    """Words of a lower-cased line parted by one space; the pattern runs only on lines that need it."""
+    low = F.trim(low)
     odd = low.contains("  ") | low.contains("\t") | low.contains("\r") | low.contains("\f") | low.contains("\x0b")
     return F.when(odd, F.trim(F.regexp_replace(low, r"[ \t\n\x0B\f\r]+", " "))).otherwise(low)
 
 
+def once(value: Column) -> Column:
+    """A generator of one row: the optimiser can't copy the value into the filters and projections behind it."""
+    return F.explode(F.array(value))
+
+
 def has_words(norm: Column, words: int) -> Column:
     """Whether a line has ``words`` distinct words; its first words settle that for nearly every line."""
     all_words = F.split(norm, " ")
@@ -42,13 +47,13 @@ def bitmaps(words: Column) -> Column:
 
 
 def word_classes(texts: DataFrame) -> Column:
-    """Rarity class (0-127, by the logarithm of the count) of every counter, as a binary literal of one byte each.
+    """Of lower-cased texts: rarity class (0-127, by the logarithm of the count) of every counter, as a binary literal of one byte each.
 
     Words are counted over all lines; only the counters, of which there are 2 ** COUNTER_BITS for any corpus,
     reach the driver."""
     size = 1 << COUNTER_BITS
     counter = F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int")
-    counted = texts.select(F.explode(F.split(F.lower("text"), r"[ \t\n\x0B\f\r]+")).alias("w")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
+    counted = texts.select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("w")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
     classes = bytearray(size)
     for r in counted.select("counter", F.least(F.lit(127), F.floor(3 * F.log2(1 + F.col("n")))).alias("class")).collect():
         classes[r["counter"]] = r["class"]
@@ -85,7 +90,8 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     ``docs`` has doc (not null) and text (not null). Equal lines are one from the start, so a line that a third of
     all documents share costs one row a partition; the join sees each distinct line once.
     """
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc", "line", normal(F.col("raw")).alias("norm"))
+    docs = docs.select("doc", once(F.lower("text")).alias("text"))
+    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc", "line", once(normal(F.col("raw"))).alias("norm"))
     long_enough = lines.where(has_words(F.col("norm"), words))
     light = stored(long_enough.select("doc", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2")))
     firsts = stored(light.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")))
@@ -94,11 +100,11 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
     # documents whose every line is a first need no list; others list the lines that aren't
     repeats = stored(light.join(firsts.where("n > 1"), ["h1", "h2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))).groupBy("doc").agg(F.collect_list("line").alias("listed")))
     unique = on_lists(docs, repeats, "left").select("doc", "listed", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("listed").isNull() | ~F.array_contains("listed", F.col("line")))
-    sets = unique.select("doc", "line", normal(F.col("raw")).alias("norm")).where(F.length("norm") > 2 * words - 2).select("doc", "line", sorted_words(F.col("norm"), ranks).alias("keys"))
+    sets = unique.select("doc", "line", once(normal(F.col("raw"))).alias("norm")).where(F.length("norm") > 2 * words - 2).select("doc", "line", once(sorted_words(F.col("norm"), ranks)).alias("keys"))
     sets = sets.select("doc", "line", "keys", F.size("keys").alias("n")).where(F.col("n") >= words)
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(1L, int(k & 63)))")
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    rows = sets.select("doc", "line", "n", bits.alias("bits"), F.posexplode(prefix).alias("at", "key"))
+    rows = sets.select("doc", "line", "n", once(bits).alias("bits"), prefix.alias("prefix")).select("doc", "line", "n", "bits", F.posexplode("prefix").alias("at", "key"))
 
     a, b = (rows.select("key", *[F.col(c).alias(c + x) for c in ("doc", "line", "n", "bits", "at")]) for x in "ab")
     least = overlap(F.col("na"), F.col("nb"), percent)
