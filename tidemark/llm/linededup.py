@@ -121,7 +121,8 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -
 
     ends = pairs.select(F.explode(F.array(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")))).alias("e")).select("e.*").distinct()
     wanted = stored(ends.groupBy("doc").agg(F.collect_list("line").alias("listed")))
-    full = on_lists(docs, wanted, "inner").select("doc", "text", F.explode("listed").alias("line")).select("doc", "line", F.array_distinct(F.split(normal(F.element_at(F.split("text", "\n"), F.col("line") + 1)), " ")).alias("words"))
+    full = on_lists(docs, wanted, "inner").select("doc", "listed", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.array_contains("listed", F.col("line")))
+    full = full.select("doc", "line", once(normal(F.col("raw"))).alias("norm")).select("doc", "line", once(F.array_distinct(F.split("norm", " "))).alias("words"))
     full = stored(full.select("doc", "line", F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
     # a wider bitmap first, so that few word lists have to move
     maps = full.select("doc", "line", F.size("words").alias("n"), bitmaps(F.col("words")).alias("map"))
