@@ -258,6 +258,37 @@ def test_decontamination(spark):
     assert found == {(r.doc_id, i) for r in table(spark).collect() for i, t in items.items() if t in " ".join(words(r.text))}
 
 
+def test_decontamination_of_edited_copies(spark):
+    """Copies with 5 to 15 % of the words replaced, words put in or left out, and the first two thirds of an item."""
+    rnd = random.Random(5)
+    b = table(spark, "benchmark")
+    items = [(r.item_id, r.text.split()) for r in b.collect()]
+    fill = lambda n: [f"quux{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+
+    def plant(item, words):
+        want.add((len(rows), item))
+        rows.append((len(rows), " ".join([*fill(30), *words, *fill(30)])))
+
+    for item, words in items:
+        for part in (0, 0.05, 0.1, 0.15):
+            new = list(words)
+            for at in rnd.sample(range(len(words)), round(part * len(words))):
+                new[at] = fill(1)[0]
+            plant(item, new)
+        at = len(words) // 2
+        plant(item, words[:at] + fill(2) + words[at:])
+        plant(item, words[:at] + words[at + 1 :])
+        plant(item, words[: -(-3 * len(words) // 4)])
+    rows += [(len(rows) + k, " ".join(rnd.sample(words, len(words)))) for k, (_, words) in enumerate(items)]
+    found = {(r.doc_id, r.item_id) for r in decontam.matches(docs(spark, rows), b).collect()}
+    assert found == want
+    # one of two equal numbers edited in an otherwise whole copy
+    text = "Anna Bell bought 12 apples for 3 dollars and then sold the {} apples to her friend Carl for 5 dollars"
+    one = spark.createDataFrame([(1, text.format(12))], "item_id long, text string")
+    assert decontam.matches(docs(spark, [(1, text.format(13))]), one).count() == 1
+
+
 def test_edited_digest(spark):
     got = {r.doc_id: r for r in QUERIES["op6_fingerprint"](spark, SF).collect()}
     rows = sorted(((r.doc_id, r.text) for r in table(spark).collect()), reverse=True)

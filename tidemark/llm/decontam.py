@@ -1,7 +1,8 @@
 """Benchmark decontamination by templates, in DataFrame operations.
 
-Numbers, names and units become typed placeholders; windows of the resulting template tokens are hashed and
-joined with the benchmark's. Windows on one diagonal make a match; its placeholders must map each benchmark value to one
+Numbers, names and units become typed placeholders; short windows of the resulting template tokens are hashed and
+joined with the benchmark's. A hit names a diagonal, along which the whole item is then compared token by token, so that edited
+copies are found too. A placeholder counts with another value only if its diagonal maps each benchmark value to one
 value in the document, so a question asked again with other numbers is caught and a chance meeting of patterns is not.
 """
 
@@ -14,6 +15,10 @@ from tidemark.plans.shared import stored
 
 #: Template tokens of a window; least literal tokens in one; share of an item's windows that a document must hold.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
+#: Template tokens of a candidate window: n tokens with (n - 4) / 4 changed ones or fewer have a whole one. Share of an item's tokens kept in one place.
+SEED, KEPT = 4, 0.7
+#: Diagonals this far from one with a hit are compared too, for words put in or left out close to each other.
+NEAR = 2
 #: Benchmark windows, or ids of documents with a hit, are broadcast up to this many rows; more are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
@@ -55,50 +60,88 @@ def bounded(df: DataFrame) -> DataFrame:
 
 
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, item_raw, item_template, size, windows) and their windows (item_id, item_at, hash, size)."""
+    """Items (item_id, item_raw, item_template, n, size, whole: starts of their windows) and their candidate windows (item_id, item_at, hash, size)."""
     items = benchmark.where("text is not null").select("item_id", raw_tokens(F.col("text")).alias("item_raw")).withColumn("item_template", template(F.col("item_raw")))
-    items = items.where(F.size("item_template") > 0).withColumn("size", F.least(F.lit(WINDOW), F.size("item_template")))
-    literal = F.size(F.filter(F.slice("item_template", F.col("w.at") + 1, F.col("size")), lambda t: ~t.startswith("<")))
-    spread = items.select("item_id", "size", "item_template", F.explode(windows(F.col("item_template"), F.col("size"))).alias("w")).where(literal >= F.least(F.lit(LITERALS), F.col("size")))
-    spread = spread.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), "size")
-    n = spread.groupBy("item_id").agg(F.count("*").alias("windows"))
-    return stored(items.join(n, "item_id")), stored(spread)
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """doc_id, item_id, coverage (share of the item's windows found), windows_found, first_token, last_token,
-    changed_slots for every document and benchmark item it holds ``coverage`` of or more.
-
-    Whole texts are read. An item shorter than a window is one window of its own length. Windows with fewer than
-    LITERALS words are not looked for. A diagonal counts if its slots are consistent: equal benchmark values stand
-    for equal document values. Null texts and null item texts match nothing; repeated rows, and rows that share
-    a doc_id, are one document; null doc_ids are reported as null; extra columns are left out.
+    items = items.where(F.size("item_template") > 0).withColumn("n", F.size("item_template")).withColumn("size", F.least(F.lit(WINDOW), F.col("n")))
+    literals = lambda at, size: F.size(F.filter(F.slice("item_template", at + 1, size), lambda t: ~t.startswith("<")))
+    whole = F.filter(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda i: literals(i, F.col("size")) >= F.least(F.lit(LITERALS), F.col("size")))
+    items = stored(items.withColumn("whole", whole))
+    seeds = items.select("item_id", "item_template", F.least(F.lit(SEED), F.col("n")).alias("size"))
+    spread = seeds.select("item_id", "size", "item_template", F.explode(windows(F.col("item_template"), F.col("size"))).alias("w")).where(literals(F.col("w.at"), F.col("size")) >= F.least(F.lit(LITERALS * SEED // WINDOW), F.col("size")))
+    return items, stored(spread.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), "size"))
+
+
+def along_diagonals(hits: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
+    """doc, item_id, n, shift, same, kept, found, changed of every diagonal with or near a hit: item positions with the same
+    word in the document (without a hit, two such words in a row); those and the placeholders of hit windows with another value, if no value stands for two; starts
+    of the item's windows that are kept whole; number of values changed."""
+    diagonals = hits.groupBy("doc", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set(F.struct("item_at", "size")).alias("seeds"))
+    beyond = F.transform(F.sequence(F.lit(-NEAR), F.lit(NEAR)), lambda k: F.struct((F.col("shift") + k).alias("shift"), F.when(k == 0, F.col("seeds")).otherwise(F.slice("seeds", 1, 0)).alias("seeds")))
+    diagonals = diagonals.select("doc", "item_id", F.explode(beyond).alias("d")).groupBy("doc", "item_id", "d.shift").agg(F.flatten(F.collect_list("d.seeds")).alias("seeds"))
+    held = stored(diagonals.groupBy("doc").agg(F.collect_list(F.struct("item_id", "shift", "seeds")).alias("diagonals")))
+    texts = rows.join(bounded(held), "doc").select("doc", "diagonals", F.explode(F.array(raw_tokens(F.col("text")))).alias("raw"))
+    texts = texts.select("doc", "diagonals", "raw", F.explode(F.array(template(F.col("raw")))).alias("t"))
+    off = F.greatest(F.lit(0), -F.col("d.shift"))  # item tokens before the start of the text
+    placed = texts.select("doc", "raw", "t", F.explode("diagonals").alias("d")).select("doc", "raw", "t", "d.*", off.alias("off")).join(bounded(items), "item_id")
+    # the part of the text beside the item; a row of the same doc_id with another text may be shorter
+    part = lambda c: F.slice(c, F.col("shift") + F.col("off") + 1, F.greatest(F.lit(0), F.col("n") - F.col("off")))
+    placed = placed.select("doc", "item_id", "n", "size", "whole", "shift", "seeds", "off", "item_raw", "item_template", F.transform(part("raw"), plain).alias("beside"), part("t").alias("t")).where((F.col("off") < F.col("n")) & (F.size("beside") > 0))
+
+    def compare(word, k):
+        at = k + F.col("off")
+        of, kind = plain(F.element_at("item_raw", at + 1)), F.element_at("item_template", at + 1)
+        hit = F.exists("seeds", lambda w: (w["item_at"] <= at) & (at < w["item_at"] + w["size"]))
+        return F.struct(at.alias("at"), of.alias("of"), word.alias("is"), (kind.startswith("<") & (kind == F.element_at("t", k + 1)) & hit).alias("slot"))
+
+    compared = placed.select("doc", "item_id", "n", "size", "whole", "shift", (F.size("seeds") > 0).alias("hit"), F.explode(F.array(F.transform("beside", compare))).alias("c"))
+    slots = F.array_distinct(F.transform(F.filter("c", lambda x: x["slot"]), lambda x: F.struct(x["of"], x["is"])))
+    compared = compared.select("doc", "item_id", "n", "size", "whole", "shift", "hit", "c", F.explode(F.array(slots)).alias("slots"))
+    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["of"])))
+    compared = compared.withColumn("consistent", consistent)
+    at = lambda test: F.transform(F.filter("c", test), lambda x: x["at"])
+    kept = at(lambda x: (x["of"] == x["is"]) | (x["slot"] & F.col("consistent")))
+    changed = F.when(F.col("consistent"), F.size(F.filter("slots", lambda s: s["of"] != s["is"]))).otherwise(0)
+    full = compared.select("doc", "item_id", "n", "size", "whole", "shift", "hit", at(lambda x: x["of"] == x["is"]).alias("same"), kept.alias("kept"), changed.alias("changed"))
+    paired = lambda c: F.when(F.col("hit"), F.col(c)).otherwise(F.filter(c, lambda p: F.array_contains(F.col(c), p - 1) | F.array_contains(F.col(c), p + 1)))
+    full = full.select("doc", "item_id", "n", "size", "whole", "shift", paired("same").alias("same"), F.explode(F.array(paired("kept"))).alias("kept"), "changed")
+    found = F.filter("whole", lambda i: F.size(F.array_intersect("kept", F.sequence(i, i + F.col("size") - 1))) == F.col("size"))
+    return full.where(F.size("kept") > 0).withColumn("found", found)
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, share: float = KEPT) -> DataFrame:
+    """doc_id, item_id, coverage, windows_found, first_token, last_token, changed_slots for every document and benchmark
+    item it holds: ``share`` of the item's tokens or more in one place, or ``coverage`` of its windows anywhere.
+
+    Whole texts are read. One place is the diagonals whose shifts differ by up to half the item's length, so words may be
+    replaced, put in and left out; at least WINDOW tokens (of a shorter item, all) must be kept, LITERALS of them as they
+    are. An item shorter than a window is one window of its own length. Windows with fewer than LITERALS words of
+    WINDOW aren't counted, and candidate windows with fewer than half words not looked for. On a diagonal where one benchmark value stands
+    for two document values, placeholders count only where the value is unchanged. ``coverage`` is the larger of the two
+    shares; first and last token and changed_slots are those of the best place. Null texts and null item texts match
+    nothing; repeated rows, and rows that share a doc_id, are one document; null doc_ids are reported as null; extra columns are left out.
     """
     items, wanted = benchmark_windows(benchmark)
-    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # WINDOW or fewer values
+    sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # SEED or fewer values
     rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc"), "text")
     tokens = rows.select("doc", F.explode(F.array(template(raw_tokens(F.col("text"))))).alias("t"))  # one row each: keeps the optimiser from copying the expression
     all_windows = F.concat(*[windows(F.col("t"), s) for s in sizes]) if sizes else F.array().cast("array<struct<at int, hash long>>")
     hits = tokens.select("doc", F.explode(F.array(all_windows)).alias("all")).select("doc", F.explode("all").alias("w")).select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(bounded(wanted), "hash")
     hits = stored(hits.select("doc", "item_id", "at", "item_at", "size").distinct())
 
-    diagonals = hits.groupBy("doc", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("size") - 1).alias("hi"))
-    held = bounded(stored(hits.select("doc").distinct()))
-    texts = rows.join(held, "doc", "left_semi").distinct().select("doc", raw_tokens(F.col("text")).alias("raw"))
-    placed = diagonals.join(texts, "doc").join(bounded(items.select("item_id", "item_raw", "item_template")), "item_id")
-    # only positions that both sides have; a row of the same doc_id with another text may be shorter
-    inside = F.filter(F.sequence(F.col("lo"), F.col("hi")), lambda k: (k < F.size("raw")) & (k - F.col("shift") < F.size("item_raw")) & F.element_at("item_template", k - F.col("shift") + 1).startswith("<"))
-    slots = F.array_distinct(F.transform(inside, lambda k: F.struct(plain(F.element_at("item_raw", k - F.col("shift") + 1)).alias("of"), plain(F.element_at("raw", k + 1)).alias("is"))))
-    slotted = placed.select("doc", "item_id", "shift", slots.alias("slots"))
-    good = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["of"])))
-    consistent = slotted.where(good).groupBy("doc", "item_id", "shift").agg(F.max(F.size(F.filter("slots", lambda s: s["of"] != s["is"]))).alias("changed"))
-
-    counted = hits.withColumn("shift", F.col("at") - F.col("item_at")).join(consistent, ["doc", "item_id", "shift"]).groupBy("doc", "item_id").agg(
-        F.countDistinct("item_at").alias("windows_found"), F.min("at").alias("first_token"), F.max(F.col("at") + F.col("size") - 1).alias("last_token"), F.max("changed").alias("changed_slots")
+    lines = stored(along_diagonals(hits, rows, items))
+    # two rows of places, half an item apart, so that diagonals less than that apart meet in one
+    place = F.floor((2 * F.col("shift") + F.col("half") * F.col("n")) / (2 * F.col("n")))
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    places = lines.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).groupBy("doc", "item_id", "n", "half", place.alias("place")).agg(
+        union("kept").alias("kept"), union("same").alias("same"), F.min(F.col("shift") + F.array_min("kept")).alias("first_token"), F.max(F.col("shift") + F.array_max("kept")).alias("last_token"), F.max("changed").alias("changed_slots")
     )
-    share = F.col("windows_found") / F.col("windows")
-    full = counted.join(bounded(items.select("item_id", "windows")), "item_id").withColumn("coverage", share).where(F.col("coverage") >= coverage)
-    return full.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", "coverage", "windows_found", "first_token", "last_token", "changed_slots")
+    enough = (F.col("kept") >= share * F.col("n")) & (F.col("kept") >= F.least(F.lit(WINDOW), F.col("n"))) & (F.col("same") >= F.least(F.lit(LITERALS), F.col("n")))
+    best = places.groupBy("doc", "item_id").agg(F.max(F.struct(enough.alias("enough"), (F.col("kept") / F.col("n")).alias("kept_share"), -F.col("first_token"), "first_token", "last_token", "changed_slots")).alias("best")).select("doc", "item_id", "best.enough", "best.kept_share", "best.first_token", "best.last_token", "best.changed_slots")
+    counted = lines.select("doc", "item_id", F.size("whole").alias("windows"), F.explode("found").alias("at")).groupBy("doc", "item_id", "windows").agg(F.countDistinct("at").alias("windows_found"))
+    both = best.join(counted, ["doc", "item_id"], "left").withColumn("windows_found", F.coalesce("windows_found", F.lit(0).cast("long")))
+    window_share = F.when(F.col("windows_found") > 0, F.col("windows_found") / F.col("windows")).otherwise(0.0)
+    full = both.withColumn("window_share", window_share).where(F.col("enough") | ((F.col("windows_found") > 0) & (F.col("window_share") >= coverage)))
+    return full.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "item_id", F.greatest("kept_share", "window_share").alias("coverage"), "windows_found", "first_token", "last_token", "changed_slots")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
