@@ -11,10 +11,9 @@ from tidemark.plans.shared import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. All others stay as they are."""
-    predicted = langid.predict(docs, langid.train(docs.where(crc_fold(3) != 1)))
-    rejected = predicted.where(F.col("lang_pred") == langid.UNKNOWN).select(F.col("doc_id").alias("rejected_doc")).distinct()
-    return docs.join(decontam.bounded(stored(rejected)), docs["doc_id"].eqNullSafe(F.col("rejected_doc")), "left_anti")
+    """Drops documents without a language: null texts and texts without a letter. All others stay as they are, and
+    all do if no labelled row is left to learn from."""
+    return langid.with_language(docs, langid.train(docs.where(crc_fold(3) != 1)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,15 @@ def test_stages(spark):
     assert {r.doc_id for r in clean.collect()} == {r.doc_id for r in docs.collect() if not any(i in words(r.text) for i in items)}
 
 
+def test_language_decides_row_by_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, "the cat sat on the mat", "en", "s", 22) for i in range(20)] + [(None, "the dog and the cat", "en", "s", 19), (None, "123 456", "en", "s", 7), (5, "!!", "en", "s", 2)]
+    kept = corpus_pipeline.language(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert len(kept) == 21 and {r.text for r in kept} == {"the cat sat on the mat", "the dog and the cat"} and sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 5 for r in kept) == 1
+    unlabelled = spark.createDataFrame([(i, t, None, s, n) for i, t, _, s, n in rows], schema)
+    assert corpus_pipeline.language(spark, unlabelled, SF).count() == len(rows)
+
+
 def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.where(F.col("n_tokens") < 0).count() == 0 and 0 < out.count() <= 200

@@ -131,3 +131,17 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], ["doc_id", "lang_pred", "score", "ambiguous"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def with_language(docs: DataFrame, model: dict | None) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text has a language: those that ``predict`` gives another one than
+    ``und``. Each row is decided alone, whatever its doc_id. Without a model nothing can be told, and all rows stay."""
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([bool(t and LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
