@@ -37,6 +37,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str):
+    """A column by its exact name, whatever characters are in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, **added) -> DataFrame:
+    """Each row of ``df`` as one struct ``row``, beside ``added`` columns: names of helpers can't clash with the caller's."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("row"), *[c.alias(name) for name, c in added.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The ``columns`` of the struct ``row``; ``changed`` ones replace those of the same name, or are added behind."""
+    lower = {name.lower(): name for name in changed}
+    own = [changed[lower.pop(c.lower())].alias(c) if c.lower() in lower else F.col("row")[c].alias(c) for c in columns]
+    return df.select(*own, *[changed[name].alias(name) for name in lower.values()])
+
+
 def first_column(df: DataFrame, candidates: list[str], default=None):
     """The first of ``candidates`` that ``df`` has, as a column; the literal ``default`` if it has none."""
     found = [c for c in candidates if c in df.columns]
