@@ -107,8 +107,8 @@ def test_minhash_registers():
 
 
 def brute_lines(rows):
-    items = [((d, i), set(" ".join(x.lower().split()).split(" "))) for d, t in rows for i, x in enumerate(t.split("\n"))]
-    items = sorted([x for x in items if len(x[1]) >= 5], key=lambda x: x[0])
+    items = [((d, i), set(x.lower().split())) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    items = sorted([x for x in items if x[1]], key=lambda x: x[0])
     gone = set()
     for k, (pos, w) in enumerate(items):
         if any(180 * len(v & w) >= 80 * (len(v) + len(w)) for _, v in items[:k]):
@@ -133,9 +133,38 @@ def test_lines_equal_all_pairs(spark):
 
 
 def test_lines_keep_columns_and_odd_rows(spark):
-    out = linededup.dedup_lines(docs(spark, [(1, "a b c d e f"), (2, None), (3, "A  b c\td e F\nshort"), (3, "A  b c\td e F\nshort")]))
+    rows = [(1, "a b c d e f"), (2, None), (3, "A  b c\td e F\nshort"), (3, "A  b c\td e F\nshort"), (4, "Short \n\n  "), (5, "")]
+    out = linededup.dedup_lines(docs(spark, rows))
     assert out.columns == [*DOCS.replace(",", " ").split()[::2], "lines_removed"]
-    assert sorted((r.doc_id, r.text, r.lines_removed) for r in out.collect()) == [(1, "a b c d e f", 0), (2, None, 0), (3, "short", 1), (3, "short", 1)]
+    assert sorted((r.doc_id, r.text, r.lines_removed) for r in out.collect()) == [(1, "a b c d e f", 0), (2, None, 0), (3, "short", 1), (3, "short", 1), (4, "\n  ", 1), (5, "", 0)]
+
+
+def test_lines_of_texts_that_share_an_id(spark):
+    """Texts with one doc_id, or none, lose only their own lines; names used inside don't clash with the caller's."""
+    schema = "doc_id long, text string, doc long, text_hash long, listed string, lines_removed string, row string, `a.b` int, line int"
+    texts = [(7, "x y z one\nsame line here"), (7, "same line here\nx y z two"), (None, "same line here\nnull one"), (None, "null one\nnull two"), (8, "x y z one\nnull two\nlast")]
+    df = spark.createDataFrame([(i, t, -1, -2, "l", "r", "w", 3, 4) for i, t in texts], schema)
+    out = linededup.dedup_lines(df)
+    assert out.columns == df.columns
+    rows = out.collect()
+    assert all((r.doc, r.text_hash, r.listed, r.row, r["a.b"], r.line) == (-1, -2, "l", "w", 3, 4) for r in rows)
+    kept = sorted(x for r in rows for x in r.text.split("\n") if x)
+    assert kept == sorted(["x y z one", "same line here", "x y z two", "null one", "null two", "last"])
+    assert sum(r.lines_removed for r in rows) == 5
+    assert sorted(x for r in linededup.dedup_lines(df, count_as=None).collect() for x in [r.lines_removed]) == ["r"] * 5
+
+
+def test_lines_of_a_hot_group(spark):
+    """Hundreds of lines alike, every pair near the threshold, and words that nearly every line holds."""
+    rnd = random.Random(3)
+    base = [f"b{i}" for i in range(24)]
+    rows = []
+    for d in range(250):
+        w = list(base)
+        for _ in range(rnd.choice([0, 1, 1, 2, 2, 3])):
+            w[rnd.randrange(24)] = f"e{rnd.randrange(10**6)}"
+        rows.append((d, " ".join(w) + "\n" + " ".join(rnd.choice("the of and in to".split()) for _ in range(rnd.randint(1, 4)))))
+    assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()} == brute_lines(rows)
 
 
 def test_toxicity_matches_misspellings_and_quotes(spark):

@@ -2,23 +2,28 @@
 
 A line is the set of its lower-cased words. Words are ordered by rarity; two sets can only be similar if
 the first few words of both, in that order, meet (prefix filter), at places early enough (positional filter), in lines of
-like length (length filter), and if the parity bitmaps of the sets differ in few enough bits. Pairs that
-pass are verified on the whole sets, and of similar lines all but the first in the corpus are removed.
+like length (length filter), and if the parity bitmaps of the sets differ in few enough bits. A line only needs one
+similar line before it, so the joins are semi joins: no row is ever made for a pair, however many lines are alike.
+The whole sets are compared in the condition of the last one, and of similar lines all but the first in the corpus are removed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.shared import stored
+from tidemark.plans.shared import packed, stored, unpacked
 
-#: Least distinct words of a line that can be removed; similarity in percent.
-WORDS, PERCENT = 5, 80
+#: Similarity in percent.
+PERCENT = 80
 #: Words are counted in 2 ** COUNTER_BITS hashed counters, a fixed size whatever the corpus.
-COUNTER_BITS = 17
-#: Lists of line numbers are broadcast up to this many documents; more are joined by shuffle.
+COUNTER_BITS = 16
+#: Lists of line numbers are broadcast up to this many entries in all; more are joined by shuffle.
 LISTS_BROADCAST = 1_000_000
+WIDE = ("map0", "map1", "map2", "map3")
 NO_ID = -(1 << 63)
 
 
@@ -34,48 +39,35 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def has_words(norm: Column, words: int) -> Column:
-    """Whether a line has ``words`` distinct words; its first words settle that for nearly every line."""
-    all_words = F.split(norm, " ")
-    first = F.size(F.array_distinct(F.slice(all_words, 1, 3 * words))) >= words
-    return (F.length(norm) > 2 * words - 2) & (first | (F.size(F.array_distinct(all_words)) >= words))
-
-
-def bitmaps(words: Column) -> Column:
-    """Parity bitmap of 256 bits as four numbers: a word flips the bit that its hash names."""
-    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda j: F.aggregate(F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == j), F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int")))))
-
-
 def word_classes(texts: DataFrame) -> Column:
-    """Of lower-cased texts: rarity class (0-127, by the logarithm of the count) of every counter, as a binary literal of one byte each.
+    """Of lower-cased texts: rarity class of every counter (by the logarithm of the count), as the seven high bits of a long.
 
-    Words are counted over all lines; only the counters, of which there are 2 ** COUNTER_BITS for any corpus,
-    reach the driver."""
+    Words, parted by spaces, are counted over all lines; only the counters, of which there are 2 ** COUNTER_BITS for any
+    corpus, reach the driver."""
     size = 1 << COUNTER_BITS
     counter = F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int")
-    counted = texts.select(F.explode(F.split("text", r"[ \t\n\x0B\f\r]+")).alias("w")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
-    classes = bytearray(size)
+    lines = texts.select(F.explode(F.split("text", "\n")).alias("raw"))
+    counted = lines.select(F.explode(F.split("raw", " ")).alias("w")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
+    classes = [-64 << 57] * size
     for r in counted.select("counter", F.least(F.lit(127), F.floor(3 * F.log2(1 + F.col("n")))).alias("class")).collect():
-        classes[r["counter"]] = r["class"]
-    return F.lit(bytes(classes))
+        classes[r["counter"]] = (r["class"] - 64) << 57
+    return F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<long>")  # folded to a constant by the optimiser
 
 
 def sorted_words(norm: Column, classes: Column) -> Column:
     """Distinct words as 64-bit keys, rare words first: the class in front, then 57 bits of the word's hash."""
+    key = lambda h: F.get(classes, h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
+    return F.sort_array(F.transform(F.array_distinct(hashed_words(norm)), key))
 
-    def key(w):
-        h = F.xxhash64(w)
-        at = (h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)) + 1).cast("int")
-        rarity = F.ascii(F.substring(classes, at, F.lit(1)).cast("string")) - 64
-        return F.shiftleft(rarity.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
 
-    return F.sort_array(F.transform(F.array_distinct(F.split(norm, " ")), key))
+def hashed_words(norm: Column) -> Column:
+    return F.transform(F.split(norm, " "), lambda w: F.xxhash64(w))
 
 
 def on_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Joins documents with (doc, listed) rows, by broadcast while those are few."""
-    few = lists.count() <= LISTS_BROADCAST
-    return docs.join(F.broadcast(lists) if few else lists, "doc", how)
+    """Joins documents with (doc, text_hash, listed) rows, by broadcast while those hold few numbers."""
+    entries = lists.agg(F.coalesce(F.sum(F.size("listed") + 1), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(lists) if entries <= LISTS_BROADCAST else lists, ["doc", "text_hash"], how)
 
 
 def overlap(a: Column, b: Column, percent: int) -> Column:
@@ -83,78 +75,108 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
     return F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))
 
 
-def similar_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc, line, first_doc, first_line: for each line (numbered from 0) that has an equal or similar line before it
-    in order of doc_id and line number, the first of those. Lines of fewer than ``words`` distinct words have none.
+def bitmap(words: Column, part: int) -> Column:
+    """One of four parts of a parity bitmap of 256 bits: a word flips the bit that its hash names."""
+    own = F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == part)
+    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def plausible(percent: int, maps: tuple[str, ...]) -> Column:
+    """Whether rows a and b of one prefix word can belong to similar lines: length, positional and bitmap filter."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    least = overlap(na, nb, percent)
+    spare = na + nb - 2 * least
+    return (
+        (F.col("a.key") == F.col("b.key"))
+        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
+        & (F.col("a.at") + F.col("b.at") <= spare)
+        & (reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in maps]) <= spare)
+        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= least)
+    )
+
 
-    ``docs`` has doc (not null) and text (not null). Equal lines are one from the start, so a line that a third of
-    all documents share costs one row a partition; the join sees each distinct line once.
+def repeated_lines(light: DataFrame) -> DataFrame:
+    """``light`` (doc, text_hash, line, h1, h2: position and digest of a line), with ``repeat``: an equal line is before it."""
+    several = light.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+    several = stored(several.select("h1", "h2", "first_doc"))
+    firsts = light.join(several, ["h1", "h2"]).where("doc = first_doc").groupBy("h1", "h2", "first_doc").agg(F.min(F.struct("text_hash", "line")).alias("first"))
+    at_first = (F.col("doc") == F.col("first_doc")) & (F.struct("text_hash", "line") == F.col("first"))
+    return light.join(firsts, ["h1", "h2"], "left").select("doc", "text_hash", "line", "h1", F.coalesce(~at_first, F.lit(False)).alias("repeat"))
+
+
+def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc, text_hash, line of each line (numbered from 0) that has an equal or similar line before it in order of doc,
+    text_hash and line number. Lines without words have none.
+
+    ``docs`` has doc, text_hash and text (none null); rows equal in the first two are one text. Equal lines are one from the start, so
+    a line that a third of all documents share costs one row a partition; the joins see each distinct line once.
     """
-    docs = docs.select("doc", once(F.lower("text")).alias("text"))
-    lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "raw")).select("doc", "line", once(normal(F.col("raw"))).alias("norm"))
-    long_enough = lines.where(has_words(F.col("norm"), words))
-    light = stored(long_enough.select("doc", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2")))
-    firsts = stored(light.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("n")))
+    docs = docs.select("doc", "text_hash", once(F.lower("text")).alias("text"))
 
-    ranks = word_classes(docs)
+    def lines_of(frame):
+        return frame.select("doc", "text_hash", *[c for c in ("listed",) if c in frame.columns], F.posexplode(F.split("text", "\n")).alias("line", "raw"))
+
+    norm = once(normal(F.col("raw"))).alias("norm")
+    light = stored(lines_of(docs).select("doc", "text_hash", "line", norm).where("norm != ''").select("doc", "text_hash", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2")))
+    marked = stored(repeated_lines(light))
     # documents whose every line is a first need no list; others list the lines that aren't
-    repeats = stored(light.join(firsts.where("n > 1"), ["h1", "h2"]).where((F.col("doc") != F.col("first.doc")) | (F.col("line") != F.col("first.line"))).groupBy("doc").agg(F.collect_list("line").alias("listed")))
-    unique = on_lists(docs, repeats, "left").select("doc", "listed", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.col("listed").isNull() | ~F.array_contains("listed", F.col("line")))
-    sets = unique.select("doc", "line", once(normal(F.col("raw"))).alias("norm")).where(F.length("norm") > 2 * words - 2).select("doc", "line", once(sorted_words(F.col("norm"), ranks)).alias("keys"))
-    sets = sets.select("doc", "line", "keys", F.size("keys").alias("n")).where(F.col("n") >= words)
+    repeats = stored(marked.where("repeat").groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed")))
+
+    ranks = word_classes(docs)
+    unique = lines_of(on_lists(docs, repeats, "left")).where(F.col("listed").isNull() | ~F.array_contains("listed", F.col("line")))
+    sets = unique.select(norm).where("norm != ''").select(F.xxhash64("norm").alias("h"), once(sorted_words(F.col("norm"), ranks)).alias("keys"))
+    n = F.size("keys")
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(1L, int(k & 63)))")
-    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    rows = sets.select("doc", "line", "n", once(bits).alias("bits"), prefix.alias("prefix")).select("doc", "line", "n", "bits", F.posexplode("prefix").alias("at", "key"))
-
-    a, b = (rows.select("key", *[F.col(c).alias(c + x) for c in ("doc", "line", "n", "bits", "at")]) for x in "ab")
-    least = overlap(F.col("na"), F.col("nb"), percent)
-    spare = F.col("na") + F.col("nb") - 2 * least
-    ordered = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & ((F.col("doca") < F.col("docb")) | ((F.col("doca") == F.col("docb")) & (F.col("linea") < F.col("lineb")))))
-    fits = (
-        (100 * F.col("na") >= percent * F.col("nb"))
-        & (F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb")) >= least)
-        & (F.col("ata") + F.col("atb") <= spare)
-        & (F.bit_count(F.col("bitsa").bitwiseXOR(F.col("bitsb"))) <= spare)
-    )
-    joined = a.join(b, (a["key"] == b["key"]) & ordered & fits)
-    pairs = stored(joined.select("doca", "linea", "docb", "lineb").distinct())
-
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line")))).alias("e")).select("e.*").distinct()
-    wanted = stored(ends.groupBy("doc").agg(F.collect_list("line").alias("listed")))
-    full = on_lists(docs, wanted, "inner").select("doc", "listed", F.posexplode(F.split("text", "\n")).alias("line", "raw")).where(F.array_contains("listed", F.col("line")))
-    full = full.select("doc", "line", once(normal(F.col("raw"))).alias("norm")).select("doc", "line", once(F.array_distinct(F.split("norm", " "))).alias("words"))
-    full = stored(full.select("doc", "line", F.transform("words", lambda w: F.xxhash64(w)).alias("words")))
-    # a wider bitmap first, so that few word lists have to move
-    maps = full.select("doc", "line", F.size("words").alias("n"), bitmaps(F.col("words")).alias("map"))
-    ma, mb = (maps.select(*[F.col(c).alias(c + x) for c in ("doc", "line", "n", "map")]) for x in "ab")
-    apart = F.aggregate(F.zip_with("mapa", "mapb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    near = pairs.join(ma, ["doca", "linea"]).join(mb, ["docb", "lineb"]).where(apart <= spare)
-    pairs = stored(near.select("doca", "linea", "docb", "lineb"))
-    wa, wb = (full.select(*[F.col(c).alias(c + x) for c in ("doc", "line", "words")]) for x in "ab")
-    both = pairs.join(wa, ["doca", "linea"]).join(wb, ["docb", "lineb"]).withColumn("common", F.size(F.array_intersect("wordsa", "wordsb")))
-    true = both.where((100 + percent) * F.col("common") >= percent * (F.size("wordsa") + F.size("wordsb"))).select("doca", "linea", "docb", "lineb")
-
-    p, q = F.struct(F.col("doca").alias("doc"), F.col("linea").alias("line")), F.struct(F.col("docb").alias("doc"), F.col("lineb").alias("line"))
-    earlier = true.select(F.greatest(p, q).alias("later"), F.least(p, q).alias("early")).groupBy("later").agg(F.min("early").alias("early"))
-    marked = firsts.join(earlier, firsts["first"] == earlier["later"], "left").where("n > 1 or early is not null").select("h1", "h2", F.coalesce("early", "first").alias("origin"))
-    return light.join(marked, ["h1", "h2"]).where(F.struct("doc", "line") > F.col("origin")).select("doc", "line", F.col("origin.doc").alias("first_doc"), F.col("origin.line").alias("first_line"))
-
-
-def dedup_lines(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    rows = sets.select("h", n.alias("n"), once(bits).alias("bits"), prefix.alias("prefix")).select("h", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    # rows of lines that have a partner before or behind them
+    met = stored(rows.alias("a").join(rows.alias("b"), plausible(percent, ("bits",)) & (F.col("a.h") != F.col("b.h")), "left_semi"))
+
+    lines = met.select("h").distinct()
+    wanted = marked.where("not repeat").join(lines, F.col("h1") == F.col("h")).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed"))
+    full = lines_of(on_lists(docs, stored(wanted), "inner")).where(F.array_contains("listed", F.col("line"))).select("doc", "text_hash", "line", norm)
+    full = stored(full.select(F.xxhash64("norm").alias("h"), "doc", "text_hash", "line", F.array_distinct(hashed_words(F.col("norm"))).alias("words")))
+    # with wider bitmaps, so that few word lists have to move
+    placed = stored(met.drop("bits").join(full.select("h", "doc", "text_hash", "line", *[bitmap(F.col("words"), k).alias(m) for k, m in enumerate(WIDE)]), "h"))
+    place = lambda x: F.struct(F.col(f"{x}.doc"), F.col(f"{x}.text_hash"), F.col(f"{x}.line"))
+    earlier = plausible(percent, WIDE) & (place("b") < place("a"))
+    open_ = stored(placed.alias("a").join(placed.alias("b"), earlier, "left_semi"))
+    words = full.select("h", "words")
+    same = F.size(F.array_intersect("a.words", "b.words"))
+
+    def decided(tried: DataFrame) -> DataFrame:
+        """Lines of ``tried`` rows that have a similar line before them, by the whole sets."""
+        near = placed.alias("b").join(tried.alias("a"), earlier, "left_semi")
+        pairs = tried.join(words, "h").alias("a").join(near.join(words, "h").alias("b"), earlier & ((100 + percent) * same >= percent * (F.col("a.n") + F.col("b.n"))), "left_semi")
+        return stored(pairs.select("h", "doc", "text_hash", "line").distinct())
+
+    # the first prefix word that met another line settles most lines; the rest try their other words
+    ordered = open_.join(open_.groupBy("h").agg(F.min("at").alias("least")), "h")
+    ordered = stored(ordered)
+    first = decided(ordered.where("at = least").drop("least"))
+    second = decided(ordered.where("at > least").drop("least").join(first.select("h"), "h", "left_anti"))
+    return marked.where("repeat").select("doc", "text_hash", "line").unionByName(first.unionByName(second).drop("h"))
+
+
+def dedup_lines(docs: DataFrame, percent: int = PERCENT, count_as: str | None = "lines_removed") -> DataFrame:
     """The rows of ``docs``, all their columns, with ``text`` less the lines that have an equal or similar line
-    earlier in the corpus; lines_removed is added.
+    earlier in the corpus. The number of lines removed is added as ``count_as`` unless that is None; a column
+    of ``docs`` with that name is replaced, all others keep their values whatever they are called.
 
-    The order is doc_id, then line number; similarity is Jaccard's over distinct lower-cased words (runs of
-    non-white space), at least ``percent``; lines of fewer than ``words`` distinct words always stay. Only the first
+    The order is doc_id, then the text's hash (for rows that share a doc_id), then line number; similarity is Jaccard's over
+    distinct lower-cased words (runs of non-white space), at least ``percent``; lines without words always stay. Only the first
     of a chain of similar lines is sure to stay: a line goes for an earlier similar one even if that goes too.
-    Null texts stay null with 0 removed; null doc_ids count as one document before all others; rows that share
-    a doc_id share their line numbers, so copies of one row keep and lose the same lines. If all lines go, text is "".
+    Null texts stay null with 0 removed; null doc_ids come before all others; rows equal in doc_id and text are
+    one text, so they keep and lose the same lines, and rows that share only the doc_id are different texts. If all lines go, text is "".
     """
     id_col = F.coalesce("doc_id", F.lit(NO_ID).cast("long"))
-    gone = similar_lines(docs.where("text is not null").select(id_col.alias("doc"), "text"), percent, words)
-    lists = stored(gone.groupBy("doc").agg(F.collect_set("line").alias("listed")))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("listed", i)), "\n")
-    joined = on_lists(docs.withColumn("doc", id_col), lists, "left")
-    text = F.when(F.col("listed").isNull(), F.col("text")).otherwise(kept)
-    removed = F.when(F.col("listed").isNull() | F.col("text").isNull(), 0).otherwise(F.size(F.array_intersect("listed", F.sequence(F.lit(0), F.size(F.split("text", "\n")) - 1))))
-    return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns], removed.alias("lines_removed"))
+    keyed = packed(docs, doc=id_col, text_hash=F.xxhash64("text"))
+    gone = similar_lines(docs.where("text is not null").select(id_col.alias("doc"), F.xxhash64("text").alias("text_hash"), "text"), percent)
+    lists = stored(gone.distinct().groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed")))
+    joined = on_lists(keyed, lists, "left")
+    text, listed = F.col("row")["text"], F.col("listed")
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("listed", i)), "\n")
+    changed = {"text": F.when(listed.isNull() | text.isNull(), text).otherwise(kept)}
+    if count_as:
+        changed[count_as] = F.when(listed.isNull() | text.isNull(), 0).otherwise(F.size("listed"))
+    return unpacked(joined, docs.columns, **changed)
