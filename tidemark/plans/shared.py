@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most rows of a table that is broadcast.
+BROADCAST_ROWS = 1_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir`` when the session has it.
@@ -29,7 +32,22 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept.stored_at = path
+    return kept
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes tables of ``stored`` that nothing reads any more: all that came from them is stored itself."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, which is a stored or otherwise cheap table of short rows, marked for broadcast if it has at most ``rows``; beyond that its joins shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
