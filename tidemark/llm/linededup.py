@@ -15,7 +15,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.shared import packed, stored, unpacked
+from tidemark.plans.shared import bounded, packed, released, stored, unpacked
 
 #: Similarity in percent.
 PERCENT = 80
@@ -99,9 +99,13 @@ def repeated_lines(light: DataFrame) -> DataFrame:
     """``light`` (doc, text_hash, line, h1, h2: position and digest of a line), with ``repeat``: an equal line is before it."""
     several = light.groupBy("h1", "h2").agg(F.min("doc").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
     several = stored(several.select("h1", "h2", "first_doc"))
-    firsts = light.join(several, ["h1", "h2"]).where("doc = first_doc").groupBy("h1", "h2", "first_doc").agg(F.min(F.struct("text_hash", "line")).alias("first"))
+    firsts = light.join(bounded(several), ["h1", "h2"]).where("doc = first_doc").groupBy("h1", "h2", "first_doc").agg(F.min(F.struct("text_hash", "line")).alias("first"))
+    firsts = stored(firsts)
     at_first = (F.col("doc") == F.col("first_doc")) & (F.struct("text_hash", "line") == F.col("first"))
-    return light.join(firsts, ["h1", "h2"], "left").select("doc", "text_hash", "line", "h1", F.coalesce(~at_first, F.lit(False)).alias("repeat"))
+    marked = light.join(bounded(firsts), ["h1", "h2"], "left").select("doc", "text_hash", "line", "h1", F.coalesce(~at_first, F.lit(False)).alias("repeat"))
+    marked = stored(marked)
+    released(light, several, firsts)
+    return marked
 
 
 def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -118,7 +122,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     norm = once(normal(F.col("raw"))).alias("norm")
     light = stored(lines_of(docs).select("doc", "text_hash", "line", norm).where("norm != ''").select("doc", "text_hash", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2")))
-    marked = stored(repeated_lines(light))
+    marked = repeated_lines(light)
     # documents whose every line is a first need no list; others list the lines that aren't
     repeats = stored(marked.where("repeat").groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed")))
 
@@ -129,33 +133,47 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(1L, int(k & 63)))")
     prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     rows = sets.select("h", n.alias("n"), once(bits).alias("bits"), prefix.alias("prefix")).select("h", "n", "bits", F.posexplode("prefix").alias("at", "key"))
+    # half of the word's hash will do to meet
+    rows = rows.withColumn("key", (F.col("key") % ((1 << 31) - 1)).cast("int"))
     # rows of lines that have a partner before or behind them
     met = stored(rows.alias("a").join(rows.alias("b"), plausible(percent, ("bits",)) & (F.col("a.h") != F.col("b.h")), "left_semi"))
 
-    lines = met.select("h").distinct()
-    wanted = marked.where("not repeat").join(lines, F.col("h1") == F.col("h")).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed"))
-    full = lines_of(on_lists(docs, stored(wanted), "inner")).where(F.array_contains("listed", F.col("line"))).select("doc", "text_hash", "line", norm)
-    full = stored(full.select(F.xxhash64("norm").alias("h"), "doc", "text_hash", "line", F.array_distinct(hashed_words(F.col("norm"))).alias("words")))
-    # with wider bitmaps, so that few word lists have to move
-    placed = stored(met.drop("bits").join(full.select("h", "doc", "text_hash", "line", *[bitmap(F.col("words"), k).alias(m) for k, m in enumerate(WIDE)]), "h"))
+    lines = stored(met.select("h").distinct())
+    wanted = marked.where("not repeat").join(bounded(lines), F.col("h1") == F.col("h")).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed"))
+    wanted = stored(wanted)
+    full = lines_of(on_lists(docs, wanted, "inner")).where(F.array_contains("listed", F.col("line"))).select("doc", "text_hash", "line", norm)
+    # with wider bitmaps, so that few texts have to move
+    hashed = once(hashed_words(F.col("norm"))).alias("words")
+    full = full.select("doc", "text_hash", "line", "norm", hashed).select(F.xxhash64("norm").alias("h"), "doc", "text_hash", "line", "norm", once(F.array_distinct("words")).alias("words"))
+    full = stored(full.select("h", "doc", "text_hash", "line", "norm", *[bitmap(F.col("words"), k).alias(m) for k, m in enumerate(WIDE)]))
+    placed = stored(met.drop("bits").join(bounded(full.drop("norm")), "h"))
+    released(repeats, met, lines, wanted)
+
     place = lambda x: F.struct(F.col(f"{x}.doc"), F.col(f"{x}.text_hash"), F.col(f"{x}.line"))
     earlier = plausible(percent, WIDE) & (place("b") < place("a"))
-    open_ = stored(placed.alias("a").join(placed.alias("b"), earlier, "left_semi"))
-    words = full.select("h", "words")
-    same = F.size(F.array_intersect("a.words", "b.words"))
+    # b.h only makes both sides read the same columns, so that one exchange serves both
+    tried = stored(placed.alias("a").join(placed.alias("b"), earlier & (F.col("a.h") != F.col("b.h")), "left_semi"))
+    same = F.size(F.array_intersect(F.split("a.norm", " "), F.split("b.norm", " ")))
 
     def decided(tried: DataFrame) -> DataFrame:
         """Lines of ``tried`` rows that have a similar line before them, by the whole sets."""
-        near = placed.alias("b").join(tried.alias("a"), earlier, "left_semi")
-        pairs = tried.join(words, "h").alias("a").join(near.join(words, "h").alias("b"), earlier & ((100 + percent) * same >= percent * (F.col("a.n") + F.col("b.n"))), "left_semi")
-        return stored(pairs.select("h", "doc", "text_hash", "line").distinct())
+        keys = stored(tried.select("key").distinct())
+        near = stored(placed.join(bounded(keys), "key", "left_semi").alias("b").join(tried.alias("a"), earlier, "left_semi"))
+        needed = stored(near.select("h").unionByName(tried.select("h")).distinct())
+        norms = full.select("h", "norm").join(bounded(needed), "h", "left_semi")
+        pairs = tried.join(norms, "h").alias("a").join(near.join(norms, "h").alias("b"), earlier & ((100 + percent) * same >= percent * (F.col("a.n") + F.col("b.n"))), "left_semi")
+        found = stored(pairs.select("h", "doc", "text_hash", "line").distinct())
+        released(keys, near, needed)
+        return found
 
     # the first prefix word that met another line settles most lines; the rest try their other words
-    ordered = open_.join(open_.groupBy("h").agg(F.min("at").alias("least")), "h")
-    ordered = stored(ordered)
+    firsts = stored(tried.groupBy("h").agg(F.min("at").alias("least")))
+    ordered = stored(tried.join(bounded(firsts), "h"))
     first = decided(ordered.where("at = least").drop("least"))
-    second = decided(ordered.where("at > least").drop("least").join(first.select("h"), "h", "left_anti"))
-    return marked.where("repeat").select("doc", "text_hash", "line").unionByName(first.unionByName(second).drop("h"))
+    second = decided(ordered.where("at > least").drop("least").join(bounded(first.select("h")), "h", "left_anti"))
+    gone = stored(marked.where("repeat").select("doc", "text_hash", "line").unionByName(first.unionByName(second).drop("h")).distinct())
+    released(marked, full, placed, tried, firsts, ordered, first, second)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, count_as: str | None = "lines_removed") -> DataFrame:
@@ -172,7 +190,8 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, count_as: str | None =
     id_col = F.coalesce("doc_id", F.lit(NO_ID).cast("long"))
     keyed = packed(docs, doc=id_col, text_hash=F.xxhash64("text"))
     gone = similar_lines(docs.where("text is not null").select(id_col.alias("doc"), F.xxhash64("text").alias("text_hash"), "text"), percent)
-    lists = stored(gone.distinct().groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed")))
+    lists = stored(gone.groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed")))
+    released(gone)
     joined = on_lists(keyed, lists, "left")
     text, listed = F.col("row")["text"], F.col("listed")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("listed", i)), "\n")
