@@ -23,7 +23,7 @@ PERCENT = 80
 COUNTER_BITS = 16
 #: Lists of line numbers are broadcast up to this many entries in all; more are joined by shuffle.
 LISTS_BROADCAST = 1_000_000
-WIDE = ("map0", "map1", "map2", "map3")
+WIDE = ("map0", "map1")
 NO_ID = -(1 << 63)
 
 
@@ -40,7 +40,7 @@ def once(value: Column) -> Column:
 
 
 def word_classes(texts: DataFrame) -> Column:
-    """Of lower-cased texts: rarity class of every counter (by the logarithm of the count), as the seven high bits of a long.
+    """Of lower-cased texts: rarity class (0-127, by the logarithm of the count) of every counter, as a binary literal of one byte each.
 
     Words, parted by spaces, are counted over all lines; only the counters, of which there are 2 ** COUNTER_BITS for any
     corpus, reach the driver."""
@@ -48,15 +48,20 @@ def word_classes(texts: DataFrame) -> Column:
     counter = F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int")
     lines = texts.select(F.explode(F.split("text", "\n")).alias("raw"))
     counted = lines.select(F.explode(F.split("raw", " ")).alias("w")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
-    classes = [-64 << 57] * size
+    classes = bytearray(size)
     for r in counted.select("counter", F.least(F.lit(127), F.floor(3 * F.log2(1 + F.col("n")))).alias("class")).collect():
-        classes[r["counter"]] = (r["class"] - 64) << 57
-    return F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<long>")  # folded to a constant by the optimiser
+        classes[r["counter"]] = r["class"]
+    return F.lit(bytes(classes))
 
 
 def sorted_words(norm: Column, classes: Column) -> Column:
     """Distinct words as 64-bit keys, rare words first: the class in front, then 57 bits of the word's hash."""
-    key = lambda h: F.get(classes, h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 7))
+
+    def key(h):
+        at = (h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)) + 1).cast("int")
+        rarity = F.ascii(F.substring(classes, at, F.lit(1)).cast("string")) - 64
+        return F.shiftleft(rarity.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+
     return F.sort_array(F.transform(F.array_distinct(hashed_words(norm)), key))
 
 
@@ -76,8 +81,8 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def bitmap(words: Column, part: int) -> Column:
-    """One of four parts of a parity bitmap of 256 bits: a word flips the bit that its hash names."""
-    own = F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(3)) == part)
+    """One of two parts of a parity bitmap of 128 bits: a word flips the bit that its hash names."""
+    own = F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)) == part)
     return F.aggregate(own, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
 
 
