@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.plans.shared import stored
+from tidemark.llm.rows import keyed, opened, without
+from tidemark.plans.shared import bounded, stored
 
 #: Template tokens of a window; least literal tokens in one; share of an item's windows that a document must hold.
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
@@ -19,8 +20,6 @@ WINDOW, LITERALS, COVERAGE = 8, 4, 0.5
 SEED, KEPT = 4, 0.7
 #: Diagonals this far from one with a hit are compared too, for words put in or left out close to each other.
 NEAR = 2
-#: Benchmark windows, or ids of documents with a hit, are broadcast up to this many rows; more are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 NO_ID = -(1 << 63)
 #: Units of measure, lower case.
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres kilometer kilometers mile miles foot feet inch inches gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres dollar dollars cent cents euro euros percent degree degrees watt watts volt volts hz khz mhz ghz kb mb gb tb".split()
@@ -55,10 +54,6 @@ def windows(tokens: Column, size: Column | int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(size, F.slice(tokens, i + 1, size)).alias("hash")))
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Items (item_id, item_raw, item_template, n, size, whole: starts of their windows) and their candidate windows (item_id, item_at, hash, size)."""
     items = benchmark.where("text is not null").select("item_id", raw_tokens(F.col("text")).alias("item_raw")).withColumn("item_template", template(F.col("item_raw")))
@@ -145,6 +140,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, s
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
-    """The rows of ``docs``, all columns, whose document matches no benchmark item (see ``matches``)."""
-    found = stored(matches(docs, benchmark, coverage).select("doc_id").distinct()).withColumnRenamed("doc_id", "leaked_doc")
-    return docs.join(bounded(found), docs["doc_id"].eqNullSafe(F.col("leaked_doc")), "left_anti")
+    """The rows of ``docs``, all columns, whose text matches no benchmark item (see ``matches``).
+
+    Each row goes or stays by its own text, also when its doc_id is null or shared; rows with null text stay, and all rows
+    do if there is no item.
+    """
+    rows = keyed(docs)
+    found = stored(matches(rows.select("doc_id", "text"), benchmark, coverage).select("doc_id").distinct())
+    return opened(without(rows, found), docs.columns)

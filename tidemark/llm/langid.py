@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Hashed n-gram features; labelled rows taken of each language, the fit's bound; the least lead in score that isn't ambiguous.
 FEATURES, ROWS_PER_LANGUAGE, LEAD = 4096, 600, 0.1
+#: Share of the nearest codeword under which an ambiguous text is rejected.
+WEAK = 0.4
 UNKNOWN = "und"
 
 LETTER = regex.compile(r"\p{L}")
@@ -88,19 +90,24 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def train(labelled: DataFrame) -> dict | None:
     """Model from the ``text`` and non-null ``lang`` of the given rows: of each language the ROWS_PER_LANGUAGE
-    texts with the smallest hash, whole. Texts without a letter teach nothing. None if no row is left."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= ROWS_PER_LANGUAGE).select("doc_id").distinct()
+    different texts with the smallest hash, whole. Texts without a letter teach nothing; repeated ones teach once. None if no row is left.
+
+    The threshold of each language's hash follows from its number of different texts and lets about twice as many pass, so that
+    only those are ordered, however many rows a language has."""
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("h"))
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).collect()}
+    if not sizes:
+        return None
+    most = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, int(min(2.0**63 - 1025, -(2.0**63) + 2.0**64 * min(1, 2 * ROWS_PER_LANGUAGE / n))))])
 
     def run(batches):
         for batch in batches:
             vectors = [features(t.as_py()).astype(np.float16).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary()), batch.column(2)], ["lang", "x", "h"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, x binary").collect()
-    if not got:
-        return None
+    few = rows.where(F.col("h") <= most[F.col("lang")]).mapInArrow(run, "lang string, x binary, h long").groupBy("lang", "h").agg(F.first("x").alias("x"))
+    chosen = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= ROWS_PER_LANGUAGE)
+    got = chosen.select("lang", "x").collect()
     languages = sorted({r["lang"] for r in got})
     at = {v: i for i, v in enumerate(languages)}
     got.sort(key=lambda r: (r["lang"], bytes(r["x"])))
@@ -134,14 +141,23 @@ def predict(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def with_language(docs: DataFrame, model: dict | None) -> DataFrame:
-    """The rows of ``docs``, all columns, whose own text has a language: those that ``predict`` gives another one than
-    ``und``. Each row is decided alone, whatever its doc_id. Without a model nothing can be told, and all rows stay."""
+    """The rows of ``docs``, all columns, whose own text the decoder gives a language. It rejects texts that are null or have no
+    letter, and texts of which it is unsure and finds no codeword near: lead under LEAD and share under WEAK.
+
+    Each row is decided alone, whatever its doc_id. Without a model nothing can be told, and all rows stay."""
     if model is None:
         return docs
-    at = docs.columns.index("text")
+    at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([bool(t and LETTER.search(t)) for t in batch.column(at).to_pylist()], pa.bool_()))
+            keep = np.zeros(batch.num_rows, bool)
+            for start in range(0, batch.num_rows, 512):
+                texts = [t.as_py() for t in batch.column(at).slice(start, 512)]
+                known = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+                if known:
+                    _, share, lead = decode(shared.value, np.stack([features(texts[i]) for i in known]))
+                    keep[np.array(known) + start] = (lead >= LEAD) | (share >= WEAK)
+            yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)

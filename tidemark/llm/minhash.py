@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import connected_components
-from tidemark.plans.shared import stored
+from tidemark.llm.rows import keyed, opened, without
+from tidemark.plans.shared import bounded, stored
 
 #: Registers, registers to a band, base and rate of the exponential spacing, largest register value.
 REGISTERS, BAND, BASE, RATE, TOP = 128, 4, 1.001, 20.0, 65534
@@ -295,3 +296,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = rows.select("doc_id", "n_shingles", "k1", "k2").join(named, ["k1", "k2"], "left")
     component = F.coalesce("component_id", "doc_id")
     return full.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, less all but one of each component of near-duplicate texts (see ``near_duplicates``).
+
+    The row with the smallest doc_id stays; rows whose doc_id is null or shared come after all others, each decided by its
+    own text. Of rows equal in doc_id and text one stays. Texts that are null or have no word all stay.
+    """
+    rows = keyed(docs)
+    named = stored(near_duplicates(rows.select("doc_id", "text"), width, percent).where("n_shingles > 0").select("doc_id", "kept"))
+    left = without(rows, stored(named.where("not kept").select("doc_id").distinct()))
+    repeated = stored(named.where("kept").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.limit(1).count():
+        single = left.join(bounded(repeated), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("row").alias("row"))
+        left = without(left, repeated).select("doc_id", "row").unionByName(single)
+    return opened(left, docs.columns)

@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, minhash, pages, secrets, toxicity
-from tidemark.plans.shared import table
+from tidemark.plans.shared import bounded, table
 
 
 def crc_fold(n: int):
-    """crc32 of doc_id as text, modulo ``n``."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+    """crc32 of doc_id as text, modulo ``n``; 0, which is never held out, for a null doc_id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(0))
 
 
 def tokenizer_path() -> str:
@@ -54,7 +54,7 @@ def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     # labels are broadcast while their number is bounded, so the texts need not move
-    labels = decontam.bounded(table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic"))
+    labels = bounded(table(spark, sf_dir, "labels").where("toxic is not null").select("doc_id", "toxic"))
     known = docs.select("doc_id", "text").where(crc_fold(4) != 2).join(labels, "doc_id")
     scored = toxicity.score(docs, toxicity.train(known))
     return scored.select("doc_id", (crc_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
