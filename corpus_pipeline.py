@@ -11,33 +11,30 @@ from tidemark.plans.shared import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter. All others stay as they are, and
-    all do if no labelled row is left to learn from."""
+    """Drops rows that the language decoder rejects: null texts, texts without a letter, and texts near no language. Each row is decided by its
+    own text; repeated rows and null ids don't matter. All rows stay as they are if no labelled row is left to learn from."""
     return langid.with_language(docs, langid.train(docs.where(crc_fold(3) != 1)))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that have a similar line earlier in the corpus; n_chars follows. Documents all stay."""
+    """Cuts lines that have a similar line earlier in the corpus; n_chars follows. Rows all stay, null and empty texts as they are."""
     cut = linededup.dedup_lines(docs, count_as=None)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each near-duplicate group. Documents without words, or without an id, stay."""
-    groups = stored(minhash.near_duplicates(docs, width=5, percent=80))
-    gone = groups.where("not kept and doc_id is not null").select(F.col("doc_id").alias("copied_doc")).distinct()
-    kept = docs.join(decontam.bounded(stored(gone)), docs["doc_id"] == F.col("copied_doc"), "left_anti")
-    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null")) if repeated else kept
+    """Keeps one document of each near-duplicate group, the one with the smallest id. Documents without words all stay;
+    of rows equal in doc_id and text one stays, and different texts that share a doc_id, or have none, are documents of their own."""
+    return minhash.one_of_each(docs, width=5, percent=80)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
+    """Drops rows whose text holds a benchmark item, each by its own text; null texts stay."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, a row for each; null texts count as empty."""
     return encoded_digests(docs)
 
 
@@ -48,6 +45,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what the stages leave of ``documents``; no rows for an empty table."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
