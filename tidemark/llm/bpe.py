@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -18,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words kept in a worker's table of known pieces; a full table is emptied, so memory stays bounded.
-CACHE_PIECES = 200_000
+#: Words, and token pairs, kept in a worker's tables of what is known; a full table is emptied, so memory stays bounded.
+CACHE_PIECES = 100_000
 
 OUT = "doc_id long, n_tokens int, ids array<int>, decoded string"
 
@@ -102,6 +103,8 @@ class Bpe:
                 limit, a = ra, self.parts[a][1]
             else:
                 limit, b = rb + 0.5, self.parts[b][0]
+        if len(self.fits) >= CACHE_PIECES:
+            self.fits.clear()
         self.fits[left, right] = good
         return good
 
@@ -179,6 +182,12 @@ class Bpe:
         return self.blob[where].tobytes()[:-1]
 
 
+@lru_cache(maxsize=1)
+def built(spec: str) -> Bpe:
+    """The tables of ``spec``, made once in a worker and used by all its tasks."""
+    return Bpe(spec)
+
+
 def encode_decode(docs: DataFrame, spec_path: str, finish=None, schema: str = OUT) -> DataFrame:
     """Encodes the whole ``text`` of every row and decodes the ids again.
 
@@ -191,7 +200,7 @@ def encode_decode(docs: DataFrame, spec_path: str, finish=None, schema: str = OU
     give = finish or (lambda ids, decoded: (len(ids), ids.tolist(), decoded.decode()))
 
     def run(batches):
-        bpe = Bpe(spec.value)
+        bpe = built(spec.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -20,7 +20,7 @@ from tidemark.plans.shared import bounded, packed, released, stored, unpacked
 #: Similarity in percent.
 PERCENT = 80
 #: Words are counted in 2 ** COUNTER_BITS hashed counters, a fixed size whatever the corpus.
-COUNTER_BITS = 16
+COUNTER_BITS = 15
 #: Lists of line numbers are broadcast up to this many entries in all; more are joined by shuffle.
 LISTS_BROADCAST = 1_000_000
 WIDE = ("map0", "map1")
@@ -39,28 +39,26 @@ def once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def word_classes(texts: DataFrame) -> Column:
-    """Of lower-cased texts: rarity class (0-127, by the logarithm of the count) of every counter, as a binary literal of one byte each.
+def word_classes(lines: DataFrame) -> Column:
+    """Of lower-cased ``raw`` lines: rarity class (0-127, by the logarithm of the count) of every counter, as a constant array.
 
     Words, parted by spaces, are counted over all lines; only the counters, of which there are 2 ** COUNTER_BITS for any
     corpus, reach the driver."""
     size = 1 << COUNTER_BITS
     counter = F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int")
-    lines = texts.select(F.explode(F.split("text", "\n")).alias("raw"))
     counted = lines.select(F.explode(F.split("raw", " ")).alias("w")).groupBy(counter.alias("counter")).agg(F.count("*").alias("n"))
-    classes = bytearray(size)
+    classes = [0] * size
     for r in counted.select("counter", F.least(F.lit(127), F.floor(3 * F.log2(1 + F.col("n")))).alias("class")).collect():
         classes[r["counter"]] = r["class"]
-    return F.lit(bytes(classes))
+    return F.split(F.lit(" ".join(map(str, classes))), " ").cast("array<int>")  # folded by the optimiser
 
 
 def sorted_words(norm: Column, classes: Column) -> Column:
-    """Distinct words as 64-bit keys, rare words first: the class in front, then 57 bits of the word's hash."""
+    """Distinct words as 64-bit keys, rare words first: the class in front, then 56 bits of the word's hash."""
 
     def key(h):
-        at = (h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)) + 1).cast("int")
-        rarity = F.ascii(F.substring(classes, at, F.lit(1)).cast("string")) - 64
-        return F.shiftleft(rarity.cast("long"), 57).bitwiseOR(F.shiftrightunsigned(h, 7))
+        rarity = F.get(classes, h.bitwiseAND(F.lit((1 << COUNTER_BITS) - 1)).cast("int"))
+        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.transform(F.array_distinct(hashed_words(norm)), key))
 
@@ -80,10 +78,9 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
     return F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))
 
 
-def bitmap(words: Column, part: int) -> Column:
+def bitmap(words: str, part: int) -> Column:
     """One of two parts of a parity bitmap of 128 bits: a word flips the bit that its hash names."""
-    own = F.filter(words, lambda w: F.shiftright(w, 6).bitwiseAND(F.lit(1)) == part)
-    return F.aggregate(own, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.expr(f"aggregate({words}, 0L, (acc, w) -> if((w & 64) = {64 * part}, acc ^ shiftleft(1L, int(w & 63)), acc))")
 
 
 def plausible(percent: int, maps: tuple[str, ...]) -> Column:
@@ -131,8 +128,8 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # documents whose every line is a first need no list; others list the lines that aren't
     repeats = stored(marked.where("repeat").groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed")))
 
-    ranks = word_classes(docs)
     unique = lines_of(on_lists(docs, repeats, "left")).where(F.col("listed").isNull() | ~F.array_contains("listed", F.col("line")))
+    ranks = word_classes(unique.select("raw"))
     sets = unique.select(norm).where("norm != ''").select(F.xxhash64("norm").alias("h"), once(sorted_words(F.col("norm"), ranks)).alias("keys"))
     n = F.size("keys")
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc ^ shiftleft(1L, int(k & 63)))")
@@ -150,7 +147,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # with wider bitmaps, so that few texts have to move
     hashed = once(hashed_words(F.col("norm"))).alias("words")
     full = full.select("doc", "text_hash", "line", "norm", hashed).select(F.xxhash64("norm").alias("h"), "doc", "text_hash", "line", "norm", once(F.array_distinct("words")).alias("words"))
-    full = stored(full.select("h", "doc", "text_hash", "line", "norm", *[bitmap(F.col("words"), k).alias(m) for k, m in enumerate(WIDE)]))
+    full = stored(full.select("h", "doc", "text_hash", "line", "norm", *[bitmap("words", k).alias(m) for k, m in enumerate(WIDE)]))
     placed = stored(met.drop("bits").join(bounded(full.drop("norm")), "h"))
     released(repeats, met, lines, wanted)
 
