@@ -51,3 +51,13 @@ def content_node(action: Column, content: Column, row_id: Column) -> Column:
 def circular_hours(a: Column, b: Column) -> Column:
     d = F.abs(a - b)
     return F.least(d, 24 - d)
+
+
+def short_text(text: Column, most: int) -> Column:
+    """On one line, and at most ``most`` characters; null stays null."""
+    return F.substring(F.translate(text, "\n\r", "  "), 1, most)
+
+
+def nli_score(entailment: Column, contradiction: Column) -> Column:
+    """(entailment - contradiction + 1) / 2: from 0, contradicted, over one half, neutral, to 1, entailed."""
+    return (entailment - contradiction + 1) / 2

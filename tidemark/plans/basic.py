@@ -256,13 +256,13 @@ def comment_context(spark, d):
     return t.join(p, "post_id").join(social.users(spark, d), "user_id").select("event_id", "author", "user_type", "num_likes")
 
 
-EV = "ev AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM trace WHERE event_id % 50 = 0 GROUP BY 1)"
+EV = "ev AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM trace GROUP BY 1)"
 
 
 @query("evidence_link", f", {EV}, one AS (SELECT user_id, unnest(ids) * 2 AS evidence_id FROM ev) SELECT o.user_id, o.evidence_id, t.action, t.event_id IS NULL AS unresolved FROM one o LEFT JOIN trace t ON t.event_id = o.evidence_id")
 def evidence_link(spark, d):
     t = social.trace(spark, d)
-    lists = t.where("event_id % 50 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
+    lists = t.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
     one = lists.select("user_id", F.explode("ids").alias("i")).select("user_id", (F.col("i") * 2).alias("evidence_id"))
     return one.join(t.select(F.col("event_id").alias("evidence_id"), "action", F.lit(True).alias("hit")), "evidence_id", "left").select("user_id", "evidence_id", "action", F.col("hit").isNull().alias("unresolved"))
 
@@ -365,3 +365,21 @@ def post_view(spark, d):
     verb = F.when(F.col("is_quote"), "quoted").otherwise("reposted")
     view = F.when(F.col("original_post_id").isNull(), F.format_string("User %d posted", "user_id")).otherwise(F.format_string("User %d %s a post from user %d", F.col("user_id"), verb, F.col("origin")))
     return p.join(o, "original_post_id", "left").select("post_id", view.alias("view"), (F.col("num_likes") - F.col("num_dislikes")).alias("score"))
+
+
+@query("short_text", "SELECT post_id, substr(replace(replace(content, chr(10), ' '), chr(13), ' '), 1, 120) AS short, length(content) > 120 AS cut FROM posts")
+def short_text(spark, d):
+    """Content on one line, at most 120 characters of it."""
+    return social.posts(spark, d).select("post_id", ids.short_text(F.col("content"), 120).alias("short"), (F.length("content") > 120).alias("cut"))
+
+
+@query("nli_calibration", "SELECT event_id, (value / 100 - (event_id % 101) / 100.0 + 1) / 2 AS score FROM trace")
+def nli_calibration(spark, d):
+    """Entailment and contradiction shares, as a scorer would leave them, on one scale from 0 to 1."""
+    return social.trace(spark, d).select("event_id", ids.nli_score(F.col("value") / 100, F.col("event_id") % 101 / 100.0).alias("score"))
+
+
+@query("coarse_filter", "SELECT post_id FROM posts ORDER BY md5('coarse|' || post_id), post_id LIMIT 100")
+def coarse_filter(spark, d):
+    """A hundred posts at random, by the order of a seeded digest: the candidates for a costly ranking."""
+    return social.posts(spark, d).select("post_id").orderBy(F.md5(F.concat(F.lit("coarse|"), F.col("post_id"))), "post_id").limit(100)

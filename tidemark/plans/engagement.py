@@ -65,10 +65,47 @@ METRICS = {
 }
 
 
-@query("attack_metrics", INTER + " SELECT " + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in METRICS.items()) + ", count(DISTINCT CASE WHEN action = 'refresh' AND target_bad = 1 AND actor_bad = 0 THEN user_id END) AS good_viewers, count(DISTINCT CASE WHEN target_bad = 1 THEN root END) AS touched_posts, count(*) FILTER (target_bad = 1) / count(*) AS bad_share FROM inter", views=False)
+#: Of posts with the class of their author: the first step's posts, later originals and reposts of each class.
+POSTED = {
+    "initial_posts": "step IN (0)",
+    "bad_initial_posts": "step IN (0) AND is_bad = 1",
+    "bad_new_originals": "NOT step IN (0) AND original_post_id IS NULL AND is_bad = 1",
+    "good_new_originals": "NOT step IN (0) AND original_post_id IS NULL AND is_bad = 0",
+    "posts_reposted_by_bad": "original_post_id IS NOT NULL AND is_bad = 1",
+    "posts_reposted_by_good": "original_post_id IS NOT NULL AND is_bad = 0",
+}
+DISTINCT = {
+    "good_viewers": ("action = 'refresh' AND target_bad = 1 AND actor_bad = 0", "user_id"),
+    "bad_viewers": ("action = 'refresh' AND target_bad = 1 AND actor_bad = 1", "user_id"),
+    "good_post_viewers": ("action = 'refresh' AND target_bad = 0", "user_id"),
+    "touched_posts": ("target_bad = 1", "root"),
+}
+
+
+@query(
+    "attack_metrics",
+    INTER
+    + ", acted AS (SELECT "
+    + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in METRICS.items())
+    + ", "
+    + ", ".join(f"count(DISTINCT CASE WHEN {c} THEN {of} END) AS {n}" for n, (c, of) in DISTINCT.items())
+    + ", count(*) FILTER (target_bad = 1) / count(*) AS bad_share FROM inter), posted AS (SELECT "
+    + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in POSTED.items())
+    + " FROM posts JOIN users USING (user_id)) SELECT * FROM acted, posted",
+    views=False,
+)
 def attack_metrics(spark, d):
-    bad_view = (F.col("action") == "refresh") & (F.col("target_bad") == 1) & (F.col("actor_bad") == 0)
-    return interactions(spark, d).agg(*[F.count_if(F.expr(c)).alias(n) for n, c in METRICS.items()], F.countDistinct(F.when(bad_view, F.col("user_id"))).alias("good_viewers"), F.countDistinct(F.when(F.col("target_bad") == 1, F.col("root"))).alias("touched_posts"), (F.count_if(F.col("target_bad") == 1) / F.count("*")).alias("bad_share"))
+    """One row: what was done to posts of bad accounts, by whom, who saw them, and what both classes posted."""
+    once = [F.countDistinct(F.when(F.expr(c), F.col(of))).alias(n) for n, (c, of) in DISTINCT.items()]
+    acted = interactions(spark, d).agg(*[F.count_if(F.expr(c)).alias(n) for n, c in METRICS.items()], *once, (F.count_if(F.col("target_bad") == 1) / F.count("*")).alias("bad_share"))
+    posted = social.posts(spark, d).join(social.users(spark, d).select("user_id", "is_bad"), "user_id").agg(*[F.count_if(F.expr(c)).alias(n) for n, c in POSTED.items()])
+    return acted.join(F.broadcast(posted), F.lit(True))  # two rows of totals
+
+
+@query("initial_posts", "SELECT post_id, user_id, original_post_id IS NULL AS original FROM posts WHERE step IN (0)")
+def initial_posts(spark, d):
+    """Posts that were there before the first step."""
+    return social.posts(spark, d).where(F.col("step").isin(0)).select("post_id", "user_id", F.col("original_post_id").isNull().alias("original"))
 
 
 @query("post_engagement", "SELECT post_id, count(DISTINCT CASE WHEN action = 'like' AND is_bad = 0 THEN user_id END) AS good_likes, count(DISTINCT CASE WHEN action = 'repost' THEN user_id END) AS reposts, count(*) FILTER (action = 'comment' AND event_id % 2 = 0) AS agree, count(*) FILTER (action = 'comment' AND event_id % 2 = 1) AS disagree, count(DISTINCT CASE WHEN action = 'refresh' THEN user_id END) AS viewers FROM reactions JOIN users USING (user_id) GROUP BY 1")
@@ -79,12 +116,28 @@ def post_engagement(spark, d):
     return r.groupBy("post_id").agg(once((a == "like") & (F.col("is_bad") == 0)).alias("good_likes"), once(a == "repost").alias("reposts"), F.count_if((a == "comment") & (F.col("event_id") % 2 == 0)).alias("agree"), F.count_if((a == "comment") & (F.col("event_id") % 2 == 1)).alias("disagree"), once(a == "refresh").alias("viewers"))
 
 
-@query("step_engagement", ", b AS (SELECT r.* FROM reactions r JOIN posts p USING (post_id) JOIN users u ON u.user_id = p.user_id WHERE u.is_bad = 1), s AS (SELECT step, count(*) FILTER (action = 'like') AS likes, count(*) FILTER (action = 'repost') AS reposts FROM b GROUP BY 1) SELECT step, CAST(sum(likes) OVER (ORDER BY step) AS BIGINT) AS likes, CAST(sum(reposts) OVER (ORDER BY step) AS BIGINT) AS reposts FROM s")
+#: Of reactions: the totals kept for each step; comments with an even number agree.
+STEP_TOTALS = {
+    "likes": "action = 'like'",
+    "reposts": "action = 'repost'",
+    "agree": "action = 'comment' AND event_id % 2 = 0",
+    "disagree": "action = 'comment' AND event_id % 2 = 1",
+}
+
+
+@query(
+    "step_engagement",
+    ", b AS (SELECT r.* FROM reactions r JOIN posts p USING (post_id) JOIN users u ON u.user_id = p.user_id WHERE u.is_bad = 1), s AS (SELECT step, "
+    + ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in STEP_TOTALS.items())
+    + " FROM b GROUP BY 1) SELECT step, "
+    + ", ".join(f"CAST(sum({n}) OVER (ORDER BY step) AS BIGINT) AS {n}" for n in STEP_TOTALS)
+    + " FROM s",
+)
 def step_engagement(spark, d):
     bad = social.posts(spark, d).join(social.users(spark, d).where("is_bad = 1"), "user_id").select("post_id")
-    s = social.reactions(spark, d).join(bad, "post_id", "left_semi").groupBy("step").agg(F.count_if(F.col("action") == "like").alias("likes"), F.count_if(F.col("action") == "repost").alias("reposts"))
+    s = social.reactions(spark, d).join(bad, "post_id", "left_semi").groupBy("step").agg(*[F.count_if(F.expr(c)).alias(n) for n, c in STEP_TOTALS.items()])
     w = Window.orderBy("step")  # one row a step
-    return s.select("step", F.sum("likes").over(w).alias("likes"), F.sum("reposts").over(w).alias("reposts"))
+    return s.select("step", *[F.sum(n).over(w).alias(n) for n in STEP_TOTALS])
 
 
 @query("same_status", "SELECT likes, reposts, list(post_id ORDER BY post_id) AS posts FROM (SELECT post_id, count(*) FILTER (action = 'like') AS likes, count(*) FILTER (action = 'repost') AS reposts FROM reactions GROUP BY 1) GROUP BY 1, 2")
@@ -124,7 +177,7 @@ def rec_trace(spark, d):
     return ops.cap_per_key(s, ["user_id"], [F.desc("score"), "post_id"], 5).select("user_id", "post_id", "score")
 
 
-CHAIN_TEXT = "CASE WHEN original_post_id IS NULL THEN 'original_post: ' || post_id ELSE 'A repost from user_' || (original_post_id % 150) || '. original_post: ' || post_id END"
+CHAIN_TEXT = "CASE WHEN original_post_id IS NULL THEN 'original_post: ' || post_id ELSE 'A repost from user_' || original_author || '. original_post: ' || post_id END"
 
 
 @query("cascade_edges", f"SELECT regexp_extract(t, 'repost from user_([0-9]+)\\.', 1) AS src, 'user_' || user_id AS dst, count(*) AS n FROM (SELECT user_id, {CHAIN_TEXT} AS t FROM posts) WHERE t LIKE 'A repost%' GROUP BY 1, 2")
@@ -162,8 +215,8 @@ def isolates(spark, d):
     return social.users(spark, d).select("user_id").join(ends, "user_id", "left_anti")
 
 
-@query("enhanced_edges", "SELECT DISTINCT least(follower_id, followee_id) AS a, greatest(follower_id, followee_id) AS b FROM follows UNION SELECT least(user_id, original_post_id % 150), greatest(user_id, original_post_id % 150) FROM posts WHERE original_post_id IS NOT NULL AND user_id <> original_post_id % 150")
+@query("enhanced_edges", "SELECT DISTINCT least(follower_id, followee_id) AS a, greatest(follower_id, followee_id) AS b FROM follows UNION SELECT least(user_id, original_author), greatest(user_id, original_author) FROM posts WHERE original_post_id IS NOT NULL AND user_id <> original_author")
 def enhanced_edges(spark, d):
     f = social.follows(spark, d).select(F.col("follower_id").alias("x"), F.col("followee_id").alias("y"))
-    p = social.posts(spark, d).where("original_post_id is not null").select(F.col("user_id").alias("x"), (F.col("original_post_id") % 150).alias("y")).where("x != y")
+    p = social.posts(spark, d).where("original_post_id is not null").select(F.col("user_id").alias("x"), F.col("original_author").alias("y")).where("x != y")
     return f.union(p).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()

@@ -12,12 +12,21 @@ from tidemark.plans.shared import table
 from tidemark.sources import social
 
 UND = ", und AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM net WHERE src <> dst), sym AS (SELECT a, b FROM und UNION ALL SELECT b, a FROM und)"
-NET = ", net AS (SELECT follower_id AS src, followee_id AS dst FROM follows WHERE (follower_id * 31 + followee_id * 17) % 10 = 0)"
+NET = ", net AS (SELECT follower_id AS src, followee_id AS dst FROM follows)"
+NODES = NET + ", nodes AS MATERIALIZED (SELECT DISTINCT unnest([src, dst]) AS node FROM net)"
+#: Rounds of the iterated measures: in SQL each one is a table of its own.
+ROUNDS, CORE_ROUNDS = 12, 30
+
+
+def unrolled(first: str, step: str, rounds: int, last: str) -> str:
+    """SQL of a loop: table r0, then each round's table from the one before."""
+    tables = [f", r0 AS MATERIALIZED ({first})"] + [f", r{k} AS MATERIALIZED ({step.format(before=f'r{k - 1}')})" for k in range(1, rounds + 1)]
+    return "".join(tables) + " " + last.format(before=f"r{rounds}")
 
 
 def net(spark, d):
-    """A tenth of the follow pairs by a rule on their ends: sparse enough to have structure."""
-    return social.follows(spark, d).select(F.col("follower_id").alias("src"), F.col("followee_id").alias("dst")).where("(src * 31 + dst * 17) % 10 = 0")
+    """All follow pairs."""
+    return social.follows(spark, d).select(F.col("follower_id").alias("src"), F.col("followee_id").alias("dst"))
 
 
 @query("degree", NET + ", g AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM net UNION ALL SELECT dst FROM net) GROUP BY 1) SELECT node, degree, degree / (count(*) OVER () - 1) AS centrality FROM g")
@@ -30,24 +39,58 @@ def clustering(spark, d):
     return graph.clustering(net(spark, d))
 
 
-@query("pagerank")
+PAGERANK = unrolled(
+    "SELECT node, 1.0 / (SELECT count(*) FROM nodes) AS rank FROM nodes",
+    "SELECT nodes.node, (0.15 + 0.85 * (SELECT coalesce(sum(rank), 0) FROM {before} WHERE node NOT IN (SELECT src FROM share))) / (SELECT count(*) FROM nodes) + 0.85 * coalesce(g.got, 0) AS rank "
+    "FROM nodes LEFT JOIN (SELECT dst, sum(rank * part) AS got FROM share JOIN {before} p ON p.node = share.src GROUP BY 1) g ON g.dst = nodes.node",
+    ROUNDS,
+    "SELECT node, rank FROM {before}",
+)
+
+
+@query("pagerank", NODES + ", share AS MATERIALIZED (SELECT src, dst, 1.0 / count(*) OVER (PARTITION BY src) AS part FROM net)" + PAGERANK)
 def pagerank(spark, d):
-    return graph.pagerank(net(spark, d), tolerance=1e-8)
+    return graph.pagerank(net(spark, d), rounds=ROUNDS, tolerance=0)
+
+
+EIGEN = unrolled(
+    "SELECT node, CAST(1 AS DOUBLE) AS score FROM nodes WHERE node IN (SELECT a FROM sym)",
+    "SELECT node, raw / sqrt(sum(raw * raw) OVER ()) AS score FROM (SELECT x.node, x.score + coalesce(g.got, 0) AS raw FROM {before} x LEFT JOIN (SELECT a, sum(score) AS got FROM sym JOIN {before} y ON y.node = sym.b GROUP BY 1) g ON g.a = x.node)",
+    ROUNDS,
+    "SELECT node, score FROM {before}",
+)
 
 
-@query("eigenvector")
+@query("eigenvector", NODES + UND + EIGEN)
 def eigenvector(spark, d):
-    return graph.eigenvector(net(spark, d), rounds=30)
+    return graph.eigenvector(net(spark, d), rounds=ROUNDS, tolerance=0)
 
 
-@query("kcore")
+CORES = unrolled(
+    "SELECT a AS node, count(*) AS core FROM sym GROUP BY 1",
+    "SELECT node, min(core) AS core FROM (SELECT x.node, least(x.core, h.h) AS core FROM {before} x JOIN (SELECT a, max(least(core, above)) AS h FROM "
+    "(SELECT a, core, sum(n) OVER (PARTITION BY a ORDER BY core DESC) AS above FROM (SELECT s.a, v.core, count(*) AS n FROM sym s JOIN {before} v ON v.node = s.b GROUP BY 1, 2)) GROUP BY 1) h ON h.a = x.node) GROUP BY 1",
+    CORE_ROUNDS,
+    "SELECT node, CAST(core AS BIGINT) AS core FROM {before}",
+)
+
+
+@query("kcore", NET + UND + CORES)
 def kcore(spark, d):
     return graph.core_numbers(net(spark, d))
 
 
+#: Accounts from which shortest paths start; the score is scaled to all of them.
+PIVOTS = 16
+
+
 @query("betweenness")
 def betweenness(spark, d):
-    return graph.betweenness(net(spark, d))
+    """Estimated from PIVOTS sources in hash order, over all follow pairs."""
+    e = net(spark, d)
+    nodes = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    found = graph.betweenness(e, nodes.orderBy(F.xxhash64("node"), "node").limit(PIVOTS))
+    return found.join(F.broadcast(nodes.agg(F.count("*").alias("n"))), F.lit(True)).select("node", (F.col("score") * F.greatest(F.lit(1.0), F.col("n") / PIVOTS)).alias("score"))
 
 
 @query("communities")
@@ -55,10 +98,17 @@ def communities(spark, d):
     return graph.communities(net(spark, d))
 
 
-@query("components", social.SQL.replace("WITH trace", "WITH RECURSIVE trace", 1) + NET.replace("% 10 = 0", "% 211 = 0") + ", und AS (SELECT src AS a, dst AS b FROM net UNION SELECT dst, src FROM net), walk AS (SELECT a AS node, a AS seen FROM und UNION SELECT w.node, u.b FROM walk w JOIN und u ON u.a = w.seen) SELECT node, min(seen) AS component FROM walk GROUP BY 1", views=False)
+COMPONENTS = unrolled(
+    "SELECT node, node AS component FROM nodes",
+    "SELECT x.node, least(any_value(x.component), min(y.component)) AS component FROM {before} x JOIN sym ON sym.a = x.node JOIN {before} y ON y.node = sym.b GROUP BY 1",
+    ROUNDS,
+    "SELECT node, component FROM {before}",
+)
+
+
+@query("components", NODES + UND + COMPONENTS)
 def components(spark, d):
-    e = social.follows(spark, d).where("(follower_id * 31 + followee_id * 17) % 211 = 0")
-    return connected_components(e, "follower_id", "followee_id")
+    return connected_components(social.follows(spark, d), "follower_id", "followee_id")
 
 
 @query("radial_order", "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), r AS (SELECT label, vec_id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS r, sqrt(list_sum(list_transform(v[1:32], lambda x: x * x))) AS s FROM e) SELECT a.label, avg(CASE WHEN (a.r - b.r) * (a.s - b.s) > 0 THEN 1.0 ELSE 0.0 END) AS agreement, avg(greatest(0, 0.1 - sign(a.r - b.r) * (a.s - b.s))) AS loss, count(*) AS pairs FROM r a JOIN r b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY 1", views=False)

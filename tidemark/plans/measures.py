@@ -36,9 +36,30 @@ def node_features(spark, d):
     return social.users(spark, d).select("user_id", "is_bad").join(deg, "user_id", "left").fillna(0, ["degree"]).join(b, "user_id")
 
 
-@query("post_averages", "SELECT user_id, avg(num_likes) AS likes, avg(num_dislikes) AS dislikes, avg(CASE WHEN is_quote THEN 1 ELSE 0 END) AS quotes, count(*) AS n_posts FROM posts GROUP BY 1")
+MARKS = {"url": r"https?://", "mention": r"@[A-Za-z0-9_]+", "hashtag": r"#[A-Za-z0-9_]+", "media": r"[.](jpg|jpeg|png|gif|mp4)"}
+MARK_COUNTS = ", ".join(f"avg(len(regexp_extract_all(content, '{p}'))) AS {n}s" for n, p in MARKS.items())
+
+
+@query(
+    "post_averages",
+    ", got AS (SELECT post_id, count(*) FILTER (action = 'repost') AS reposts, count(*) FILTER (action = 'comment') AS replies FROM reactions GROUP BY 1) "
+    "SELECT user_id, avg(num_likes) AS likes, avg(num_dislikes) AS dislikes, avg(coalesce(reposts, 0)) AS reposts, avg(coalesce(replies, 0)) AS replies, avg(CASE WHEN is_quote THEN 1 ELSE 0 END) AS quotes, "
+    + MARK_COUNTS
+    + ", count(*) AS n_posts FROM posts LEFT JOIN got USING (post_id) GROUP BY 1",
+)
 def post_averages(spark, d):
-    return social.posts(spark, d).groupBy("user_id").agg(F.avg("num_likes").alias("likes"), F.avg("num_dislikes").alias("dislikes"), F.avg(F.col("is_quote").cast("int")).alias("quotes"), F.count("*").alias("n_posts"))
+    """Of each account's posts: mean likes, dislikes, reposts, replies, quotes, links, mentions, hashtags and media, and their number."""
+    a = F.col("action")
+    got = social.reactions(spark, d).groupBy("post_id").agg(F.count_if(a == "repost").alias("reposts"), F.count_if(a == "comment").alias("replies"))
+    p = social.posts(spark, d).join(got, "post_id", "left").fillna(0, ["reposts", "replies"])
+    plain = [F.avg(c).alias(n) for c, n in (("num_likes", "likes"), ("num_dislikes", "dislikes"), ("reposts", "reposts"), ("replies", "replies"))]
+    return p.groupBy("user_id").agg(*plain, F.avg(F.col("is_quote").cast("int")).alias("quotes"), *[F.avg(F.regexp_count("content", F.lit(m))).alias(f"{n}s") for n, m in MARKS.items()], F.count("*").alias("n_posts"))
+
+
+@query("user_text_ratios", "SELECT user_id, " + ", ".join(f"avg(CASE WHEN regexp_matches(content, '{p}') THEN 1.0 ELSE 0.0 END) AS {n}" for n, p in MARKS.items()) + " FROM posts GROUP BY 1")
+def user_text_ratios(spark, d):
+    """Share of each account's posts with a link, mention, hashtag or media file."""
+    return social.posts(spark, d).groupBy("user_id").agg(*[F.avg(F.col("content").rlike(p).cast("double")).alias(n) for n, p in MARKS.items()])
 
 
 @query("action_ratios", f"SELECT user_id, {SHARES} FROM trace GROUP BY 1")
@@ -55,12 +76,12 @@ def hour_entropy(spark, d):
     return p.groupBy("user_id").agg((-F.sum(F.col("p") * F.ln(F.col("p") + 1e-12))).alias("entropy"))
 
 
-MARKS = {"url": r"https?://", "mention": r"@[A-Za-z0-9_]+", "hashtag": r"#[A-Za-z0-9_]+", "number": r"[0-9]"}
+TEXT_MARKS = {"url": r"https?://", "mention": r"@[A-Za-z0-9_]+", "hashtag": r"#[A-Za-z0-9_]+", "number": r"[0-9]"}
 
 
-@query("text_ratios", "SELECT source, " + ", ".join(f"avg(CASE WHEN regexp_matches(content, '{p}') THEN 1.0 ELSE 0.0 END) AS {n}" for n, p in MARKS.items()) + " FROM posts GROUP BY 1")
+@query("text_ratios", "SELECT source, " + ", ".join(f"avg(CASE WHEN regexp_matches(content, '{p}') THEN 1.0 ELSE 0.0 END) AS {n}" for n, p in TEXT_MARKS.items()) + " FROM posts GROUP BY 1")
 def text_ratios(spark, d):
-    return social.posts(spark, d).groupBy("source").agg(*[F.avg(F.col("content").rlike(p).cast("double")).alias(n) for n, p in MARKS.items()])
+    return social.posts(spark, d).groupBy("source").agg(*[F.avg(F.col("content").rlike(p).cast("double")).alias(n) for n, p in TEXT_MARKS.items()])
 
 
 @query("author_text", "SELECT conv_id, md5(string_agg(text, ' ' ORDER BY turn)) AS digest, sum(length(text)) + count(*) - 1 AS n FROM conversations GROUP BY 1", views=False)
@@ -103,10 +124,10 @@ def class_profile(spark, d):
     return social.users(spark, d).groupBy("is_bad", "nation").agg(F.avg("balance").alias("balance"), F.count("*").alias("n"))
 
 
-@query("run_audit", "SELECT 'action' AS what, action AS name, count(*) AS n FROM trace GROUP BY 2 UNION ALL SELECT 'role', user_type, count(*) FROM users GROUP BY 2 UNION ALL SELECT 'rows', 'posts', count(*) FROM posts UNION ALL SELECT 'agents', 'trace', count(DISTINCT user_id) FROM trace")
+@query("run_audit", "SELECT 'action' AS what, action AS name, count(*) AS n FROM trace GROUP BY 2 UNION ALL SELECT 'role', user_type, count(*) FROM users GROUP BY 2 UNION ALL SELECT 'rows', 'posts', count(*) FROM posts UNION ALL SELECT 'agents', 'trace', count(DISTINCT user_id) FROM trace UNION ALL SELECT 'personas', 'not empty', count(*) FILTER (trim(user_name) <> '') FROM users")
 def run_audit(spark, d):
     t = social.trace(spark, d)
-    parts = [t.groupBy("action").count().select(F.lit("action").alias("what"), F.col("action").alias("name"), F.col("count").alias("n")), social.users(spark, d).groupBy("user_type").count().select(F.lit("role").alias("what"), F.col("user_type").alias("name"), F.col("count").alias("n")), social.posts(spark, d).agg(F.count("*").alias("n")).select(F.lit("rows").alias("what"), F.lit("posts").alias("name"), "n"), t.agg(F.countDistinct("user_id").alias("n")).select(F.lit("agents").alias("what"), F.lit("trace").alias("name"), "n")]
+    parts = [t.groupBy("action").count().select(F.lit("action").alias("what"), F.col("action").alias("name"), F.col("count").alias("n")), social.users(spark, d).groupBy("user_type").count().select(F.lit("role").alias("what"), F.col("user_type").alias("name"), F.col("count").alias("n")), social.posts(spark, d).agg(F.count("*").alias("n")).select(F.lit("rows").alias("what"), F.lit("posts").alias("name"), "n"), t.agg(F.countDistinct("user_id").alias("n")).select(F.lit("agents").alias("what"), F.lit("trace").alias("name"), "n"), social.users(spark, d).agg(F.count_if(F.trim("user_name") != "").alias("n")).select(F.lit("personas").alias("what"), F.lit("not empty").alias("name"), "n")]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
@@ -119,8 +140,7 @@ def edge_audit(spark, d):
 @query("json_census", "SELECT key, json_type(info, '$.' || key) AS kind, count(*) AS n FROM (SELECT info, unnest(json_keys(info)) AS key FROM trace) GROUP BY 1, 2")
 def json_census(spark, d):
     t = social.trace(spark, d).select(F.expr("parse_json(info)").alias("v"))
-    t.createOrReplaceTempView("census_rows")
-    found = spark.sql("SELECT key, schema_of_variant(value) AS kind FROM census_rows, LATERAL variant_explode(v)")
+    found = t.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", F.schema_of_variant("value").alias("kind"))
     kind = F.when(F.col("kind") == "BIGINT", "UBIGINT").when(F.col("kind") == "STRING", "VARCHAR").otherwise(F.col("kind"))
     return found.groupBy("key", kind.alias("kind")).agg(F.count("*").alias("n"))
 
@@ -128,11 +148,11 @@ def json_census(spark, d):
 PROFILED = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-@query("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER (isnan({c})) AS nans, min({c}) AS least, max({c}) AS most, avg({c}) AS mean, stddev_pop({c}) AS std FROM lineitem" for c in PROFILED), views=False)
+@query("column_profile", " UNION ALL ".join(f"SELECT '{c}' AS name, count(*) AS n, count(*) FILTER ({c} = 0) AS zeros, count(*) FILTER (isnan({c})) AS nans, count(*) FILTER (isinf({c})) AS infs, count(*) FILTER (isfinite({c})) AS finite, min({c}) AS least, max({c}) AS most, avg({c}) AS mean, stddev_pop({c}) AS std FROM lineitem" for c in PROFILED), views=False)
 def column_profile(spark, d):
     long = table(spark, d, "lineitem").unpivot([], PROFILED, "name", "v")
     v = F.col("v")
-    return long.groupBy("name").agg(F.count("*").alias("n"), F.count_if(v == 0).alias("zeros"), F.count_if(F.isnan(v)).alias("nans"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    return long.groupBy("name").agg(F.count("*").alias("n"), F.count_if(v == 0).alias("zeros"), F.count_if(F.isnan(v)).alias("nans"), F.count_if(F.abs(v) == float("inf")).alias("infs"), F.count_if(~F.isnan(v) & (F.abs(v) != float("inf"))).alias("finite"), F.min(v).alias("least"), F.max(v).alias("most"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
 
 
 QS = (0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0)
@@ -158,10 +178,19 @@ def relation_profile(spark, d):
     return m.groupBy("relation").agg(F.sum("k").alias("rows"), F.count("*").alias("pairs"), (F.sum("k") - F.count("*")).alias("duplicates"), F.max("k").alias("most"), (F.sum("w") / F.sum("k")).alias("mean_weight"), F.sum("s").alias("self_loops"))
 
 
-@query("matrix_audit", ", v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) SELECT i, count(*) FILTER (x = 0) AS zeros, min(x) = max(x) AS constant, count(*) FILTER (x < 0 OR x > 1) AS outside_unit FROM v GROUP BY 1")
+@query("matrix_audit", ", v AS (SELECT vec_id, unnest(embedding) AS x, unnest(range(64)) AS i FROM embeddings) SELECT i, count(*) FILTER (x = 0) AS zeros, min(x) = 0 AND max(x) = 0 AS zero_column, min(x) = max(x) AS constant, count(*) FILTER (x <> 0 AND x <> 1) AS not_boolean, count(*) FILTER (x < 0 OR x > 1) AS outside_unit FROM v GROUP BY 1")
 def matrix_audit(spark, d):
-    v = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("i", "x"))
-    return v.groupBy("i").agg(F.count_if(F.col("x") == 0).alias("zeros"), (F.min("x") == F.max("x")).alias("constant"), F.count_if((F.col("x") < 0) | (F.col("x") > 1)).alias("outside_unit"))
+    """Of each column: zeros, whether it is all zero or constant, values that aren't 0 or 1, values outside of 0 to 1."""
+    v, x = table(spark, d, "embeddings").select(F.posexplode("embedding").alias("i", "x")), F.col("x")
+    return v.groupBy("i").agg(F.count_if(x == 0).alias("zeros"), ((F.min(x) == 0) & (F.max(x) == 0)).alias("zero_column"), (F.min(x) == F.max(x)).alias("constant"), F.count_if((x != 0) & (x != 1)).alias("not_boolean"), F.count_if((x < 0) | (x > 1)).alias("outside_unit"))
+
+
+@query("matrix_row_audit", ", r AS (SELECT embedding AS e, count(*) AS n FROM embeddings GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(coalesce(sum(n) FILTER (list_max(list_transform(e, lambda x: abs(x))) = 0), 0) AS BIGINT) AS zero_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows FROM r")
+def matrix_row_audit(spark, d):
+    """Rows, rows of zeros, and rows equal to an earlier one; rows are grouped by two digests of their values."""
+    e = table(spark, d, "embeddings").select(F.xxhash64("embedding").alias("h"), F.md5(F.to_json("embedding")).alias("m"), (F.array_max(F.transform("embedding", F.abs)) == 0).alias("zero"))
+    r = e.groupBy("h", "m").agg(F.count("*").alias("n"), F.max("zero").alias("zero"))
+    return r.agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("zero"), F.col("n"))), F.lit(0)).alias("zero_rows"), (F.sum("n") - F.count("*")).alias("duplicate_rows"))
 
 
 @query("label_crosstab", "SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2", views=False)
@@ -169,19 +198,42 @@ def label_crosstab(spark, d):
     return table(spark, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
 
 
+@query("role_crosstab", "SELECT user_type, nation, count(*) AS n, avg(is_bad) AS bad_share FROM users GROUP BY 1, 2")
+def role_crosstab(spark, d):
+    """Role by class, here user type by nation, with the share of coordinated accounts."""
+    return social.users(spark, d).groupBy("user_type", "nation").agg(F.count("*").alias("n"), F.avg("is_bad").alias("bad_share"))
+
+
 @query("self_loop_counts", "SELECT src, count(*) FILTER (relation = 'A') AS a, count(*) FILTER (relation = 'N') AS n, count(*) FILTER (relation = 'R') AS r FROM edges WHERE src = dst GROUP BY 1")
 def self_loop_counts(spark, d):
     e = social.edges(spark, d).where("src = dst").groupBy("src").pivot("relation", ["A", "N", "R"]).count().fillna(0)
     return e.select("src", F.col("A").alias("a"), F.col("N").alias("n"), F.col("R").alias("r"))
 
 
-@query("split_leakage", ", s AS (SELECT user_id, CASE WHEN event_id % 10 < 7 THEN 'train' WHEN event_id % 10 < 9 THEN 'validation' ELSE 'test' END AS split, action FROM trace WHERE event_id % 40 < 11) SELECT action, user_id, count(DISTINCT split) AS n_splits FROM s GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
+@query("split_leakage", ", s AS (SELECT user_id, CASE WHEN event_id % 10 < 7 THEN 'train' WHEN event_id % 10 < 9 THEN 'validation' ELSE 'test' END AS split, action FROM trace) SELECT action, user_id, count(DISTINCT split) AS n_splits FROM s GROUP BY 1, 2 HAVING count(DISTINCT split) > 1")
 def split_leakage(spark, d):
     k = F.col("event_id") % 10
-    t = social.trace(spark, d).where("event_id % 40 < 11").withColumn("split", F.when(k < 7, "train").when(k < 9, "validation").otherwise("test"))
+    t = social.trace(spark, d).withColumn("split", F.when(k < 7, "train").when(k < 9, "validation").otherwise("test"))
     return t.groupBy("action", "user_id").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
 
 
+SPLIT_OF = "CASE WHEN p_partkey % 10 < 7 THEN 'train' WHEN p_partkey % 10 < 9 THEN 'validation' ELSE 'test' END"
+
+
+@query("signature_leakage", f"SELECT sha256(p_name || '|' || p_brand || '|' || p_size) AS signature, count(DISTINCT {SPLIT_OF}) AS n_splits, count(*) AS n FROM part GROUP BY 1 HAVING count(DISTINCT {SPLIT_OF}) > 1", views=False)
+def signature_leakage(spark, d):
+    """Contents that stand in more than one split under different ids."""
+    p = table(spark, d, "part").select(F.sha2(F.concat_ws("|", "p_name", "p_brand", "p_size"), 256).alias("signature"), F.expr(SPLIT_OF).alias("split"))
+    return p.groupBy("signature").agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n")).where("n_splits > 1")
+
+
+@query("scenario_overlap", f", s AS (SELECT DISTINCT p_type AS scenario, {SPLIT_OF} AS split FROM part) SELECT a.scenario, a.split AS first, b.split AS second FROM s a JOIN s b ON a.scenario = b.scenario AND a.split < b.split")
+def scenario_overlap(spark, d):
+    """Scenarios that two splits have in common."""
+    s = table(spark, d, "part").select(F.col("p_type").alias("scenario"), F.expr(SPLIT_OF).alias("split")).distinct()
+    return s.withColumnRenamed("split", "first").join(s.withColumnRenamed("split", "second"), "scenario").where("first < second")
+
+
 @query("plan_duplicates", "SELECT p_name, p_brand, count(*) AS n FROM part GROUP BY 1, 2 HAVING count(*) > 1", views=False)
 def plan_duplicates(spark, d):
     return ops.duplicate_keys(table(spark, d, "part"), ["p_name", "p_brand"])
@@ -195,6 +247,17 @@ def activation_coverage(spark, d):
     return s.join(before, "step", "left").join(F.broadcast(first), F.col("step") == F.col("first"), "left").select("step", "active", "n", (F.coalesce("had", F.lit(False)) | F.col("first").isNotNull()).alias("contiguous"))
 
 
+@query("activation_audit", ", s AS (SELECT step, count(DISTINCT user_id) AS active, count(*) AS n FROM trace GROUP BY 1), u AS (SELECT count(*) AS users FROM users) SELECT max(step) - min(step) + 1 = count(*) AS contiguous, count(*) FILTER (active > users) AS over_budget, CAST(sum(n - active) AS BIGINT) AS repeated, (SELECT count(*) FROM users u WHERE u.user_id NOT IN (SELECT user_id FROM trace WHERE step < 15)) AS not_before_cutoff FROM s, u")
+def activation_audit(spark, d):
+    """Whether steps follow each other, steps with more active accounts than there are, repeated activations, and accounts never active before the cutoff."""
+    t, u = social.trace(spark, d), social.users(spark, d).select("user_id")
+    s = t.groupBy("step").agg(F.countDistinct("user_id").alias("active"), F.count("*").alias("n"))
+    n = u.agg(F.count("*").alias("users"))
+    late = u.join(t.where("step < 15").select("user_id").distinct(), "user_id", "left_anti").agg(F.count("*").alias("not_before_cutoff"))
+    one = s.join(F.broadcast(n), F.lit(True)).agg((F.max("step") - F.min("step") + 1 == F.count("*")).alias("contiguous"), F.count_if(F.col("active") > F.col("users")).alias("over_budget"), F.sum(F.col("n") - F.col("active")).alias("repeated"))
+    return one.join(F.broadcast(late), F.lit(True))  # rows of totals
+
+
 SCORED = "scored AS (SELECT doc_id, toxic AS y, (n_chars * 37 % 1000) / 1000.0 AS p FROM labels JOIN documents USING (doc_id))"
 
 
@@ -243,9 +306,17 @@ def anova_f(spark, d):
     return ev.anova_f(social.users(spark, d), "user_type", "balance")
 
 
-@query("mean_ci", "SELECT user_id, avg(value) AS mean, (1.96 + CASE WHEN count(*) > 121 THEN 0 ELSE 2.4 / (count(*) - 1) END) * stddev_samp(value) / sqrt(count(*)) AS half FROM trace WHERE user_id % 2 = 0 GROUP BY 1 HAVING count(*) > 31")
+#: The expansion of Student's t quantile about the normal's, for more than 30 degrees of freedom.
+Z = 1.959963984540054
+T_SQL = f"{Z} + ({Z}^3 + {Z}) / (4 * df) + (5 * {Z}^5 + 16 * {Z}^3 + 3 * {Z}) / (96 * df^2) + (3 * {Z}^7 + 19 * {Z}^5 + 17 * {Z}^3 - 15 * {Z}) / (384 * df^3)"
+
+
+@query("mean_ci", f", g AS (SELECT user_id, step, avg(value) AS mean, count(*) AS n, count(*) - 1.0 AS df, stddev_samp(value) AS s FROM trace GROUP BY GROUPING SETS ((user_id, step), (user_id))) SELECT user_id, step, n, mean, CASE WHEN df > 0 THEN (CASE WHEN df > 30 THEN {T_SQL} ELSE {ev.T95}[CAST(df AS INTEGER)] END) * s / sqrt(n) END AS half FROM g")
 def mean_ci(spark, d):
-    return ev.mean_interval(social.trace(spark, d).where("user_id % 2 = 0"), "user_id", "value").where("n > 31").drop("n")
+    """Mean and 95 % interval for each account and step, and for each account."""
+    t = social.trace(spark, d)
+    each = ev.mean_interval(t.withColumn("g", F.struct("user_id", "step")), "g", "value").select("g.user_id", "g.step", "n", "mean", "half")
+    return each.unionByName(ev.mean_interval(t, "user_id", "value").withColumn("step", F.lit(None).cast("long")))
 
 
 @query("curve_rmse", ", m AS (SELECT action, step, count(*) AS n FROM trace GROUP BY 1, 2) SELECT a.action, sqrt(avg((a.n - b.n) ^ 2)) / max(b.n) AS rmse FROM m a JOIN m b ON a.step = b.step AND b.action = 'view' WHERE a.action <> 'view' GROUP BY 1")
@@ -320,12 +391,24 @@ def behavior_table(spark, d):
     return u.fillna(0).withColumn("out_in", F.col("out_degree") / (F.col("in_degree") + 1))
 
 
-@query("post_features", "SELECT doc_id, ln(1 + length(text)) AS log_chars, length(regexp_replace(text, '[^A-Z]', '', 'g')) / greatest(length(text), 1) AS upper_ratio, length(regexp_replace(text, '[^.,;:!?]', '', 'g')) / greatest(length(text), 1) AS punct_ratio, len(regexp_extract_all(text, '@')) AS mentions, len(regexp_extract_all(text, '#')) AS hashtags, sin(2 * pi() * (doc_id % 24) / 24) AS hour_sin, cos(2 * pi() * (doc_id % 24) / 24) AS hour_cos FROM documents", views=False)
+@query(
+    "post_features",
+    ", e AS (SELECT *, length(content) AS n, post_id % 24 AS h FROM posts) SELECT post_id, ln(1 + n) AS log_chars, ln(1 + len(string_split(trim(content), ' '))) AS log_words, "
+    "length(regexp_replace(content, '[^A-Z]', '', 'g')) / greatest(n, 1) AS upper_ratio, length(regexp_replace(content, '[^.,;:!?]', '', 'g')) / greatest(n, 1) AS punct_ratio, "
+    "len(regexp_extract_all(content, 'https?://')) AS urls, len(regexp_extract_all(content, '@')) AS mentions, len(regexp_extract_all(content, '#')) AS hashtags, "
+    "CAST(original_post_id IS NOT NULL AND NOT is_quote AS INTEGER) AS is_repost, CAST(is_quote AS INTEGER) AS is_quote, CAST(contains(content, '?') AS INTEGER) AS asks, "
+    "ln(1 + num_likes) AS log_likes, ln(1 + num_dislikes) AS log_dislikes, sin(2 * pi() * h / 24) AS hour_sin, cos(2 * pi() * h / 24) AS hour_cos FROM e",
+)
 def post_features(spark, d):
-    n = F.greatest(F.length("text"), F.lit(1))
-    angle = 2 * F.pi() * (F.col("doc_id") % 24) / 24
-    count = lambda p: F.regexp_count("text", F.lit(p))
-    return table(spark, d, "documents").select("doc_id", F.log1p(F.length("text")).alias("log_chars"), (count("[A-Z]") / n).alias("upper_ratio"), (count("[.,;:!?]") / n).alias("punct_ratio"), count("@").alias("mentions"), count("#").alias("hashtags"), F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"))
+    """Fourteen observed features: log lengths, character ratios, counts of links, mentions and hashtags, flags, log counters, hour on a circle."""
+    text, n, angle = F.col("content"), F.greatest(F.length("content"), F.lit(1)), 2 * F.pi() * (F.col("post_id") % 24) / 24
+    count = lambda p: F.regexp_count(text, F.lit(p))
+    return social.posts(spark, d).select(
+        "post_id", F.log1p(F.length(text)).alias("log_chars"), F.log1p(F.size(F.split(F.trim(text), " "))).alias("log_words"),
+        (count("[A-Z]") / n).alias("upper_ratio"), (count("[.,;:!?]") / n).alias("punct_ratio"), count("https?://").alias("urls"), count("@").alias("mentions"), count("#").alias("hashtags"),
+        (F.col("original_post_id").isNotNull() & ~F.col("is_quote")).cast("int").alias("is_repost"), F.col("is_quote").cast("int").alias("is_quote"), text.contains("?").cast("int").alias("asks"),
+        F.log1p("num_likes").alias("log_likes"), F.log1p("num_dislikes").alias("log_dislikes"), F.sin(angle).alias("hour_sin"), F.cos(angle).alias("hour_cos"),
+    )
 
 
 #: First-person words.

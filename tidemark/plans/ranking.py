@@ -30,10 +30,18 @@ def next_action(spark, d):
     return t.select("user_id").distinct().join(after, "user_id", "left")
 
 
-@query("volatility", ", v AS (SELECT label, vec_id, embedding AS e, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings), s AS (SELECT label, sqrt(list_sum(list_transform(list_zip(e, p), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) ^ 2))) AS d FROM v WHERE p IS NOT NULL) SELECT label, avg(d) AS mean, max(d) AS most, count(*) + 1 AS texts FROM s GROUP BY 1")
+@query(
+    "volatility",
+    f", o AS (SELECT vec_id % (SELECT count(*) FROM customer) AS user_id, vec_id, embedding FROM embeddings), v AS (SELECT user_id, embedding AS e, lag(embedding) OVER (PARTITION BY user_id ORDER BY vec_id) AS p FROM o), "
+    "s AS (SELECT user_id, CASE WHEN p IS NOT NULL THEN sqrt(list_sum(list_transform(list_zip(e, p), lambda x: (CAST(x[1] AS DOUBLE) - x[2]) ^ 2))) END AS d FROM v) "
+    "SELECT user_id, avg(d) AS mean, max(d) AS most, count(*) AS texts, CASE WHEN count(*) < 2 THEN 'insufficient' ELSE 'measured' END AS state FROM s GROUP BY 1",
+)
 def volatility(spark, d):
-    v = table(spark, d, "embeddings").withColumn("before", F.lag("embedding").over(Window.partitionBy("label").orderBy("vec_id"))).where("before is not null")
-    return v.withColumn("d", geo.distance(F.col("embedding"), F.col("before"))).groupBy("label").agg(F.avg("d").alias("mean"), F.max("d").alias("most"), (F.count("*") + 1).alias("texts"))
+    """Distance between consecutive vectors of an account, mean and largest; accounts with one text are told as insufficient."""
+    e = table(spark, d, "embeddings").select((F.col("vec_id") % social.n_users(spark, d)).alias("user_id"), "vec_id", "embedding")
+    v = e.withColumn("before", F.lag("embedding").over(Window.partitionBy("user_id").orderBy("vec_id")))
+    v = v.withColumn("d", F.when(F.col("before").isNotNull(), geo.distance(F.col("embedding"), F.col("before"))))
+    return v.groupBy("user_id").agg(F.avg("d").alias("mean"), F.max("d").alias("most"), F.count("*").alias("texts"), F.when(F.count("*") < 2, "insufficient").otherwise("measured").alias("state"))
 
 
 @query("top_evidence", "SELECT user_id, action, event_id, value FROM trace WHERE value > 0 QUALIFY row_number() OVER (PARTITION BY user_id, action ORDER BY value DESC, event_id) <= 5")

@@ -12,6 +12,11 @@ from tidemark.plans.shared import table
 REACTION = {"click": "like", "error": "dislike", "view": "refresh", "signup": "repost", "purchase": "comment"}
 
 
+def n_users(spark: SparkSession, d: str) -> int:
+    """Number of accounts, which the rules that make authors and follow pairs count up to; read from the file footers."""
+    return max(1, table(spark, d, "customer").count())
+
+
 def trace(spark: SparkSession, d: str) -> DataFrame:
     """Action log: event_id, user_id, ts, step (day), action, value, target (JSON key k), info."""
     e = table(spark, d, "events")
@@ -26,10 +31,10 @@ def users(spark: SparkSession, d: str) -> DataFrame:
 
 
 def posts(spark: SparkSession, d: str) -> DataFrame:
-    """post_id, user_id, content, step, original_post_id (a third are originals), is_quote, num_likes, num_dislikes, lang, source."""
+    """post_id, user_id, content, step, original_post_id (a third are originals) and its author, is_quote, num_likes, num_dislikes, lang, source."""
     p = table(spark, d, "documents")
-    i = F.col("doc_id")
-    return p.select(i.alias("post_id"), (i % 150).alias("user_id"), F.col("text").alias("content"), (i % 30).alias("step"), F.when(i % 3 != 0, F.expr("doc_id div 3")).alias("original_post_id"), (i % 3 == 2).alias("is_quote"), (F.col("n_chars") % 97).alias("num_likes"), (F.col("n_chars") % 31).alias("num_dislikes"), "lang", "source")
+    i, n = F.col("doc_id"), n_users(spark, d)
+    return p.select(i.alias("post_id"), (i % n).alias("user_id"), F.col("text").alias("content"), (i % 30).alias("step"), F.when(i % 3 != 0, F.expr("doc_id div 3")).alias("original_post_id"), F.when(i % 3 != 0, F.expr("doc_id div 3") % n).alias("original_author"), (i % 3 == 2).alias("is_quote"), (F.col("n_chars") % 97).alias("num_likes"), (F.col("n_chars") % 31).alias("num_dislikes"), "lang", "source")
 
 
 def reactions(spark: SparkSession, d: str) -> DataFrame:
@@ -47,16 +52,18 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 def follows(spark: SparkSession, d: str) -> DataFrame:
     """follower_id, followee_id: distinct directed pairs of accounts, from orders' customer and key."""
     o = table(spark, d, "orders")
-    return o.select((F.col("o_custkey") % 150).alias("follower_id"), (F.col("o_orderkey") * 7 % 150).alias("followee_id")).where("follower_id != followee_id").distinct()
+    n = n_users(spark, d)
+    return o.select((F.col("o_custkey") % n).alias("follower_id"), (F.col("o_orderkey") * 7 % n).alias("followee_id")).where("follower_id != followee_id").distinct()
 
 
 #: The same views for the SQL side.
 SQL = """WITH trace AS (SELECT event_id, user_id, ts, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS step, event_type AS action, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS target, props AS info FROM events),
 users AS (SELECT c_custkey AS user_id, c_name AS user_name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'bad_' ELSE 'good_' END || lower(c_mktsegment) AS user_type, CASE WHEN c_mktsegment = 'BUILDING' THEN 1 ELSE 0 END AS is_bad, c_nationkey AS nation, c_acctbal AS balance FROM customer),
-posts AS (SELECT doc_id AS post_id, doc_id % 150 AS user_id, text AS content, doc_id % 30 AS step, CASE WHEN doc_id % 3 <> 0 THEN doc_id // 3 END AS original_post_id, doc_id % 3 = 2 AS is_quote, n_chars % 97 AS num_likes, n_chars % 31 AS num_dislikes, lang, source FROM documents),
+posts AS (SELECT doc_id AS post_id, doc_id % (SELECT count(*) FROM customer) AS user_id, text AS content, doc_id % 30 AS step, CASE WHEN doc_id % 3 <> 0 THEN doc_id // 3 END AS original_post_id, CASE WHEN doc_id % 3 <> 0 THEN doc_id // 3 % (SELECT count(*) FROM customer) END AS original_author, doc_id % 3 = 2 AS is_quote, n_chars % 97 AS num_likes, n_chars % 31 AS num_dislikes, lang, source FROM documents),
 reactions AS (SELECT event_id, user_id, ts, step, target AS post_id, CASE action WHEN 'click' THEN 'like' WHEN 'error' THEN 'dislike' WHEN 'view' THEN 'refresh' WHEN 'signup' THEN 'repost' WHEN 'purchase' THEN 'comment' END AS action FROM trace),
 edges AS (SELECT l_suppkey AS src, l_partkey AS dst, l_returnflag AS relation, l_discount AS weight, l_orderkey || '-' || l_linenumber AS evidence FROM lineitem),
-follows AS (SELECT DISTINCT o_custkey % 150 AS follower_id, o_orderkey * 7 % 150 AS followee_id FROM orders WHERE o_custkey % 150 <> o_orderkey * 7 % 150)
+pairs AS (SELECT o_custkey % n AS follower_id, o_orderkey * 7 % n AS followee_id FROM orders, (SELECT count(*) AS n FROM customer)),
+follows AS (SELECT DISTINCT follower_id, followee_id FROM pairs WHERE follower_id <> followee_id)
 """
 
 USER_SCHEMA = "id string, description string, username string, created_at string, verified boolean, public_metrics struct<followers_count bigint, following_count bigint>"
@@ -82,8 +89,12 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """One id a line; blank lines are skipped. Use ``duplicate_keys`` of the audits to refuse repeats."""
-    return spark.read.text(path).select(F.trim("value").alias("id")).where("id != ''")
+    """id, position: one id a line, in the order of the file; blank lines are skipped. A list without ids, or with one twice, is refused."""
+    ids = spark.read.text(path).select(F.trim("value").alias("id"), F.monotonically_increasing_id().alias("position")).where("id != ''")
+    seen = ids.groupBy("id").agg(F.count("*").alias("n")).agg(F.count("*").alias("ids"), F.count_if(F.col("n") > 1).alias("twice")).first()
+    if not seen["ids"] or seen["twice"]:
+        raise ValueError(f"id list {path} has {seen['ids']} ids, {seen['twice']} of them more than once")
+    return ids
 
 
 def read_agent_log(spark: SparkSession, path: str) -> DataFrame:
