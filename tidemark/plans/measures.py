@@ -311,12 +311,12 @@ Z = 1.959963984540054
 T_SQL = f"{Z} + ({Z}^3 + {Z}) / (4 * df) + (5 * {Z}^5 + 16 * {Z}^3 + 3 * {Z}) / (96 * df^2) + (3 * {Z}^7 + 19 * {Z}^5 + 17 * {Z}^3 - 15 * {Z}) / (384 * df^3)"
 
 
-@query("mean_ci", f", g AS (SELECT user_id, step, avg(value) AS mean, count(*) AS n, count(*) - 1.0 AS df, stddev_samp(value) AS s FROM trace GROUP BY GROUPING SETS ((user_id, step), (user_id))) SELECT user_id, step, n, mean, CASE WHEN df > 0 THEN (CASE WHEN df > 30 THEN {T_SQL} ELSE {ev.T95}[CAST(df AS INTEGER)] END) * s / sqrt(n) END AS half FROM g")
+@query("mean_ci", f", c AS (SELECT *, CAST(round(value * 100) AS BIGINT) AS cents FROM trace), g AS (SELECT user_id, step, avg(cents) AS mean, count(*) AS n, count(*) - 1.0 AS df, stddev_samp(cents) AS s FROM c GROUP BY GROUPING SETS ((user_id, step), (user_id))) SELECT user_id, step, n, mean, CASE WHEN df > 0 THEN (CASE WHEN df > 30 THEN {T_SQL} ELSE {ev.T95}[CAST(df AS INTEGER)] END) * s / sqrt(n) END AS half FROM g")
 def mean_ci(spark, d):
-    """Mean and 95 % interval for each account and step, and for each account."""
-    t = social.trace(spark, d)
-    each = ev.mean_interval(t.withColumn("g", F.struct("user_id", "step")), "g", "value").select("g.user_id", "g.step", "n", "mean", "half")
-    return each.unionByName(ev.mean_interval(t, "user_id", "value").withColumn("step", F.lit(None).cast("long")))
+    """Mean and 95 % interval of the value, in hundredths, for each account and step, and for each account."""
+    t = social.trace(spark, d).withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    each = ev.mean_interval(t.withColumn("g", F.struct("user_id", "step")), "g", "cents").select("g.user_id", "g.step", "n", "mean", "half")
+    return each.unionByName(ev.mean_interval(t, "user_id", "cents").withColumn("step", F.lit(None).cast("long")))
 
 
 @query("curve_rmse", ", m AS (SELECT action, step, count(*) AS n FROM trace GROUP BY 1, 2) SELECT a.action, sqrt(avg((a.n - b.n) ^ 2)) / max(b.n) AS rmse FROM m a JOIN m b ON a.step = b.step AND b.action = 'view' WHERE a.action <> 'view' GROUP BY 1")
