@@ -101,3 +101,12 @@ def test_stream_step_counters(spark, tmp_path):
     job = lambda df: jobs.step_counters(df.withColumn("ts", F.col("ts").cast("timestamp")))
     got = streamed(spark, tmp_path, [rows], "ts string, action string", job, "steps_out", "complete")
     assert sorted(r.n for r in got.collect()) == [1, 2]
+
+
+def test_id_list_is_refused_with_repeats_or_without_ids(spark, tmp_path):
+    for name, text in (("good", "b\n\n a \nc\n"), ("twice", "a\nb\na\n"), ("none", "\n \n")):
+        (tmp_path / name).write_text(text)
+    assert [r.id for r in social.read_ids(spark, str(tmp_path / "good")).orderBy("position").collect()] == ["b", "a", "c"]
+    for name in ("twice", "none"):
+        with pytest.raises(ValueError):
+            social.read_ids(spark, str(tmp_path / name))
