@@ -246,6 +246,19 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+def test_pages_of_a_cut_host(spark, monkeypatch):
+    """Two pages that share a run lose it wherever the cut puts them; repeated rows are one page."""
+    line = "<div>shared line {0} that two pages of this host hold {0}</div>"
+    own = "<p>words{0} of{0} page{0} only{0} and{0} no{0} other{0} one{0}</p>"
+    rows = [(i, f"http://a.example/{i}", "<body>" + line.format(i % 30) + own.format(i) + "</body>") for i in range(60)]
+    rows += [(70, "http://a.example/70", "<body>" + own.format(70) + "</body>")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted((i, u, " ".join(f"{w}{i}" for w in "words of page only and no other one".split())) for i, u, _ in rows)
+    whole = sorted((r.page_id, r.url, r.text) for r in pages.extract(df).collect())
+    monkeypatch.setattr(pages, "HOST_BLOCK", 4)
+    assert whole == want == sorted((r.page_id, r.url, r.text) for r in pages.extract(df).collect())
+
+
 def test_suffix_array_runs():
     rnd = np.random.default_rng(3)
     tokens, page = rnd.integers(0, 3, 300), np.sort(rnd.integers(0, 6, 300))
