@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.shared import bounded, stored
+
 #: Consecutive ids that one window group holds when documents are put in order.
 RUN = 1024
 #: Run heads are broadcast up to this many rows (16 bytes each); more are joined by shuffle.
@@ -30,22 +32,48 @@ def likeness(a: Column, canon_a: Column, b: Column, canon_b: Column) -> Column:
     return F.when((a == b) & (canon_a == canon_b), 1.0).otherwise(0.0)
 
 
+def canonical_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, canon, fingerprint of every row."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("canon", canonical(F.col("text")))
+    return rows.select("doc_id", "canon", digest(F.col("canon")).alias("fingerprint"))
+
+
+def shared_groups(docs: DataFrame) -> DataFrame:
+    """fingerprint, canon, group_doc, group_size, kinds of the texts that several rows have, stored.
+
+    Digests are counted first, with partial counts, so a group of any size costs a row a partition. Only buckets of two or
+    more rows go on: they are grouped by the canonical bytes themselves. ``kinds`` is how many texts a bucket holds; canon is
+    null where that is one, so texts are written for colliding digests alone.
+    """
+    rows = canonical_rows(docs)
+    several = stored(rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"))
+    texts = rows.join(bounded(several), "fingerprint", "left_semi").groupBy("fingerprint", "canon").agg(F.min("doc_id").alias("group_doc"), F.count("*").alias("group_size"))
+    kinds = F.count("*").over(Window.partitionBy("fingerprint"))
+    return stored(texts.withColumn("kinds", kinds).withColumn("canon", F.when(F.col("kinds") > 1, F.col("canon"))))
+
+
+def with_groups(rows: DataFrame, docs: DataFrame, canon: str, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows``, which have doc_id, fingerprint and the column ``canon``, with group_doc and group_size behind."""
+    found = shared_groups(docs)
+    single = found.where("kinds = 1").select("fingerprint", F.col("group_doc").alias("one_doc"), F.col("group_size").alias("one_size"))
+    collided = found.where("kinds > 1").select(F.col("fingerprint").alias("of"), "canon", F.col("group_doc").alias("other_doc"), F.col("group_size").alias("other_size"))
+    doc, size = F.col("one_doc"), F.col("one_size")
+    if collided.limit(1).count():
+        rows = rows.withColumnRenamed(canon, "bytes").join(bounded(collided), (F.col("fingerprint") == F.col("of")) & (F.col("bytes") == F.col("canon")), "left").select(*columns, "other_doc", "other_size")
+        doc, size = F.coalesce("one_doc", "other_doc"), F.coalesce("one_size", "other_size")
+    else:
+        rows = rows.select(*columns)
+    joined = rows.join(bounded(single), "fingerprint", "left")
+    return joined.select(*columns, F.coalesce(doc, F.col("doc_id")).alias("group_doc"), F.coalesce(size, F.lit(1)).alias("group_size"))
+
+
 def duplicate_groups(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, group_doc (smallest doc_id with the same canonical bytes), group_size, for every row.
 
-    Digests are grouped first, with partial counts, so a group of any size costs one row a partition; only rows in
-    buckets of two or more have their bytes compared. Null and empty texts form one group; a null doc_id never
-    leads a group unless all its rows are null; repeated rows count each time.
+    Null and empty texts form one group; a null doc_id never leads a group unless all its rows are null; repeated
+    rows count each time; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("canon", canonical(F.col("text"))).select("doc_id", "canon", digest(F.col("canon")).alias("fingerprint"))
-    shared = rows.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    groups = (
-        rows.join(shared, "fingerprint", "left_semi")
-        .groupBy("fingerprint", F.sha2("canon", 512).alias("bytes"), F.length("canon").alias("size"))
-        .agg(F.min("doc_id").alias("group_doc"), F.count("*").alias("group_size"))
-    )
-    named = rows.select("doc_id", "fingerprint", F.sha2("canon", 512).alias("bytes"), F.length("canon").alias("size"))
-    return named.join(groups, ["fingerprint", "bytes", "size"], "left").select("doc_id", "fingerprint", F.coalesce("group_doc", "doc_id").alias("group_doc"), F.coalesce("group_size", F.lit(1)).alias("group_size"))
+    return with_groups(canonical_rows(docs), docs, "canon", ["doc_id", "fingerprint"])
 
 
 def with_next_text(docs: DataFrame) -> DataFrame:
@@ -60,7 +88,7 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     block = F.floor(F.col("run") / RUN)
     lows = heads.groupBy(block.alias("block")).agg(F.min("run").alias("low"))
     lows = lows.select("block", F.lead("low").over(Window.orderBy("block")).alias("above"), F.min("low").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
-    up = heads.withColumn("block", block).withColumn("near", F.lead("run").over(Window.partitionBy("block").orderBy("run"))).join(F.broadcast(lows), "block")
+    up = heads.withColumn("block", block).withColumn("near", F.lead("run").over(Window.partitionBy("block").orderBy("run"))).join(bounded(lows), "block")
     up = up.select(F.col("run").alias("from_run"), F.col("doc_id").alias("head"), F.coalesce("near", "above", "lowest").alias("host"))
     if heads.count() <= HEADS_BROADCAST:
         up = F.broadcast(up)
@@ -79,10 +107,13 @@ def edited(text: Column, next_text: Column) -> Column:
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document (see ``with_next_text``).
 
-    Returns doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next. Null
-    text counts as empty; an empty table gives no rows; repeated rows stay; other columns are left out.
+    Returns doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next, group_doc, group_size
+    (see ``duplicate_groups``). Null text counts as empty; an empty table gives no rows; repeated rows stay; other
+    columns are left out.
     """
     t, nxt, e = F.col("text"), F.col("next_text"), F.col("edited")
     rows = with_next_text(docs).withColumn("edited", edited(t, nxt)).select("*", canonical(t).alias("c"), canonical(e).alias("ce"), canonical(nxt).alias("cn"))
     rows = rows.select("*", digest(F.col("c")).alias("fingerprint"), digest(F.col("ce")).alias("edited_fingerprint"), digest(F.col("cn")).alias("nf"))
-    return rows.select("doc_id", F.length(t).cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("c"), F.col("edited_fingerprint"), F.col("ce")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("c"), F.col("nf"), F.col("cn")).alias("near_next"))
+    near = lambda digested, canon: likeness(F.col("fingerprint"), F.col("c"), F.col(digested), F.col(canon))
+    rows = rows.select("doc_id", F.length(t).cast("long").alias("n_chars"), "edited", "fingerprint", "edited_fingerprint", near("edited_fingerprint", "ce").alias("near_edited"), near("nf", "cn").alias("near_next"), "c")
+    return with_groups(rows, docs, "c", ["doc_id", "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])

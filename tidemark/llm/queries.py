@@ -69,7 +69,7 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
-    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return both.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_doc", "group_size")
 
 
 def op7_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
