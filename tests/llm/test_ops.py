@@ -228,9 +228,19 @@ def test_fingerprints(spark):
         nxt = order[(i + 1) % len(order)][1]
         k = len(t) // 3
         e = t[: len(t) - k] + nxt[:k]
-        assert tuple(got[d])[1:] == (len(t), e, fp(t), fp(e), float(fp(t) == fp(e)), float(fp(t) == fp(nxt)))
+        assert tuple(got[d])[1:7] == (len(t), e, fp(t), fp(e), float(fp(t) == fp(e)), float(fp(t) == fp(nxt)))
     groups = {r.doc_id: (r.group_doc, r.group_size) for r in fingerprint.duplicate_groups(docs(spark, rows)).collect()}
     assert groups[4100] == groups[5] == groups[2050] == (5, 3) and groups[7] == (1, 2)
+    assert groups == {d: (r.group_doc, r.group_size) for d, r in got.items()}
+
+
+def test_fingerprints_that_collide(spark, monkeypatch):
+    """Where digests agree the bytes decide, also beside buckets without a collision."""
+    monkeypatch.setattr(fingerprint, "digest", lambda c: F.substring(c, 1, 1))
+    rows = [(1, "ab"), (2, "ac"), (3, "AB"), (4, "x"), (5, "X "), (6, "ad"), (7, "q"), (None, "ac")]
+    got = {r.doc_id: (r.group_doc, r.group_size) for r in fingerprint.duplicate_groups(docs(spark, rows)).collect()}
+    assert got == {1: (1, 2), 3: (1, 2), 2: (2, 2), None: (2, 2), 4: (4, 2), 5: (4, 2), 6: (6, 1), 7: (7, 1)}
+    assert fingerprint.duplicate_groups(docs(spark, [])).count() == 0
 
 
 def test_pages(spark):
@@ -288,16 +298,43 @@ def test_language_held_out_and_unknown(spark):
 
 def test_licenses(spark):
     t = licenses.TEMPLATES
-    long = t["BSD-notice"].replace("source and binary", "source or binary")
-    rows = [(1, None), (2, ""), (3, "x y. " + t["MIT"] + " and " + t["Apache-2.0"]), (4, "Pre " + long + " post"), (5, "Nothing to see in this text at all"), (None, t["MIT"])]
+    long = t["BSD-3-Clause"].replace("source and binary", "source or binary")
+    half = t["MIT-text"].split("\n")[-1]
+    rows = [(1, None), (2, ""), (3, "x y. " + t["MIT"] + " and " + t["Apache-2.0"]), (4, "Pre " + long + " post"), (5, "Nothing to see in this text at all"), (None, t["MIT"]), (6, "some code. " + half)]
+    rows += [(7, " ".join([t["CC-BY-4.0"]] * 3)), (8, ("filler words here " * 20000) + t["ISC-text"].lower()), (9, t["MIT-text"]), (9, t["MIT-text"])]
     got = collections.defaultdict(list)
     for r in licenses.scan(docs(spark, rows)).collect():
         got[r.doc_id].append((r.license, round(r.coverage, 2), r.start, r.stop))
-    assert {g[0] for g in got[3]} == {"MIT", "Apache-2.0"} and got[4][0][0] == "BSD-notice" and got[4][0][1] >= 0.9
-    assert rows[3][1][got[4][0][2] : got[4][0][3]].startswith("Redistribution") and set(got) == {3, 4, None}
+    assert {g[0] for g in got[3]} == {"MIT", "Apache-2.0"} and [(g[0], g[1]) for g in got[4]] == [("BSD-3-Clause", 1.0)]
+    assert rows[3][1][got[4][0][2] : got[4][0][3]].startswith("Redistribution") and set(got) == {3, 4, None, 6, 7, 8, 9}
+    assert [g[0] for g in got[6]] == ["MIT-text"] and 0.3 < got[6][0][1] < 0.7 and rows[6][1][got[6][0][2] :].startswith("THE SOFTWARE")
+    assert [g[0] for g in got[7]] == ["CC-BY-4.0"] * 3 and [g[0] for g in got[8]] == ["ISC-text"] and [g[:2] for g in got[9]] == [("MIT-text", 1.0)] * 2
     assert licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_equal_alignment_everywhere():
+    """Paragraphs with an edit in each fifteen words are found where an alignment along every diagonal finds them, and nowhere else."""
+    rnd = random.Random(5)
+    index = licenses.Index(sorted(licenses.TEMPLATES.items()))
+    filler = "lorem ipsum of the software in this work any use without dolor".split()
+    for _ in range(40):
+        p = rnd.randrange(len(index.words))
+        name = index.names[index.of[p]]
+        part = [w for w in licenses.TEMPLATES[name].split("\n") if len(licenses.WORD.findall(w)) == len(index.words[p])]
+        if not part:
+            continue
+        words = licenses.WORD.findall(part[0].lower())
+        for at in range(7, len(words), 15):
+            words[at] = rnd.choice(["changed", "changed twice", ""])
+        text = " ".join(rnd.choices(filler, k=30) + words + rnd.choices(filler, k=30))
+        h = index.hashes(licenses.WORD.findall(text))
+        best = max(licenses.align(h, index.words[p], d)[0] for d in range(-8, len(h)))
+        said = licenses.scan_text(text, index)
+        if best / len(index.words[p]) >= licenses.COVERAGE:
+            assert any(n >= best - 1 for *_, n in said), (name, text, said)
+    assert licenses.scan_text(" ".join(rnd.choices(filler, k=3000)), index) == []
+
+
 def test_decontamination(spark):
     b = spark.createDataFrame([(1, "Anna Bell bought 12 apples for 3 dollars and then sold the 12 apples to her friend Carl for 5 dollars", "k"), (2, None, "k"), (3, "", "k")], "item_id long, text string, doc string")
     asked = "Maria bought {} apples for 7 dollars and then sold the {} apples to her friend Paul for 9 dollars."
