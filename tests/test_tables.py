@@ -110,3 +110,13 @@ def test_id_list_is_refused_with_repeats_or_without_ids(spark, tmp_path):
     for name in ("twice", "none"):
         with pytest.raises(ValueError):
             social.read_ids(spark, str(tmp_path / name))
+
+
+def test_contribution_sinks(spark, tmp_path):
+    rows = [(1, "a", -2.0, "lowers", 1), (1, "b", 1.0, "raises", 2), (2, "a", 0.5, "raises", 1), (None, "é,\n", 0.0, "neutral", 1)]
+    df = spark.createDataFrame(rows, "user_id long, action string, contribution double, direction string, rank int")
+    social.write_contributions(df, f"{tmp_path}/out")
+    packets = {r.user_id: [(c["rank"], c["action"], c["contribution"]) for c in r.contributions] for r in spark.read.json(f"{tmp_path}/out/packets").collect()}
+    assert packets == {1: [(1, "a", -2.0), (2, "b", 1.0)], 2: [(1, "a", 0.5)], None: [(1, "é,\n", 0.0)]}
+    back = spark.read.options(header=True, multiLine=True, escape="\"").schema(df.schema).csv(f"{tmp_path}/out/long")
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))

@@ -56,6 +56,13 @@ def contribution_rank(spark, d):
     return c.select("user_id", "action", x, F.when(x > 0, "raises").when(x < 0, "lowers").otherwise("neutral").alias("direction"), F.row_number().over(Window.partitionBy("user_id").orderBy(F.round(F.abs(x), 6).desc(), "action")).alias("rank"))
 
 
+@query("contribution_packets", ", c AS (SELECT user_id, action, sum(value) - 300 AS c FROM trace GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(abs(c), 6) DESC, action) AS rank FROM c) SELECT user_id, count(*) AS n, string_agg(rank || ' ' || action || CASE WHEN c > 0 THEN ' raises' WHEN c < 0 THEN ' lowers' ELSE ' neutral' END, ', ' ORDER BY rank) AS packet FROM r GROUP BY 1")
+def contribution_packets(spark, d):
+    """Each account's contributions by rank, as the packet sink writes them, in one line."""
+    entry = F.transform("contributions", lambda c: F.concat_ws(" ", c["rank"], c["action"], c["direction"]))
+    return social.packets(contribution_rank(spark, d)).select("user_id", F.size("contributions").cast("long").alias("n"), F.array_join(entry, ", ").alias("packet"))
+
+
 @query("engagement_delta", ", s AS (SELECT post_id, step, count(*) AS n FROM reactions GROUP BY 1, 2) SELECT post_id, step, n, n - coalesce(lag(n) OVER (PARTITION BY post_id ORDER BY step), 0) AS delta FROM s")
 def engagement_delta(spark, d):
     s = social.reactions(spark, d).groupBy("post_id", "step").agg(F.count("*").alias("n"))

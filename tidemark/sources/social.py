@@ -131,3 +131,16 @@ def check_bundle(spark: SparkSession, out: str) -> DataFrame:
         one = back.agg(F.count("*").alias("rows"), F.sum(F.xxhash64(*back.columns).cast("decimal(38,0)")).cast("string").alias("digest")).select(F.lit(r["table"]).alias("table"), "rows", "digest", ((F.col("rows") == r["rows"]) & F.col("digest").eqNullSafe(F.lit(r["digest"]))).alias("ok"))
         found = one if found is None else found.unionByName(one)
     return found
+
+
+def packets(contributions: DataFrame, key: str = "user_id") -> DataFrame:
+    """One row an account with its contributions (all other columns, which start with the rank) as a list by rank. A list has as
+    many entries as there are features, whatever the number of accounts."""
+    rest = [c for c in contributions.columns if c != key]
+    return contributions.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", *[c for c in rest if c != "rank"]))).alias("contributions"))
+
+
+def write_contributions(contributions: DataFrame, out: str, mode: str = "errorifexists") -> None:
+    """Contributions in long form as CSV with a header (``long``), and a JSON object for each account on a line of its own (``packets``)."""
+    contributions.write.mode(mode).options(header=True, escape="\"", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{out}/long")
+    packets(contributions).write.mode(mode).json(f"{out}/packets")
