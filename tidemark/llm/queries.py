@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, minhash, pages, secrets, toxicity
+from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, minhash, pages, periodic, secrets, toxicity
 from tidemark.plans.shared import bounded, table
 
 
@@ -85,4 +85,14 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op7_pages": op7_pages, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_decontam": op10_decontam}
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic.find_runs(docs.withColumn("text", periodic.looped(F.col("text"), F.col("doc_id"))))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r.length.alias("length"), (-r.start).alias("start"), (-r.period).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), F.concat(r.period.cast("string"), F.lit("\n")))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("b"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    whole = (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"), F.floor(1000 * F.col("b.length") / -F.col("b.period")).alias("exponent_milli")
+    return rows.select("doc_id", "n_runs", *whole, "runs_sha256", "collapsed_sha256")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op7_pages": op7_pages, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_decontam": op10_decontam, "op12_periodic": op12_periodic}
