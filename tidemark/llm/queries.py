@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, minhash, pages, periodic, secrets, toxicity
+from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, minhash, pages, periodic, secrets, simhash, toxicity
 from tidemark.plans.shared import bounded, table
 
 
@@ -85,6 +85,10 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3)
+
+
 def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = periodic.find_runs(docs.withColumn("text", periodic.looped(F.col("text"), F.col("doc_id"))))
@@ -95,4 +99,4 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", *whole, "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op7_pages": op7_pages, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_decontam": op10_decontam, "op12_periodic": op12_periodic}
+QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op7_pages": op7_pages, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_decontam": op10_decontam, "op11_simhash": op11_simhash, "op12_periodic": op12_periodic}
