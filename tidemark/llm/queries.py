@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, minhash, pages, periodic, secrets, simhash, toxicity
+from tidemark.llm import bpe, decontam, fingerprint, langid, licenses, linededup, manifest, minhash, pages, periodic, secrets, simhash, toxicity
 from tidemark.plans.shared import bounded, table
 
 
@@ -99,4 +99,12 @@ def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_runs", *whole, "runs_sha256", "collapsed_sha256")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op7_pages": op7_pages, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_decontam": op10_decontam, "op11_simhash": op11_simhash, "op12_periodic": op12_periodic}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    changed = {"text": F.translate("text", capitals, capitals.lower())}
+    found = manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], changed, lambda doc_id: F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0)
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_minhash": op2_minhash, "op3_linededup": op3_linededup, "op4_toxicity": op4_toxicity, "op5_secrets": op5_secrets, "op6_fingerprint": op6_fingerprint, "op7_pages": op7_pages, "op8_langid": op8_langid, "op9_licenses": op9_licenses, "op10_decontam": op10_decontam, "op11_simhash": op11_simhash, "op12_periodic": op12_periodic, "op13_merkle": op13_merkle}
