@@ -15,6 +15,8 @@ FAN = 16
 #: (node, part) has no hot key although all leaves meet in the root.
 PART = 1 << 16
 HEX = 64
+#: Node rows, of 1.2 kB at most, that are broadcast; more are joined by shuffle.
+NODES_BROADCAST = 50_000
 #: Number of the first level over the sources' roots; levels inside sources lie below.
 OVER = 1000
 
@@ -149,7 +151,7 @@ def manifest(docs: DataFrame, columns: list[str], tampered: dict[str, Column], w
         parts = F.sequence(F.floor(F.col("first") / PART), F.floor(F.col("last") / PART))
         one = one.select(*kept, F.explode(parts).alias("part"))
         nodes = one if nodes is None else nodes.unionAll(one)
-    done = climbed(spark, start, stored(nodes)) if nodes is not None else start.withColumnRenamed("digest", "root")
+    done = climbed(spark, start, bounded(stored(nodes), NODES_BROADCAST)) if nodes is not None else start.withColumnRenamed("digest", "root")
 
     texts = done.select("root", "subroot", "doc_ids", F.lower(F.hex("leaves")).alias("kids"), F.transform("folded", lambda x: F.lower(F.hex(x))).alias("folded"), F.lower(F.hex("siblings")).alias("siblings"))
     each = texts.select("root", "subroot", "kids", "siblings", F.posexplode(F.arrays_zip("doc_ids", "folded")).alias("j", "one"))
