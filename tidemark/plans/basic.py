@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.operators import nested
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 from tidemark.plans.shared import table
@@ -65,6 +66,28 @@ def content_hash(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.sha2(F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))), 256).alias("sha"))
 
 
+NESTED = "concat('{\"user\": ', user_id, ', \"props\": ', props, ', \"Generated At\": \"', event_id, '\", \"about\": {\"Profile Index\": ', event_id, ', \"value\": ', value, ', \"kind\": {\"', event_type, '\": [', event_id, '.0, {\"Generated At\": 1}, \"a.b\"]}}}')"
+
+
+@query("nested_hash", "SELECT event_id, sha256('{\"about\":{\"kind\":{\"' || event_type || '\":[' || event_id || ',{},\"a.b\"]},\"value\":' || CASE WHEN value = floor(value) THEN CAST(CAST(value AS BIGINT) AS VARCHAR) ELSE CAST(value AS VARCHAR) END || '},\"props\":{\"k\":' || json_extract_string(props, '$.k') || '},\"user\":' || user_id || '}') AS sha FROM events", views=False)
+def nested_hash(spark, d):
+    """Digests of nested records whose volatile keys, at any depth, and order of keys don't count."""
+    e = table(spark, d, "events").select("event_id", F.expr(NESTED).alias("json"))
+    return nested.with_canonical(e, "json", ("Generated At", "Profile Index")).select("event_id", F.sha2("canonical", 256).alias("sha"))
+
+
+@query(
+    "nested_tree",
+    "SELECT event_id AS row, unnest(['user', 'props', 'props.k', 'about', 'about.value', 'about.kind', 'about.kind.' || event_type]) AS node, unnest([1, 1, 2, 1, 2, 2, 3]) AS depth, unnest([NULL, NULL, 'props', NULL, 'about', 'about', 'about.kind']) AS parent,"
+    " unnest([0, 1, 0, 2, 0, 1, 0]) AS children, unnest([2, 2, 0, 2, 1, 1, 0]) AS siblings FROM events",
+    views=False,
+)
+def nested_tree(spark, d):
+    """Taxonomy nodes of nested records; lists are leaves."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("row"), F.expr(NESTED).alias("json"))
+    return nested.taxonomy(nested.leaves(e, ("Generated At", "Profile Index"), lists=False))
+
+
 @query("log_split", "SELECT CAST(nullif(regexp_extract(line, 'Agent ([0-9]+)\\b', 1), '') AS BIGINT) AS agent_id, count(*) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'INFO system tick' ELSE 'INFO Agent ' || user_id || ' did ' || action END AS line FROM trace) GROUP BY 1")
 def log_split(spark, d):
     t = social.trace(spark, d)

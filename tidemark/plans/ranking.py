@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as geo
-from tidemark.operators import simjoin
+from tidemark.operators import simjoin, vectorindex
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 from tidemark.plans.shared import table
@@ -313,6 +313,18 @@ def knn_edges(spark, d):
     return top.select(F.least("query", "item").alias("a"), F.greatest("query", "item").alias("b")).distinct()
 
 
+@query("index_recall", NORMED + f", t AS (SELECT q.vec_id FROM e q JOIN e p ON q.vec_id <> p.vec_id WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.u', b='p.u')}, 9) DESC, p.vec_id) <= 5) SELECT count(*) AS neighbours, true AS reached FROM t")
+def index_recall(spark, d):
+    """Five neighbours of each query vector by exact comparison with all, and whether the index reaches nine tenths of them."""
+    e = table(spark, d, "embeddings")
+    queries = e.where("vec_id % 20 = 0")
+    index = vectorindex.fit(e, "vec_id", "embedding", k=5)
+    near = vectorindex.top_k(queries, e, "vec_id", "vec_id", "embedding", 5, index, skip_same=True).select("query", "item", F.lit(1).alias("met"))
+    exact = simjoin.top_k(queries, e, "vec_id", "vec_id", "embedding", 5, skip_same=True).select("query", "item")
+    both = exact.join(near, ["query", "item"], "left")
+    return both.agg(F.count("*").alias("neighbours"), (F.count("met") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query("rec_personalized", NORMED + f" SELECT q.vec_id AS user_id, p.vec_id AS post_id FROM e q JOIN e p ON q.vec_id % 150 <> p.vec_id % 150 WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.u', b='p.u')}, 9) DESC, p.vec_id) <= 10")
 def rec_personalized(spark, d):
     e = table(spark, d, "embeddings")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -45,6 +46,18 @@ def released(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def unlimited_recursion(spark: SparkSession):
+    """Within it, recursive queries may make any number of rows; Spark stops them at a million otherwise. Their results must be stored inside."""
+    key = "spark.sql.cteRecursionRowLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df``, which is a stored or otherwise cheap table of short rows, marked for broadcast if it has at most ``rows``; beyond that its joins shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
