@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as geo
-from tidemark.operators import simjoin, vectorindex
+from tidemark.operators import chain, simjoin, vectorindex
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
-from tidemark.plans.shared import table
+from tidemark.plans.shared import stored, table
 from tidemark.sources import social
 
 
@@ -90,6 +90,66 @@ def chain_verify(spark, d):
     return c.groupBy("user_id").agg(F.count("*").alias("events"), F.count_if(~F.col("stored").eqNullSafe(F.col("prev"))).alias("broken"), F.count_if((F.col("before") == "error") & (F.col("action") == "purchase")).alias("bad_transitions"))
 
 
+#: Fixed values of the queries below: what may follow an action.
+ACTION_STEPS = {"": ("signup", "view"), "signup": ("view", "click"), "view": ("click", "view", "error"), "click": ("purchase", "view", "error"), "purchase": ("view",), "error": ("signup", "view")}
+MAY_FOLLOW = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, after in ACTION_STEPS.items() for b in after) + ") AS may(a, b)"
+SEALED = """WITH RECURSIVE numbered AS (SELECT user_id AS key, event_id, event_type AS state, CAST(event_id AS VARCHAR) AS payload, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events),
+sealed AS (
+    SELECT *, CAST(NULL AS VARCHAR) AS previous_state, '' AS previous_hash, sha256('{"key":"' || key || '","payload":"' || payload || '","previous_hash":"","previous_state":null,"sequence":1,"state":"' || state || '"}') AS event_hash FROM numbered WHERE sequence = 1
+    UNION ALL
+    SELECT n.*, s.state, s.event_hash, sha256('{"key":"' || n.key || '","payload":"' || n.payload || '","previous_hash":"' || s.event_hash || '","previous_state":"' || s.state || '","sequence":' || n.sequence || ',"state":"' || n.state || '"}') FROM sealed s JOIN numbered n ON n.key = s.key AND n.sequence = s.sequence + 1
+)"""
+
+
+def action_chain(spark, d):
+    t = social.trace(spark, d)
+    sequence = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return t.select(F.col("user_id").alias("key"), sequence.cast("long").alias("sequence"), F.col("action").alias("state"), F.col("event_id").cast("string").alias("payload"))
+
+
+@query(
+    "chain_audit",
+    SEALED + f""", stored AS (
+    SELECT key, sequence, previous_state, state, CASE WHEN event_id % 101 = 0 THEN 'changed' ELSE payload END AS payload, previous_hash, event_hash FROM sealed WHERE event_id % 103 <> 0
+    UNION ALL SELECT key, sequence, previous_state, state, CASE WHEN event_id % 101 = 0 THEN 'changed' ELSE payload END, previous_hash, event_hash FROM sealed WHERE event_id % 107 = 0 AND event_id % 103 <> 0
+    UNION ALL SELECT key, sequence, previous_state, state, 'forked', previous_hash, sha256('{{"key":"' || key || '","payload":"forked","previous_hash":"' || previous_hash || '","previous_state":' || coalesce('"' || previous_state || '"', 'null') || ',"sequence":' || sequence || ',"state":"' || state || '"}}') FROM sealed WHERE event_id % 109 = 0
+), told AS (
+    SELECT *, NOT EXISTS (SELECT 1 FROM stored p WHERE p.key = s.key AND p.sequence = s.sequence - 1) AND sequence > 1 AS gap,
+        sha256('{{"key":"' || key || '","payload":"' || payload || '","previous_hash":"' || previous_hash || '","previous_state":' || coalesce('"' || previous_state || '"', 'null') || ',"sequence":' || sequence || ',"state":"' || state || '"}}') <> event_hash AS tampered,
+        CASE WHEN sequence = 1 THEN previous_hash <> '' ELSE NOT EXISTS (SELECT 1 FROM stored p WHERE p.key = s.key AND p.sequence = s.sequence - 1 AND p.event_hash = s.previous_hash) END AS unlinked,
+        CASE WHEN sequence = 1 THEN previous_state IS NOT NULL ELSE NOT EXISTS (SELECT 1 FROM stored p WHERE p.key = s.key AND p.sequence = s.sequence - 1 AND p.state = s.previous_state) END AS misstated,
+        NOT EXISTS (SELECT 1 FROM {MAY_FOLLOW} WHERE a = coalesce(previous_state, '') AND b = state) AS illegal FROM stored s
+), sums AS (
+    SELECT key, count(*) AS events, count(DISTINCT sequence) FILTER (gap) AS gaps, count(*) - count(DISTINCT (sequence, payload)) AS repeats, count(DISTINCT (sequence, payload)) - count(DISTINCT sequence) AS forks,
+        count(*) FILTER (tampered) AS tampered, count(*) FILTER (unlinked) AS unlinked, count(*) FILTER (misstated) AS misstated, count(*) FILTER (illegal) AS illegal FROM told GROUP BY 1
+) SELECT *, gaps + repeats + forks + tampered + unlinked + misstated + illegal = 0 AS valid FROM sums""",
+    views=False,
+)
+def chain_audit(spark, d):
+    """Sealed chains of all accounts' actions, in which payloads were changed, events left out, repeated and forked."""
+    sealed = stored(chain.seal(action_chain(spark, d)))
+    own = lambda n: F.col("payload").cast("long") % n == 0
+    held = sealed.where(~own(103))
+    held = held.union(held.where(own(107))).withColumn("payload", F.when(own(101), "changed").otherwise(F.col("payload")))
+    forked = sealed.where(own(109)).withColumn("payload", F.lit("forked"))
+    forked = forked.withColumn("event_hash", chain.event_digest(*[F.col(c) for c in ("key", "sequence", "previous_state", "state", "payload", "previous_hash")]))
+    return chain.verify(held.unionByName(forked), ACTION_STEPS)
+
+
+@query(
+    "state_fold",
+    f"""WITH RECURSIVE numbered AS (SELECT user_id AS key, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence FROM events), may AS (SELECT * FROM {MAY_FOLLOW}),
+folded AS (
+    SELECT key, CAST(0 AS BIGINT) AS sequence, '' AS state, false AS accepted, '' AS now FROM numbered WHERE sequence = 1
+    UNION ALL
+    SELECT n.key, n.sequence, n.state, m.b IS NOT NULL, CASE WHEN m.b IS NOT NULL THEN n.state ELSE f.now END FROM folded f JOIN numbered n ON n.key = f.key AND n.sequence = f.sequence + 1 LEFT JOIN may m ON m.a = f.now AND m.b = n.state
+) SELECT key, sequence, state, accepted, nullif(now, '') AS now FROM folded WHERE sequence > 0""",
+    views=False,
+)
+def state_fold(spark, d):
+    return chain.fold(action_chain(spark, d), ACTION_STEPS)
+
+
 @query("case_state", "SELECT target AS case_id, arg_max(action, event_id) AS state, max(event_id) AS sequence FROM trace GROUP BY 1")
 def case_state(spark, d):
     return social.trace(spark, d).groupBy(F.col("target").alias("case_id")).agg(F.max_by("action", "event_id").alias("state"), F.max("event_id").alias("sequence"))
