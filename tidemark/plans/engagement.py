@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph
+from tidemark.operators import counters, graph
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 
@@ -169,6 +169,40 @@ def counter_state(spark, d):
     return social.trace(spark, d).groupBy(F.col("target").alias("post_id")).agg(F.count_if(a == "purchase").alias("reposts"), (F.count_if(a == "click") - F.count_if(a == "error")).alias("net_likes"), F.sum(F.when(a == "purchase", F.col("value")).otherwise(0.0)).alias("sales"))
 
 
+#: Fixed values of the query below: the platform action that each event of the log plays, by its number.
+LOGGED = [*counters.SWITCHES, *counters.ADDS, "do_nothing"]
+SWITCH_ROWS = "(VALUES " + ", ".join(f"('{a}', '{slot}', '{state}', {str(sets).lower()})" for a, (slot, state, sets) in counters.SWITCHES.items()) + ") AS sw(action, slot, state, sets)"
+RAISE_ROWS = "(VALUES " + ", ".join(f"('{slot}', '{state}', '{whose}', '{entity}', '{counter}')" for (slot, state), raises in counters.RAISES.items() for whose, entity, counter in raises) + ") AS ra(slot, state, whose, entity, counter)"
+ADD_ROWS = "(VALUES " + ", ".join(f"('{a}', '{entity}', '{counter}')" for a, (entity, counter) in counters.ADDS.items()) + ") AS ad(action, entity, counter)"
+
+
+def platform_log(spark, d):
+    t = social.trace(spark, d)
+    action = F.get(F.array(*[F.lit(a) for a in LOGGED]), (F.col("event_id") * 7 % len(LOGGED)).cast("int"))
+    return t.select((F.col("user_id") % 20).alias("actor"), (F.col("target") % 20).alias("object"), action.alias("action"), F.col("ts").alias("at"), "event_id", (F.col("event_id") % 5).alias("quantity"))
+
+
+@query(
+    "platform_counters",
+    social.SQL.replace("WITH trace", "WITH RECURSIVE trace", 1)
+    + f""", log AS (SELECT user_id % 20 AS actor, target % 20 AS object, ({LOGGED!r})[CAST(event_id * 7 % {len(LOGGED)} AS INTEGER) + 1] AS action, ts AS moment, event_id, event_id % 5 AS quantity FROM trace),
+numbered AS (SELECT l.*, slot, state, sets, row_number() OVER (PARTITION BY actor, object, slot ORDER BY moment, event_id) AS n FROM log l JOIN {SWITCH_ROWS} ON sw.action = l.action),
+walk AS (
+    SELECT actor, object, slot, n, CASE WHEN sets THEN state END AS held FROM numbered WHERE n = 1
+    UNION ALL
+    SELECT w.actor, w.object, w.slot, x.n, CASE WHEN x.sets THEN x.state WHEN w.held = x.state THEN NULL ELSE w.held END FROM walk w JOIN numbered x ON x.actor = w.actor AND x.object = w.object AND x.slot = w.slot AND x.n = w.n + 1
+), final AS (SELECT actor, object, slot, held FROM walk QUALIFY row_number() OVER (PARTITION BY actor, object, slot ORDER BY n DESC) = 1),
+changes AS (
+    SELECT ra.entity, CASE ra.whose WHEN 'actor' THEN actor ELSE object END AS id, ra.counter, 1 AS n FROM final f JOIN {RAISE_ROWS} ON ra.slot = f.slot AND ra.state = f.held
+    UNION ALL SELECT ad.entity, object, ad.counter, CASE WHEN l.action = 'purchase_product' THEN quantity ELSE 1 END FROM log l JOIN {ADD_ROWS} ON ad.action = l.action
+) SELECT entity, id, counter, CAST(sum(n) AS BIGINT) AS n FROM changes GROUP BY 1, 2, 3 HAVING sum(n) <> 0""",
+    views=False,
+)
+def platform_counters(spark, d):
+    """All counters of posts, comments, accounts and products after the whole action log, with undo, exclusive and once-only actions."""
+    return counters.platform_counters(platform_log(spark, d))
+
+
 @query("rec_trace", ", s AS (SELECT user_id, post_id, count(*) FILTER (action = 'refresh') * 1.0 AS base, count(*) FILTER (action = 'like') - count(*) FILTER (action = 'dislike') AS adj FROM reactions GROUP BY 1, 2), g AS (SELECT *, max(base) OVER (PARTITION BY user_id) - min(base) OVER (PARTITION BY user_id) AS spread FROM s) SELECT user_id, post_id, base + adj * spread / 2 AS score FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY base + adj * spread / 2 DESC, post_id) <= 5")
 def rec_trace(spark, d):
     a, w = F.col("action"), Window.partitionBy("user_id")
