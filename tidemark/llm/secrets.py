@@ -35,6 +35,8 @@ WORDS = (
     "script search section server service session set sha256 size source stage state status storage stream string suffix system table tag target task template temp test text thread time token total trace type "
     "unicode update upload url user utf8 utf8mb4 uuid value vector version view volume worker www xml zone"
 ).split()
+#: Code points of the stretches in which candidates and base spans of a text meet.
+STRETCH = 4096
 #: Characters of the models, without and with the start mark.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
@@ -43,16 +45,32 @@ SPAN = "array<struct<kind int, start int, stop int, value string>>"
 
 def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     """Matches of a pattern with code point positions. Matches are fenced by two control characters (which the
-    text itself has been cleared of), the fences split, and positions summed up over the pieces."""
-    pieces = F.split(F.regexp_replace(text, f"(?:{pattern})", "\u0001$0\u0002"), "\u0001")
+    text itself has been cleared of), the fences split, and positions summed up over the pieces. Work grows with the matches to the power 1.5."""
+    length = lambda piece: (F.length(piece) - 1).cast("int")
+
+    def grouped(pieces):
+        """A list grows by copying, so the pieces are taken in groups of the root of their number."""
+        matches = F.size(pieces) - 1
+        group = F.greatest(F.ceil(F.sqrt(matches)), F.lit(1)).cast("int")
+        groups = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(matches / group).cast("int") - 1, F.lit(0))), lambda g: F.slice(pieces, g * group + 2, group))
+        return F.struct(F.length(F.element_at(pieces, 1)).cast("int").alias("first"), groups.alias("groups"))
+
+    def onward(acc, one):
+        n = F.aggregate(one, F.lit(0), lambda total, piece: total + length(piece))
+        return F.struct((acc.at + n).alias("at"), F.concat(acc.begins, F.array(acc.at)).alias("begins"))
 
     def step(acc, piece):
         n = F.instr(piece, "\u0002") - 1
         one = F.struct(F.lit(kind).alias("kind"), acc.at.alias("start"), (acc.at + n).cast("int").alias("stop"), F.substring(piece, F.lit(1), n).alias("value"))
-        return F.struct((acc.at + F.length(piece) - 1).cast("int").alias("at"), F.concat(acc.found, F.array(one)).alias("found"))
+        return F.struct((acc.at + length(piece)).alias("at"), F.concat(acc.found, F.array(one)).alias("found"))
 
-    first = F.struct(F.length(F.element_at(pieces, 1)).cast("int").alias("at"), F.array().cast(SPAN).alias("found"))
-    found = F.aggregate(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), first, step, lambda acc: acc.found)
+    def placed(cut):
+        begins = F.aggregate(cut.groups, F.struct(cut["first"].alias("at"), F.array().cast("array<int>").alias("begins")), onward, lambda acc: acc.begins)
+        return F.flatten(F.zip_with(cut.groups, begins, lambda one, at: F.aggregate(one, F.struct(at.alias("at"), F.array().cast(SPAN).alias("found")), step, lambda acc: acc.found)))
+
+    # each value that is used again is bound to a lambda's variable, or it would be made again for each element
+    pieces = F.split(F.regexp_replace(text, f"(?:{pattern})", "\u0001$0\u0002"), "\u0001")
+    found = F.transform(F.transform(F.array(pieces), grouped), placed)[0]
     if keep:
         found = F.filter(found, lambda s: keep(s.value))
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
@@ -166,8 +184,15 @@ def scan(docs: DataFrame) -> DataFrame:
     random, ordinary = samples(rows, scanned.select(F.explode("base").alias("s")))
     model, threshold, _ = trained(random, ordinary)
 
-    maybe = scanned.where(F.size("maybe") > 0).select("doc_id", "key", "base", F.explode("maybe").alias("s"))
-    maybe = maybe.where(~F.exists("base", lambda b: (b.start < F.col("s.stop")) & (F.col("s.start") < b.stop))).select("doc_id", "key", "s").distinct()
+    # a candidate that touches a base span is dropped: both meet in the stretches of STRETCH code points that they touch, so no list is walked for each candidate
+    stretches = F.explode(F.sequence(F.floor(F.col("s.start") / STRETCH), F.floor((F.col("s.stop") - 1) / STRETCH))).alias("stretch")
+    maybe = stored(scanned.select("doc_id", "key", F.explode("maybe").alias("s")).distinct())
+    fixed = scanned.where(F.size("maybe") > 0).select(F.col("doc_id").alias("base_doc"), F.col("key").alias("base_key"), F.explode("base").alias("s"))
+    fixed = fixed.select("base_doc", "base_key", F.col("s.start").alias("base_start"), F.col("s.stop").alias("base_stop"), stretches.alias("base_stretch"))
+    same = F.col("doc_id").eqNullSafe(F.col("base_doc")) & (F.col("key") == F.col("base_key")) & (F.col("stretch") == F.col("base_stretch"))
+    touched = maybe.select("doc_id", "key", "s", stretches).join(fixed, same & (F.col("base_start") < F.col("s.stop")) & (F.col("s.start") < F.col("base_stop")), "left_semi")
+    touched = touched.select(F.col("doc_id").alias("gone_doc"), F.col("key").alias("gone_key"), F.col("s.start").alias("gone_start")).distinct()
+    maybe = maybe.join(touched, F.col("doc_id").eqNullSafe(F.col("gone_doc")) & (F.col("key") == F.col("gone_key")) & (F.col("s.start") == F.col("gone_start")), "left_anti")
     scored = leads(maybe.select(F.col("s.value").alias("token")).distinct(), model).where(F.col("lead") >= threshold)
     added = maybe.join(scored, maybe["s"]["value"] == scored["token"]).groupBy(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key")).agg(F.collect_list("s").alias("added"))
     joined = scanned.join(added, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key")), "left")
