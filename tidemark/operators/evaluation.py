@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,6 +58,57 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, inverse, strict=True)], "name string, vif double")
 
 
+def covariances(df: DataFrame, columns: list[str]):
+    """The covariance matrix of the rows without a null in ``columns``, from one aggregate; it has one row a column and comes to the driver."""
+    import numpy as np
+
+    at = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    full = df.dropna(subset=columns)
+    row = full.agg(*[F.covar_pop(columns[i], columns[j]).alias(f"c{k}") for k, (i, j) in enumerate(at)]).first()
+    m = np.zeros((len(columns), len(columns)))
+    for k, (i, j) in enumerate(at):
+        m[i, j] = m[j, i] = row[k] or 0.0
+    return m
+
+
+#: Greatest R2 of a column: an exact fit still has a finite variance inflation.
+MOST_R2 = 0.9999
+
+
+def module_independence(df: DataFrame, modules: dict[str, list[str]]) -> DataFrame:
+    """module, r2, vif, independent: how well the columns of all other modules tell those of each, by least squares with an intercept. r2 is the mean over the module's
+    columns, each between 0 and MOST_R2 (a constant column: 1); vif is 1 / (1 - r2), null for 1; independent below one half.
+
+    All regressions come from the blocks of one covariance matrix, so the rows are read once.
+    """
+    import numpy as np
+
+    columns = [c for own in modules.values() for c in own]
+    m, at, out = covariances(df, columns), {c: i for i, c in enumerate(columns)}, []
+    for name, own in modules.items():
+        y, x = [at[c] for c in own], [at[c] for c in columns if c not in own]
+        told = np.einsum("ij,jk,ik->i", m[np.ix_(y, x)], np.linalg.pinv(m[np.ix_(x, x)], rcond=1e-12, hermitian=True), m[np.ix_(y, x)])
+        total = np.diag(m)[y]
+        r2 = float(np.mean([min(max(t / v, 0.0), MOST_R2) if v > 1e-12 else 1.0 for t, v in zip(told, total, strict=True)]))
+        out.append((name, r2, 1 / (1 - r2) if r2 < 1 else None, r2 < 0.5))
+    return df.sparkSession.createDataFrame(out, "module string, r2 double, vif double, independent boolean")
+
+
+def module_correlations(df: DataFrame, modules: dict[str, list[str]]) -> DataFrame:
+    """a, b, mean_r: mean absolute correlation of the columns of each two modules, a module with itself over its different columns; null where there are none."""
+    import numpy as np
+
+    columns = [c for own in modules.values() for c in own]
+    m, at = covariances(df, columns), {c: i for i, c in enumerate(columns)}
+    s = np.sqrt(np.diag(m))
+    r = np.abs(np.divide(m, np.outer(s, s), out=np.zeros_like(m), where=np.outer(s, s) > 0))
+    out = []
+    for a, b in combinations_with_replacement(modules, 2):
+        cells = [r[at[x], at[y]] for x in modules[a] for y in modules[b] if x != y]
+        out.append((a, b, float(np.mean(cells)) if cells else None))
+    return df.sparkSession.createDataFrame(out, "a string, b string, mean_r double")
+
+
 def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:
     """Between-group over within-group mean squares."""
     g = df.groupBy(group).agg(F.count(value).alias("n"), F.sum(value).alias("s"), (F.var_pop(value) * F.count(value)).alias("ss"))

@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.plans.shared import stored
+
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns less their mean, over their population deviation; a constant column gives 0."""
@@ -58,25 +60,46 @@ def scored(model, df: DataFrame, key: str) -> DataFrame:
     return model.transform(df).select(key, vector_to_array("probability")[1].alias("p"))
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, k: int = 5) -> DataFrame:
-    """key, fold, p: each row scored by the model that hasn't seen its fold; folds deal each class out by hash order."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key), key)
-    folded = df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k)))
+#: Up to so many rows, each is scored by a model of all others.
+LEAVE_ONE_OUT = 20
+
+
+def out_of_fold(df: DataFrame, key: str, label: str, k: int = 5, fit=boosted) -> DataFrame:
+    """key, fold, p: each row scored by the model (``fit(rows, label)``) that hasn't seen its fold; folds deal each class out by hash order.
+
+    There are ``k`` folds, or as many as the smaller class has rows; with LEAVE_ONE_OUT rows or fewer each row is its own fold. A fold
+    whose other rows have one class gets that class. A table of one class is refused.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}  # one row a class
+    if len(counts) != 2:
+        raise ValueError(f"out-of-fold scores need two classes, not {len(counts)}")
+    n = sum(counts.values())
+    alone = n <= LEAVE_ONE_OUT
+    k = n if alone else max(2, min(k, *counts.values()))
+    w = Window.orderBy(F.xxhash64(key), key) if alone else Window.partitionBy(label).orderBy(F.xxhash64(key), key)  # the former: a few rows
+    folded = stored(df.withColumn("fold", F.pmod(F.row_number().over(w), F.lit(k))))
     parts = None
     for f in range(k):
-        model = logistic(folded.where(F.col("fold") != f), label)
-        one = scored(model, folded.where(F.col("fold") == f), key).withColumn("fold", F.lit(f))
+        rest, own = folded.where(F.col("fold") != f), folded.where(F.col("fold") == f)
+        left = [r[0] for r in rest.select(label).distinct().collect()]
+        one = scored(fit(rest, label), own, key) if len(left) == 2 else own.select(key, F.lit(float(left[0])).alias("p"))
+        one = one.withColumn("fold", F.lit(f))
         parts = one if parts is None else parts.unionByName(one)
     return parts
 
 
 def contributions(df: DataFrame, key: str, label: str, columns: list[str]) -> DataFrame:
-    """key, feature, contribution: coefficient times distance from the mean under a logistic model; they add up to
-    the row's logit less that of the mean."""
-    model = logistic(vectors(df, columns), label)
+    """key, feature, contribution, error: coefficient times distance from the mean under a logistic model; they add up to the row's logit less that of the
+    mean. error is the difference, in the row's score, between the model's and that made of the contributions again."""
+    data = vectors(df, columns)
+    model = logistic(data, label)
     means = df.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    each = F.array(*[F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.lit(means[c])) * F.lit(float(model.coefficients[i]))).alias("contribution")) for i, c in enumerate(columns)])
-    return df.select(key, F.explode(each).alias("x")).select(key, "x.*")
+    weights = [float(c) for c in model.coefficients]
+    base = float(model.intercept) + sum(w * means[c] for w, c in zip(weights, columns, strict=True))
+    each = F.array(*[F.struct(F.lit(c).alias("feature"), ((F.col(c) - F.lit(means[c])) * F.lit(w)).alias("contribution")) for w, c in zip(weights, columns, strict=True)])
+    told = model.transform(data).select(key, each.alias("each"), vector_to_array("probability")[1].alias("p"))
+    logit = F.aggregate("each", F.lit(base), lambda s, x: s + x.contribution)
+    return told.select(key, F.explode("each").alias("x"), F.abs(F.col("p") - 1 / (1 + F.exp(-logit))).alias("error")).select(key, "x.*", "error")
 
 
 def kmeans(df: DataFrame, key: str, array_column: str, k: int) -> DataFrame:
@@ -84,28 +107,28 @@ def kmeans(df: DataFrame, key: str, array_column: str, k: int) -> DataFrame:
     return KMeans(k=k, seed=7).fit(data).transform(data).select(key, F.col("prediction").alias("cluster"))
 
 
-def mixture(df: DataFrame, key: str, array_column: str, most: int = 4) -> DataFrame:
-    """key, cluster of the Gaussian mixture of 2 to ``most`` components with the least Bayesian information criterion."""
+def mixture(df: DataFrame, key: str, array_column: str, most: int = 8) -> DataFrame:
+    """key, cluster of the Gaussian mixture of 2 to ``most`` components (fewer where rows are few) with the least Bayesian information criterion."""
     import math
 
-    data = df.select(key, array_to_vector(F.col(array_column).cast("array<double>")).alias("features")).persist()
+    data = stored(df.select(key, F.col(array_column).cast("array<double>").alias("v"))).select(key, array_to_vector("v").alias("features"))
     n, best = data.count(), None
     dims = len(data.first()["features"])
-    for k in range(2, most + 1):
+    for k in range(2, min(most, n) + 1):
         model = GaussianMixture(k=k, seed=7, maxIter=20).fit(data)
         free = k - 1 + k * dims + k * dims * (dims + 1) / 2
         bic = free * math.log(n) - 2 * model.summary.logLikelihood
         if best is None or bic < best[0]:
             best = bic, model
-    out = best[1].transform(data).select(key, F.col("prediction").alias("cluster"))
-    data.unpersist()
-    return out
+    return best[1].transform(data).select(key, F.col("prediction").alias("cluster"))
 
 
-def coral(df: DataFrame, domain: str, columns: list[str]) -> DataFrame:
-    """distance: squared gaps of means, and of covariances over 4 d^2, between the rows of domain 0 and 1."""
+def coral(df: DataFrame, domain: str, columns: list[str], by: str | None = None) -> DataFrame:
+    """distance: squared gaps of means, and of covariances over 4 d^2, between the rows of domain 0 and 1; with ``by``, a row for each of its values that both domains have."""
     pairs = [(a, b) for a in columns for b in columns]
-    one = df.groupBy(domain).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
+    keys = [by] if by else []
+    one = df.groupBy(*keys, domain).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
     gap = lambda c: F.pow(F.max(F.when(F.col(domain) == 1, F.col(c))) - F.max(F.when(F.col(domain) == 0, F.col(c))), 2)
     total = sum(gap(f"m_{c}") for c in columns) + sum(gap(f"c_{a}_{b}") for a, b in pairs) / (4.0 * len(columns) ** 2)
-    return one.agg(total.alias("distance"))
+    found = one.groupBy(*keys).agg(total.alias("distance"))
+    return found.where("distance is not null") if by else found

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import evaluation as ev
 from tidemark.operators import learning as ml
+from tidemark.operators import models
 from tidemark.plans.registry import query
-from tidemark.plans.shared import table
+from tidemark.plans.shared import shared_dir, table
 from tidemark.sources import social
 
 
@@ -40,15 +43,16 @@ def bot_classifier(spark, d):
 
 @query("oof_scores")
 def oof_scores(spark, d):
-    return ml.out_of_fold(ml.vectors(accounts(spark, d), COLUMNS), "user_id", "is_bad")
+    return ml.out_of_fold(ml.vectors(accounts(spark, d), COLUMNS), "user_id", "is_bad", fit=lambda rows, label: ml.boosted(rows, label, 5))
 
 
 @query("independent_score")
 def independent_score(spark, d):
-    data = ml.vectors(accounts(spark, d), COLUMNS)
-    model = ml.boosted(data.where("user_id % 2 = 0"), "is_bad", 5)
-    p = ml.scored(model, data.where("user_id % 2 = 1"), "user_id").join(data.select("user_id", F.col("is_bad").alias("y")), "user_id")
-    return ev.confusion(p)
+    """Measures, on accounts that a detector hasn't seen, of the detector as it comes back from the store."""
+    path = f"{shared_dir(spark)}/detector-{uuid.uuid4().hex}"
+    rows = accounts(spark, d)
+    models.save(models.fit(rows.where("user_id % 2 = 0"), COLUMNS, "is_bad", iterations=5), path)
+    return models.metric_row(models.load(path), rows.where("user_id % 2 = 1"), "is_bad")
 
 
 @query("contributions")
@@ -74,3 +78,12 @@ CORAL = "SELECT sum(m) + sum(c) / 16.0 AS distance FROM (SELECT (avg(l_quantity)
 def coral_drift(spark, d):
     rows = table(spark, d, "lineitem").select((F.col("l_linestatus") == "F").cast("int").alias("domain"), "l_quantity", "l_tax")
     return ml.coral(rows, "domain", ["l_quantity", "l_tax"])
+
+
+PER_CLASS = CORAL.replace("SELECT sum(m)", "SELECT l_returnflag, sum(m)", 1).replace("FROM (SELECT (avg", "FROM (SELECT l_returnflag, (avg", 1).replace("FROM lineitem)", "FROM lineitem GROUP BY 1) GROUP BY 1 HAVING distance IS NOT NULL")
+
+
+@query("coral_by_class", PER_CLASS, views=False)
+def coral_by_class(spark, d):
+    rows = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_linestatus") == "F").cast("int").alias("domain"), "l_quantity", "l_tax")
+    return ml.coral(rows, "domain", ["l_quantity", "l_tax"], by="l_returnflag")

@@ -301,6 +301,28 @@ def vif(spark, d):
     return ev.vif(table(spark, d, "lineitem"), NUM)
 
 
+MODULES = {"amount": ["l_quantity", "l_extendedprice"], "rate": ["l_discount", "l_tax"]}
+
+
+def two_regressors(y: str, a: str, b: str) -> str:
+    """R2 of a column on two others from their correlations, as SQL."""
+    return f"(corr({y}, {a}) ^ 2 + corr({y}, {b}) ^ 2 - 2 * corr({y}, {a}) * corr({y}, {b}) * corr({a}, {b})) / (1 - corr({a}, {b}) ^ 2)"
+
+
+@query(
+    "module_independence",
+    "WITH r AS (" + " UNION ALL ".join(f"SELECT '{m}' AS module, ({two_regressors(own[0], *other)} + {two_regressors(own[1], *other)}) / 2 AS r2 FROM lineitem" for m, own, other in (("amount", *MODULES.values()), ("rate", *reversed(MODULES.values())))) + ") SELECT module, r2, 1 / (1 - r2) AS vif, r2 < 0.5 AS independent FROM r",
+    views=False,
+)
+def module_independence(spark, d):
+    return ev.module_independence(table(spark, d, "lineitem"), MODULES)
+
+
+@query("module_correlations", "SELECT 'amount' AS a, 'amount' AS b, abs(corr(l_quantity, l_extendedprice)) AS mean_r FROM lineitem UNION ALL SELECT 'rate', 'rate', abs(corr(l_discount, l_tax)) FROM lineitem UNION ALL SELECT 'amount', 'rate', (abs(corr(l_quantity, l_discount)) + abs(corr(l_quantity, l_tax)) + abs(corr(l_extendedprice, l_discount)) + abs(corr(l_extendedprice, l_tax))) / 4 FROM lineitem", views=False)
+def module_correlations(spark, d):
+    return ev.module_correlations(table(spark, d, "lineitem"), MODULES)
+
+
 @query("anova_f", ", g AS (SELECT user_type AS k, count(*) AS n, avg(balance) AS m, var_pop(balance) * count(*) AS ss FROM users GROUP BY 1), t AS (SELECT avg(balance) AS m, count(*) AS n FROM users) SELECT (sum(g.n * (g.m - t.m) ^ 2) / (count(*) - 1)) / (sum(ss) / (any_value(t.n) - count(*))) AS f FROM g, t")
 def anova_f(spark, d):
     return ev.anova_f(social.users(spark, d), "user_type", "balance")
