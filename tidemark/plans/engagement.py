@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import counters, graph
+from tidemark.operators import cascade, counters, graph
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 
@@ -243,6 +243,25 @@ def virality(spark, d):
     return t.join(n, "root").where("n > 1").groupBy("root").agg((2.0 * F.sum(F.col("s") * (F.col("n") - F.col("s"))) / F.first(F.col("n") * (F.col("n") - 1))).alias("virality"))
 
 
+MOMENTS = """, nodes AS (SELECT r.root AS cascade, p.post_id AS node, p.step AS time, p.original_post_id AS parent FROM posts p JOIN roots r USING (post_id)), moments AS (SELECT DISTINCT cascade, time AS "at" FROM nodes),
+reach AS (
+    SELECT n.cascade, m."at", n.node, 0 AS depth, [n.node] AS way FROM nodes n JOIN moments m ON m.cascade = n.cascade AND m."at" >= n.time WHERE n.parent IS NULL
+    UNION ALL SELECT r.cascade, r."at", n.node, r.depth + 1, list_append(r.way, n.node) FROM reach r JOIN nodes n ON n.cascade = r.cascade AND n.parent = r.node AND n.time <= r."at"
+), levels AS (SELECT cascade, "at", depth, count(*) AS n FROM reach GROUP BY 1, 2, 3), shape AS (SELECT cascade, "at", CAST(sum(n) AS BIGINT) AS size, max(depth) AS depth, coalesce(max(n) FILTER (depth > 0), 0) AS breadth FROM levels GROUP BY 1, 2),
+below AS (SELECT cascade, "at", a, count(*) AS s FROM (SELECT cascade, "at", unnest(way) AS a FROM reach) GROUP BY 1, 2, 3), mean AS (SELECT cascade, "at", sum(s * (size - s)) * 2.0 / any_value(size * (size - 1)) AS virality FROM below JOIN shape USING (cascade, "at") WHERE size > 1 GROUP BY 1, 2)
+SELECT cascade, "at", size, depth, breadth, virality FROM shape LEFT JOIN mean USING (cascade, "at")"""
+
+
+@query("cascade_times", WITH_ROOTS + MOMENTS, views=False)
+def cascade_times(spark, d):
+    """Size, depth, breadth and virality of every repost cascade at each of its moments; a post whose original isn't there yet isn't reached."""
+    p = social.posts(spark, d).select("post_id", "original_post_id", F.col("step").alias("time"))
+    in_tree = p.join(roots(spark, d).select("post_id", F.col("root").alias("cascade")), "post_id")
+    nodes = in_tree.select("cascade", F.col("post_id").alias("node"), "time", F.col("original_post_id").isNull().alias("is_root"))
+    edges = in_tree.where("original_post_id is not null").select("cascade", F.col("original_post_id").alias("src"), F.col("post_id").alias("dst"))
+    return cascade.over_time(nodes, edges)
+
+
 @query("isolates", "SELECT user_id FROM users WHERE user_id NOT IN (SELECT follower_id FROM follows UNION SELECT followee_id FROM follows)")
 def isolates(spark, d):
     ends = social.follows(spark, d).select(F.explode(F.array("follower_id", "followee_id")).alias("user_id"))

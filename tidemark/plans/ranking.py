@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as geo
-from tidemark.operators import chain, simjoin, vectorindex
+from tidemark.operators import chain, sampling, simjoin, vectorindex
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 from tidemark.plans.shared import stored, table
@@ -235,6 +235,31 @@ def action_quota(spark, d):
     return c.withColumn("quota", F.greatest(F.lit(1), F.floor(20.0 * F.col("n") / F.sum("n").over(Window.partitionBy("user_id")))))
 
 
+def quota_sql(groups: str, key: str, group: str, target: int) -> str:
+    """Largest remainders with one at least for each group, as SQL over a table (key, group, n)."""
+    own = f"PARTITION BY {key}"
+    return f""", z AS (SELECT *, sum(n) OVER ({own}) AS total, count(*) FILTER (n > 0) OVER ({own}) AS filled, least({target}, sum(n) OVER ({own})) AS goal FROM {groups}),
+y AS (SELECT *, CASE WHEN goal >= filled AND goal * n // total = 0 AND n > 0 THEN 1 ELSE goal * n // total END AS low, CASE WHEN goal >= filled AND goal * n // total = 0 AND n > 0 THEN -1 ELSE goal * n % total END AS rest FROM z),
+x AS (SELECT *, goal - sum(low) OVER ({own}) AS open, greatest(low - 1, 0) AS spare FROM y),
+w AS (SELECT *, row_number() OVER ({own} ORDER BY rest DESC, {group}) AS place, coalesce(sum(spare) OVER ({own} ORDER BY spare DESC, {group} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x)
+SELECT {key}, {group}, n, CAST(CASE WHEN open > 0 THEN low + CASE WHEN place <= open THEN 1 ELSE 0 END ELSE low - greatest(least(spare, -open - before), 0) END AS BIGINT) AS quota FROM w"""
+
+
+@query("closed_quota", ", c AS (SELECT user_id, action, count(*) AS n FROM trace GROUP BY 1, 2)" + quota_sql("c", "user_id", "action", 20))
+def closed_quota(spark, d):
+    """Twenty actions an account, shared out over its kinds of action in proportion, one of each at least."""
+    c = social.trace(spark, d).groupBy("user_id", "action").agg(F.count("*").alias("n"))
+    return sampling.apportion(c, ["user_id"], "action", "n", 20)
+
+
+@query("quota_sample", ", c AS (SELECT user_id, action, count(*) AS n FROM trace GROUP BY 1, 2), q AS (" + quota_sql("c", "user_id", "action", 20).replace(", z AS", "WITH z AS", 1) + ") SELECT user_id, count(*) AS taken FROM (SELECT t.user_id, row_number() OVER (PARTITION BY t.user_id, t.action ORDER BY t.ts DESC, t.event_id) AS n, q.quota FROM trace t JOIN q USING (user_id, action)) WHERE n <= quota GROUP BY 1")
+def quota_sample(spark, d):
+    """How many actions of each account its quotas take, the latest of each kind."""
+    n = F.row_number().over(Window.partitionBy("user_id", "action").orderBy(F.desc("ts"), "event_id"))
+    t = social.trace(spark, d).withColumn("n", n).join(closed_quota(spark, d).select("user_id", "action", "quota"), ["user_id", "action"])
+    return t.where("n <= quota").groupBy("user_id").agg(F.count("*").alias("taken"))
+
+
 @query("weighted_sample", ", u AS (SELECT step, user_id, count(*) AS w FROM trace GROUP BY 1, 2), r AS (SELECT step, user_id, -ln((CAST('0x' || substr(sha256(step || '|' || user_id), 1, 13) AS BIGINT) + 1) / 4503599627370497.0) / greatest(w, 1e-6) AS race FROM u) SELECT step, user_id FROM r QUALIFY row_number() OVER (PARTITION BY step ORDER BY race, user_id) <= 8")
 def weighted_sample(spark, d):
     u = social.trace(spark, d).groupBy("step", "user_id").agg(F.count("*").alias("w"))
