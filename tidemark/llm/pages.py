@@ -1,9 +1,9 @@
 """Main text of web pages: roles from the markup, repeated runs from suffix arrays over hosts.
 
-A page becomes blocks of text, each inside or outside an article and with or without a boilerplate role. The blocks
-outside articles of one host are put one behind another as a token stream; a suffix array finds the long token
-runs that distinct pages share. A page with an article keeps the article's blocks without a boilerplate role; a page without
-one keeps the blocks that neither have such a role nor are covered by shared runs.
+A page becomes blocks of text, each inside or outside an article and with a boilerplate role, a hint of one, or none. The blocks
+outside articles of one host, and those inside with a hint, are put one behind another as a token stream; a suffix array finds the long token
+runs that distinct pages share. A page with an article keeps the blocks of its largest one that have no role, and of those with a hint the ones that shared
+runs don't cover; a page without article text keeps the blocks that neither have a role or hint nor are covered by shared runs.
 """
 
 from __future__ import annotations
@@ -35,35 +35,52 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 MARKS = regex.compile(
     r"(?i)(?<![a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|colophon|sidebar|aside|widgets?|ads?|adverts?|advertisement|advertisements|sponsor|sponsored|promo|promotion|banner|cookies?|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|trending|comments?|replies|reply|respond|disqus|pagination|pager|toolbar|skip)(?![a-z])"
 )
+#: Words that, beside a mark, name a part of a page and not a subject.
+PARTS = frozenset("area bar block body bottom box btn button buttons cell col column container content control controls count field footer form frame global group header heading holder icon icons inner input item items label left link links list main mobile outer page panel placeholder post posts primary region right row secondary section site slot small text title top unit view wrap wrapper zone".split())
 TAG = regex.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", regex.S)
 ATTRIBUTE = regex.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 
-def boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's name, role, class or id makes it a part that isn't article text."""
+def marked(value: str) -> int:
+    """2 if some name in a class or id value is a mark, alone or with words for parts of a page or other marks; 1 if a name has a mark among other words, as ``share-price``; else 0."""
+    found = 0
+    for name in value.split():
+        words = [w for w in regex.split(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])", name) if w]
+        marks = [w for w in words if MARKS.fullmatch(w)]
+        if marks:
+            found = max(found, 2 if all(w in marks or w.lower() in PARTS for w in words) else 1)
+    return found
+
+
+def boilerplate(tag: str, attributes: str, in_article: bool) -> int:
+    """2 if an element's name, role or names make it a part that isn't article text, 1 if its class or id only hints at that, else 0."""
     if tag in ASIDE and not (tag == "header" and in_article):
-        return True
+        return 2
     if not attributes:
-        return False
+        return 0
+    hint = 0
     for m in ATTRIBUTE.finditer(attributes):
         value = m[2] or m[3] or m[4] or ""
         name = m[1].lower()
-        if name == "role" and value.lower() in ROLES or name in ("class", "id") and tag not in ("article", "main", "body", "html") and MARKS.search(value.replace("_", " ")) or name in ("class", "id") and tag == "article" and regex.search(r"(?i)(?<![a-z])(comments?|reply|teaser|related|promo|ad)(?![a-z])", value):
-            return True
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and tag == "article" and regex.search(r"(?i)(?<![a-z])(comments?|reply|teaser|related|promo|ad)(?![a-z])", value):
+            return 2
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and regex.search(r"display\s*:\s*none", value):
-            return True
-    return bool(regex.search(r"(?<![\w-])hidden(?![\w-=])", ATTRIBUTE.sub("", attributes)))
+            return 2
+        if name in ("class", "id") and tag not in ("article", "main", "body", "html"):
+            hint = max(hint, marked(value))
+    return 2 if hint == 2 or regex.search(r"(?<![\w-])hidden(?![\w-=])", ATTRIBUTE.sub("", attributes)) else hint
 
 
-def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article, boilerplate role) of every non-empty block in page order. References are decoded
-    and white space is folded; a ``br`` is white space; inline markup adds none."""
+def blocks(html: str | None) -> list[tuple[str, int, int]]:
+    """(text, article, role) of every non-empty block in page order. Articles (outermost article and main elements) are numbered from 1, 0 is outside; role is that of ``boilerplate``, the
+    strongest around the block. References are decoded and white space is folded; a ``br`` is white space; inline markup adds none."""
     if not html:
         return []
-    out: list[tuple[str, bool, bool]] = []
-    open_tags: list[tuple[str, bool, bool]] = []
-    state = (False, False)
+    out: list[tuple[str, int, int]] = []
+    open_tags: list[tuple[str, int, int]] = []
+    state = (0, 0)
     held: list[str] = []
+    articles = 0
 
     def close():
         text = " ".join(entities.unescape("".join(held)).split())
@@ -96,13 +113,15 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
         elif tag not in VOID and not m[3].endswith("/"):
             if tag == "p" and open_tags and open_tags[-1][0] == "p":
                 open_tags.pop()
-            inside, role = (open_tags[-1][1:]) if open_tags else (False, False)
-            role = role or boilerplate(tag, m[3], inside)
-            inside = inside or tag in ("article", "main") or 'role="main"' in m[3] or "articleBody" in m[3]
+            inside, role = (open_tags[-1][1:]) if open_tags else (0, 0)
+            role = max(role, boilerplate(tag, m[3], bool(inside)))
+            if not inside and (tag in ("article", "main") or 'role="main"' in m[3] or "articleBody" in m[3]):
+                articles += 1
+                inside = articles
             if tag in INLINE and role and not (open_tags and open_tags[-1][2]):
                 close()
             open_tags.append((tag, inside, role))
-        now = open_tags[-1][1:] if open_tags else (False, False)
+        now = open_tags[-1][1:] if open_tags else (0, 0)
         if now != state:
             close()
             state = now
@@ -111,6 +130,15 @@ def blocks(html: str | None) -> list[tuple[str, bool, bool]]:
     return out
 
 
+def main_article(found: list[tuple[str, int, int]]) -> int:
+    """The article with the most text of its own; 0 if no article has any."""
+    size: dict[int, int] = {}
+    for text, article, role in found:
+        if article and role < 2:
+            size[article] = size.get(article, 0) + len(text)
+    return max(size, key=lambda a: (size[a], -a)) if size else 0
+
+
 def suffix_array(x: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of an integer array in order, by prefix doubling; ranks are of RUN tokens or more."""
     rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
@@ -200,17 +228,21 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                inner, outer, dropped = [], [], []
+                inner, own, outer, dropped = [], [], [], []
                 for h in part.column("html"):
-                    found = blocks(h.as_py())
-                    own = [t for t, inside, role in found if inside and not role]
-                    has = any(inside for _, inside, _ in found)
-                    inner.append(" ".join(own) if has else None)
-                    outer.append([{"n": k, "text": t, "role": role} for k, (t, inside, role) in enumerate(found) if not inside])
-                    dropped.append(len(found) - len(own))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "key", "host")), pa.array(inner, pa.string()), pa.array(outer, kind), pa.array(dropped, pa.int32())], ["page_id", "url", "key", "host", "inner", "outer", "dropped"])
-
-    parsed = stored(keyed.mapInArrow(parse, "page_id long, url string, key long, host string, inner string, outer array<struct<n int, text string, role boolean>>, dropped int"))
+                    found = list(enumerate(blocks(h.as_py())))
+                    article = main_article([b for _, b in found])
+                    mine = [(k, t, role) for k, (t, a, role) in found if article and a == article and role < 2]
+                    hinted = {k for k, _, role in mine if role}
+                    inner.append(" ".join(t for _, t, _ in mine) if article and not hinted else None)
+                    own.append([{"n": k, "text": t, "role": bool(role)} for k, t, role in mine] if hinted else None)
+                    # outside an article a hint is a role; inside, shared runs decide on it
+                    outer.append([{"n": k, "text": t, "role": role > 0 and k not in hinted} for k, (t, a, role) in found if not a or k in hinted])
+                    dropped.append(len(found) - len(mine))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("page_id", "url", "key", "host")), pa.array(inner, pa.string()), pa.array(own, kind), pa.array(outer, kind), pa.array(dropped, pa.int32())], ["page_id", "url", "key", "host", "inner", "own", "outer", "dropped"])
+
+    piece = "array<struct<n int, text string, role boolean>>"
+    parsed = stored(keyed.mapInArrow(parse, f"page_id long, url string, key long, host string, inner string, own {piece}, outer {piece}, dropped int"))
     once = parsed.where(F.size("outer") > 0).select("host", "key", "outer").dropDuplicates(["host", "key"])
     parts = once.groupBy("host").agg(F.ceil(F.count("*") / HOST_BLOCK).alias("parts"))
     salted = once.join(parts, "host").select(F.xxhash64("host").alias("h"), F.pmod("key", "parts").alias("salt"), "parts", "key", "outer")
@@ -243,5 +275,8 @@ def extract(pages: DataFrame) -> DataFrame:
     shared = ready.mapInArrow(repeated, "key long, n int").groupBy("key").agg(F.collect_set("n").alias("shared"))
     # few columns of a bounded number of pages are broadcast, so that the texts needn't move
     joined = parsed.join(bounded(stored(shared.withColumnRenamed("key", "shared_key")), BROADCAST_PAGES), F.col("key") == F.col("shared_key"), "left")
-    rest = F.filter("outer", lambda b: ~b["role"] & ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), b["n"]))
-    return joined.select("page_id", "url", F.coalesce("inner", F.array_join(F.transform(rest, lambda b: b["text"]), " "), F.lit("")).alias("text"), "dropped", F.size(F.coalesce("shared", F.array().cast("array<int>"))).alias("blocks_shared"))
+    marks = F.coalesce("shared", F.array().cast("array<int>"))
+    rest = F.filter("outer", lambda b: ~b["role"] & ~F.array_contains(marks, b["n"]))
+    own = F.filter("own", lambda b: ~b["role"] | ~F.array_contains(marks, b["n"]))
+    told = lambda kept: F.array_join(F.transform(kept, lambda b: b["text"]), " ")
+    return joined.select("page_id", "url", F.coalesce("inner", told(own), told(rest), F.lit("")).alias("text"), "dropped", F.size(marks).alias("blocks_shared"))
