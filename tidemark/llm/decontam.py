@@ -36,15 +36,19 @@ def plain(token: Column) -> Column:
     return F.ltrim(F.lower(token), F.lit(STARTS))
 
 
-def template(tokens: Column, first: bool = True) -> Column:
-    """Template tokens: <n> for numbers, <u> for units, <name> for capitalised words inside a sentence, else the word."""
+def template(tokens: Column) -> Column:
+    """Template tokens: <n> for numbers, <u> for units behind a number, <name> for capitalised words inside a sentence, else the word."""
+    number = lambda t: ((c := F.substring(t, F.lit(1), F.lit(1))).between("0", "9")) | ((c > "~") & c.rlike(r"^\p{N}"))
 
-    def one(t, i):
-        c, second, low = F.substring(t, F.lit(1), F.lit(1)), F.substring(t, F.lit(2), F.lit(1)), plain(t)
-        name = (c != F.lower(c)) & (F.length(t) > 1) & (second == F.lower(second)) & (i > 0)
-        return F.when(c.between("0", "9"), "<n>").when(name, "<name>").when(low.isin(UNITS), "<u>").otherwise(low)
+    def each(all_of):
+        def one(t, i):
+            c, second, low = F.substring(t, F.lit(1), F.lit(1)), F.substring(t, F.lit(2), F.lit(1)), plain(t)
+            name = (c != F.lower(c)) & (F.length(t) > 1) & (second == F.lower(second)) & (i > 0)
+            return F.when(number(t), "<n>").when(name, "<name>").when(low.isin(UNITS) & (i > 0) & number(F.get(all_of, i - 1)), "<u>").otherwise(low)
 
-    return F.transform(tokens, one)
+        return F.transform(all_of, one)
+
+    return F.transform(F.array(tokens), each)[0]  # bound once, or the tokens would be made again for each
 
 
 def windows(tokens: Column, size: Column | int) -> Column:
@@ -54,8 +58,9 @@ def windows(tokens: Column, size: Column | int) -> Column:
     return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(size, F.slice(tokens, i + 1, size)).alias("hash")))
 
 
-def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Items (item_id, item_raw, item_template, n, size, whole: starts of their windows) and their candidate windows (item_id, item_at, hash, size)."""
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Items (item_id, item_raw, item_template, n, size, whole: starts of their windows), their candidate windows (item_id, item_at, hash, size), and windows of
+    tokens as written for the items of SEED tokens or more that have no candidate window."""
     items = benchmark.where("text is not null").select("item_id", raw_tokens(F.col("text")).alias("item_raw")).withColumn("item_template", template(F.col("item_raw")))
     items = items.where(F.size("item_template") > 0).withColumn("n", F.size("item_template")).withColumn("size", F.least(F.lit(WINDOW), F.col("n")))
     literals = lambda at, size: F.size(F.filter(F.slice("item_template", at + 1, size), lambda t: ~t.startswith("<")))
@@ -63,7 +68,15 @@ def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     items = stored(items.withColumn("whole", whole))
     seeds = items.select("item_id", "item_template", F.least(F.lit(SEED), F.col("n")).alias("size"))
     spread = seeds.select("item_id", "size", "item_template", F.explode(windows(F.col("item_template"), F.col("size"))).alias("w")).where(literals(F.col("w.at"), F.col("size")) >= F.least(F.lit(LITERALS * SEED // WINDOW), F.col("size")))
-    return items, stored(spread.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), "size"))
+    spread = stored(spread.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), "size"))
+    # items of numbers and names alone have no template that tells them: copies of them are looked for by their tokens as they are
+    bare = items.where(F.col("n") >= SEED).join(spread.select("item_id").distinct(), "item_id", "left_anti").select("item_id", F.explode(windows(as_written(F.col("item_raw")), SEED)).alias("w"))
+    return items, spread, stored(bare.select("item_id", F.col("w.at").alias("item_at"), F.col("w.hash").alias("hash"), F.lit(SEED).alias("size")))
+
+
+def as_written(tokens: Column) -> Column:
+    """Tokens for windows that no placeholder may match."""
+    return F.transform(tokens, lambda t: F.concat(F.lit("="), plain(t)))
 
 
 def along_diagonals(hits: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
@@ -91,7 +104,8 @@ def along_diagonals(hits: DataFrame, rows: DataFrame, items: DataFrame) -> DataF
     compared = placed.select("doc", "item_id", "n", "size", "whole", "shift", (F.size("seeds") > 0).alias("hit"), F.explode(F.array(F.transform("beside", compare))).alias("c"))
     slots = F.array_distinct(F.transform(F.filter("c", lambda x: x["slot"]), lambda x: F.struct(x["of"], x["is"])))
     compared = compared.select("doc", "item_id", "n", "size", "whole", "shift", "hit", "c", F.explode(F.array(slots)).alias("slots"))
-    consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["of"])))
+    different = lambda side: F.size(F.array_distinct(F.transform("slots", lambda s: s[side])))
+    consistent = (F.size("slots") == different("of")) & (F.size("slots") == different("is"))
     compared = compared.withColumn("consistent", consistent)
     at = lambda test: F.transform(F.filter("c", test), lambda x: x["at"])
     kept = at(lambda x: (x["of"] == x["is"]) | (x["slot"] & F.col("consistent")))
@@ -110,16 +124,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, s
     Whole texts are read. One place is the diagonals whose shifts differ by up to half the item's length, so words may be
     replaced, put in and left out; at least WINDOW tokens (of a shorter item, all) must be kept, LITERALS of them as they
     are. An item shorter than a window is one window of its own length. Windows with fewer than LITERALS words of
-    WINDOW aren't counted, and candidate windows with fewer than half words not looked for. On a diagonal where one benchmark value stands
-    for two document values, placeholders count only where the value is unchanged. ``coverage`` is the larger of the two
+    WINDOW aren't counted, and candidate windows with fewer than half words not looked for; an item that has no other ones is found by windows of
+    its tokens as they are, so as a copy and not with other values, if it has SEED tokens. On a diagonal where one benchmark value stands
+    for two document values, or one of the document for two of the item, placeholders count only where the value is unchanged. ``coverage`` is the larger of the two
     shares; first and last token and changed_slots are those of the best place. Null texts and null item texts match
     nothing; repeated rows, and rows that share a doc_id, are one document; null doc_ids are reported as null; extra columns are left out.
     """
-    items, wanted = benchmark_windows(benchmark)
+    items, wanted, bare = benchmark_windows(benchmark)
     sizes = sorted(r["size"] for r in wanted.select("size").distinct().collect())  # SEED or fewer values
     rows = docs.where("text is not null").select(F.coalesce("doc_id", F.lit(NO_ID).cast("long")).alias("doc"), "text")
     tokens = rows.select("doc", F.explode(F.array(template(raw_tokens(F.col("text"))))).alias("t"))  # one row each: keeps the optimiser from copying the expression
     all_windows = F.concat(*[windows(F.col("t"), s) for s in sizes]) if sizes else F.array().cast("array<struct<at int, hash long>>")
+    if bare.limit(1).count():
+        tokens = rows.select("doc", F.explode(F.array(raw_tokens(F.col("text")))).alias("raw")).select("doc", F.explode(F.array(F.struct(template(F.col("raw")).alias("t"), as_written(F.col("raw")).alias("raw")))).alias("x")).select("doc", "x.t", "x.raw")
+        all_windows = F.concat(all_windows, windows(F.col("raw"), SEED))
+        wanted = wanted.unionByName(bare)
     hits = tokens.select("doc", F.explode(F.array(all_windows)).alias("all")).select("doc", F.explode("all").alias("w")).select("doc", F.col("w.at").alias("at"), F.col("w.hash").alias("hash")).join(bounded(wanted), "hash")
     hits = stored(hits.select("doc", "item_id", "at", "item_at", "size").distinct())
 
