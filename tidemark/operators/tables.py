@@ -60,3 +60,19 @@ def weighted_race(weight: Column, *key: str) -> Column:
     digest = F.substring(F.sha2(F.concat_ws("|", *key), 256), 1, 13)
     u = (F.conv(digest, 16, 10).cast("double") + 1) / F.lit(float(2**52 + 1))
     return -F.ln(u) / F.greatest(weight, F.lit(1e-6))
+
+
+def plan_summary(episodes: DataFrame) -> DataFrame:
+    """One row on a plan (domain, purpose, scenario_id, num_agents): episodes, real and synthetic ones, agents of the synthetic, the main scenarios and the scale sizes, in order.
+
+    The sets have an entry a scenario or size, however many episodes there are; an empty plan has zeros and empty sets."""
+    synthetic, purpose = F.col("domain") == "synthetic", F.col("purpose")
+    kept = lambda name, column: F.sort_array(F.collect_set(F.when(synthetic & (purpose == name), F.col(column))))
+    agents = F.coalesce(F.sum(F.when(synthetic, F.coalesce(F.col("num_agents"), F.lit(0)))), F.lit(0)).cast("long")
+    return episodes.agg(F.count("*").alias("episodes"), F.count_if(F.col("domain") == "real").alias("real_episodes"), F.count_if(synthetic).alias("synthetic_episodes"), agents.alias("synthetic_agents"), kept("simulation_main", "scenario_id").alias("main_scenarios"), kept("simulation_scale", "num_agents").alias("scale_sizes"))
+
+
+def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """name, value (as text), n: how often each value of each column occurs, nulls included, in one pass over the table."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(each.alias("x")).groupBy("x.name", "x.value").agg(F.count("*").alias("n"))

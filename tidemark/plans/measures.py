@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.operators import evaluation as ev
+from tidemark.operators import graph
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 from tidemark.plans.shared import table
@@ -479,3 +480,56 @@ def cutoff_check(spark, d):
 @query("circular_hours", "SELECT event_id, least(abs(hour(ts) - 21), 24 - abs(hour(ts) - 21)) AS apart FROM trace")
 def circular_hours(spark, d):
     return social.trace(spark, d).select("event_id", ids.circular_hours(F.hour("ts"), F.lit(21)).alias("apart"))
+
+
+TRACED = ["view", "click", "signup", "purchase", "error"]
+
+
+@query(
+    "behavior_full",
+    ", p AS (SELECT user_id, count(*) AS n FROM posts GROUP BY 1), lr AS (SELECT p.user_id, count(*) AS n FROM reactions r JOIN posts p USING (post_id) WHERE r.action = 'like' GROUP BY 1), "
+    "rg AS (SELECT user_id, count(*) FILTER (action = 'like') AS given, count(*) FILTER (action = 'comment') AS comments FROM reactions GROUP BY 1), "
+    "t AS (SELECT user_id, " + ", ".join(f"count(*) FILTER (action = '{a}') AS trace_{a}" for a in TRACED) + " FROM trace GROUP BY 1), o AS (SELECT follower_id AS user_id, count(*) AS n FROM follows GROUP BY 1), i AS (SELECT followee_id AS user_id, count(*) AS n FROM follows GROUP BY 1), "
+    "sym AS (SELECT a, b, count(*) AS m FROM (SELECT follower_id AS a, followee_id AS b FROM follows UNION ALL SELECT followee_id, follower_id FROM follows) GROUP BY 1, 2), k AS (SELECT a AS user_id, sum(m) AS d, count(*) FILTER (m = 2) AS r FROM sym GROUP BY 1), "
+    "tri AS (SELECT x.a AS user_id, sum(x.m * y.m * z.m) AS n FROM sym x JOIN sym y ON y.a = x.b JOIN sym z ON z.a = y.b AND z.b = x.a GROUP BY 1) "
+    "SELECT u.user_id, u.user_type, coalesce(p.n, 0) AS post_count, coalesce(rg.comments, 0) AS comment_count, coalesce(rg.given, 0) AS given_likes, coalesce(lr.n, 0) AS received_likes, "
+    + ", ".join(f"coalesce(trace_{a}, 0) AS trace_{a}" for a in TRACED)
+    + ", coalesce(o.n, 0) AS out_degree, coalesce(i.n, 0) AS in_degree, CASE WHEN d * (d - 1) - 2 * r > 0 THEN coalesce(tri.n, 0) / (2.0 * (d * (d - 1) - 2 * r)) ELSE 0 END AS clustering, coalesce(o.n, 0) / greatest(coalesce(i.n, 0), 1) AS out_in_ratio "
+    "FROM users u LEFT JOIN p USING (user_id) LEFT JOIN lr USING (user_id) LEFT JOIN rg USING (user_id) LEFT JOIN t USING (user_id) LEFT JOIN o USING (user_id) LEFT JOIN i USING (user_id) LEFT JOIN k USING (user_id) LEFT JOIN tri USING (user_id)",
+)
+def behavior_full(spark, d):
+    """Activity, likes given and received, five trace counters, degrees, directed clustering and ratio of every account."""
+    posts, reactions, follows = social.posts(spark, d), social.reactions(spark, d), social.follows(spark, d)
+    action = F.col("action")
+    parts = [
+        posts.groupBy("user_id").agg(F.count("*").alias("post_count")),
+        reactions.groupBy("user_id").agg(F.count_if(action == "comment").alias("comment_count"), F.count_if(action == "like").alias("given_likes")),
+        reactions.where(action == "like").groupBy("post_id").agg(F.count("*").alias("n")).join(posts.select("post_id", "user_id"), "post_id").groupBy("user_id").agg(F.sum("n").alias("received_likes")),
+        social.trace(spark, d).groupBy("user_id").agg(*[F.count_if(action == a).alias(f"trace_{a}") for a in TRACED]),
+        *[follows.groupBy(F.col(c).alias("user_id")).agg(F.count("*").alias(n)) for c, n in (("follower_id", "out_degree"), ("followee_id", "in_degree"))],
+        graph.directed_clustering(follows.select(F.col("follower_id").alias("src"), F.col("followee_id").alias("dst"))).select(F.col("node").alias("user_id"), F.col("coefficient").alias("clustering")),
+    ]
+    u = social.users(spark, d).select("user_id", "user_type")
+    for x in parts:
+        u = u.join(x, "user_id", "left")
+    return u.fillna(0).withColumn("out_in_ratio", F.col("out_degree") / F.greatest(F.col("in_degree"), F.lit(1)))
+
+
+EPISODES = "(SELECT p_partkey AS episode_id, CASE WHEN p_partkey % 3 = 0 THEN 'real' ELSE 'synthetic' END AS domain, CASE p_partkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'simulation_main' ELSE 'simulation_scale' END AS purpose, p_brand AS scenario_id, CASE WHEN p_size % 7 > 0 THEN p_size * 10 END AS num_agents FROM part)"
+
+
+@query("plan_summary", "SELECT count(*) AS episodes, count(*) FILTER (domain = 'real') AS real_episodes, count(*) FILTER (domain = 'synthetic') AS synthetic_episodes, CAST(sum(CASE WHEN domain = 'synthetic' THEN coalesce(num_agents, 0) ELSE 0 END) AS BIGINT) AS synthetic_agents, "
+       f"list_sort(list_distinct(list(scenario_id) FILTER (purpose = 'simulation_main'))) AS main_scenarios, list_sort(list_distinct(list(num_agents) FILTER (purpose = 'simulation_scale' AND num_agents IS NOT NULL))) AS scale_sizes FROM {EPISODES}", views=False)
+def plan_summary(spark, d):
+    """A plan's episodes by domain, agents of its synthetic ones, and the scenarios and sizes that it covers."""
+    n = F.col("p_partkey") % 3
+    episodes = table(spark, d, "part").select(
+        F.when(n == 0, "real").otherwise("synthetic").alias("domain"), F.when(n == 0, "baseline").when(n == 1, "simulation_main").otherwise("simulation_scale").alias("purpose"),
+        F.col("p_brand").alias("scenario_id"), F.when(F.col("p_size") % 7 > 0, F.col("p_size") * 10).alias("num_agents"),
+    )
+    return ops.plan_summary(episodes)
+
+
+@query("value_counts", "SELECT 'l_returnflag' AS name, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 2", views=False)
+def value_counts(spark, d):
+    return ops.value_counts(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])

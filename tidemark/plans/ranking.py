@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import geometry as geo
-from tidemark.operators import chain, sampling, simjoin, vectorindex
+from tidemark.operators import chain, feeds, sampling, simjoin, vectorindex
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 from tidemark.plans.shared import stored, table
@@ -461,3 +461,70 @@ def lorentz(spark, d):
     x = geo.exp0(geo.scaled(F.slice("embedding", 1, 8), F.lit(0.05)))
     origin = F.array(F.lit(1.0), *[F.lit(0.0)] * 8)
     return table(spark, d, "embeddings").select("vec_id", F.element_at(x, 1).alias("time"), geo.lorentz_distance(x, origin).alias("from_origin"))
+
+
+#: Accounts are the vectors whose id 20 divides; posts are all vectors, of the account with the same number modulo 150.
+TASTE = NORMED + """, r AS (SELECT DISTINCT user_id, post_id, action, event_id, ts FROM reactions), q AS (SELECT vec_id AS id, u FROM e WHERE vec_id % 20 = 0), p AS (SELECT vec_id AS id, u, vec_id % 150 AS owner, ln((271.8 - vec_id % 200) / 100) AS weight FROM e)
+, kept AS (SELECT user_id, post_id FROM r WHERE action = 'like' AND post_id IN (SELECT id FROM p) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5)"""
+DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: x[1] * x[2]))"
+
+
+def taste(spark, d):
+    """Queries with the vectors of what they liked and disliked, and items (see ``feeds.mixed``); the five latest likes count."""
+    e = table(spark, d, "embeddings").select("vec_id", feeds.unit("embedding").alias("u"))
+    items = e.select(F.col("vec_id").alias("id"), "u", F.ln((271.8 - F.col("vec_id") % 200) / 100).alias("weight"), (F.col("vec_id") % 150).alias("owner"))
+    met = social.reactions(spark, d).join(e.withColumnRenamed("vec_id", "post_id"), "post_id")
+    liked = ops.cap_per_key(met.where("action = 'like'"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 5)
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "u")
+    for rows, out in ((liked, "liked"), (met.where("action = 'dislike'"), "disliked")):
+        queries = queries.join(feeds.mean_unit(rows, "user_id", "u", out).withColumnRenamed("user_id", "id"), "id", "left")
+    return queries, items
+
+
+@query("rec_recency_likes", TASTE + f""", likes AS (SELECT q.id, p.id AS post, avg({DOT.format(a='l.u', b='p.u')}) AS s FROM q JOIN kept k ON k.user_id = q.id JOIN p l ON l.id = k.post_id CROSS JOIN p GROUP BY 1, 2)
+SELECT q.id AS user_id, p.id AS post_id FROM q JOIN p ON q.id <> p.owner LEFT JOIN likes l ON l.id = q.id AND l.post = p.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round({DOT.format(a='q.u', b='p.u')} * (p.weight + coalesce(l.s, {DOT.format(a='q.u', b='p.u')})), 9) DESC, p.id) <= 10""")
+def rec_recency_likes(spark, d):
+    """Ten posts an account by similarity times recency plus similarity to its latest likes; its own vector stands in for likes that it doesn't have."""
+    queries, items = taste(spark, d)
+    ready = queries.select("id", "u", F.coalesce("liked", "u").alias("liked"), "disliked", F.lit(0.0).alias("spread"))
+    return feeds.best(ready, items, feeds.recency_score, 10).select(F.col("query").alias("user_id"), F.col("item").alias("post_id"))
+
+
+@query("rec_trace_similar", TASTE + f""", base AS (SELECT q.id, p.id AS post, p.u, {DOT.format(a='q.u', b='p.u')} AS s FROM q JOIN p ON q.id <> p.owner), spread AS (SELECT id, max(s) - min(s) AS w FROM base GROUP BY 1),
+hates AS (SELECT user_id, post_id FROM r WHERE action = 'dislike' AND post_id IN (SELECT id FROM p)),
+likes AS (SELECT b.id, b.post, avg({DOT.format(a='l.u', b='b.u')}) AS s FROM base b JOIN kept k ON k.user_id = b.id JOIN p l ON l.id = k.post_id GROUP BY 1, 2),
+dislikes AS (SELECT b.id, b.post, avg({DOT.format(a='l.u', b='b.u')}) AS s FROM base b JOIN hates k ON k.user_id = b.id JOIN p l ON l.id = k.post_id GROUP BY 1, 2)
+SELECT b.id AS user_id, b.post AS post_id FROM base b JOIN spread USING (id) LEFT JOIN likes l ON l.id = b.id AND l.post = b.post LEFT JOIN dislikes h ON h.id = b.id AND h.post = b.post QUALIFY row_number() OVER (PARTITION BY b.id ORDER BY round(b.s + (coalesce(l.s, 0) - coalesce(h.s, 0)) * w / 2, 9) DESC, b.post) <= 20""")
+def rec_trace_similar(spark, d):
+    """Twenty posts an account by similarity, moved by what it liked and disliked in proportion to the spread of its similarities."""
+    queries, items = taste(spark, d)
+    return feeds.best(stored(feeds.with_spread(queries, items)), items, feeds.trace_score, 20).select(F.col("query").alias("user_id"), F.col("item").alias("post_id"))
+
+
+@query("rec_swapped", "SELECT vec_id AS user_id, CAST(20 AS BIGINT) AS posts, CAST(20 AS BIGINT) AS different, CAST(2 AS BIGINT) AS swapped FROM embeddings WHERE vec_id % 20 = 0", views=False)
+def rec_swapped(spark, d):
+    """The recommendations above with a tenth replaced by random posts: how many an account has, how many different, how many swapped."""
+    recs = stored(rec_trace_similar(spark, d).select(F.col("user_id").alias("query"), F.col("post_id").alias("item")))
+    found = feeds.swapped(recs, table(spark, d, "embeddings").select(F.col("vec_id").alias("item")))
+    return found.groupBy(F.col("query").alias("user_id")).agg(F.count("*").alias("posts"), F.countDistinct("item").alias("different"), F.count_if("swapped").alias("swapped"))
+
+
+@query("feed_sampled", NORMED + f""", rec AS (SELECT q.vec_id AS user_id, p.vec_id AS post_id FROM e q JOIN e p ON q.vec_id % 150 <> p.vec_id % 150 WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.u', b='p.u')}, 9) DESC, p.vec_id) <= 10),
+one AS (SELECT user_id, post_id FROM rec QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY sha256('7|' || user_id || '|' || post_id), post_id) <= 5),
+net AS (SELECT DISTINCT f.follower_id AS user_id, p.post_id, p.num_likes FROM follows f JOIN posts p ON p.user_id = f.followee_id), two AS (SELECT user_id, post_id FROM net QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY num_likes DESC, sha256('7|' || user_id || '|' || post_id), post_id) <= 3)
+SELECT user_id, post_id FROM one UNION SELECT user_id, post_id FROM two""")
+def feed_sampled(spark, d):
+    """Five of an account's ten recommendations at random, and the three most liked posts of those it follows, equal ones at random."""
+    p = social.posts(spark, d)
+    net = social.follows(spark, d).join(p, F.col("followee_id") == p["user_id"]).select(F.col("follower_id").alias("user_id"), "post_id", "num_likes")
+    return feeds.refreshed(rec_personalized(spark, d), net, 5, 3)
+
+
+@query("post_threads", """, c AS (SELECT post_id, event_id AS comment_id, user_id, event_id % 13 = 0 AS warning FROM reactions WHERE action = 'comment'), f AS (SELECT *, CASE WHEN warning AND row_number() OVER (PARTITION BY post_id, warning ORDER BY comment_id) = 1 THEN 0 ELSE 1 END AS first, sha256('7|' || post_id || '|' || comment_id) AS draw FROM c),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY first, draw, comment_id) <= 5), l AS (SELECT post_id, string_agg(comment_id || ' by ' || user_id, ', ' ORDER BY first, draw) AS thread FROM k GROUP BY 1)
+SELECT post_id, coalesce(thread, '') AS thread FROM posts LEFT JOIN l USING (post_id)""")
+def post_threads(spark, d):
+    """Each post with its warning and a sample of its other comments, five at most."""
+    c = social.reactions(spark, d).where("action = 'comment'").select("post_id", F.col("event_id").alias("comment_id"), "user_id", (F.col("event_id") % 13 == 0).alias("is_warning"))
+    shown = feeds.threads(social.posts(spark, d).select("post_id"), c)
+    return shown.select("post_id", F.array_join(F.transform("comments", lambda x: F.concat_ws(" by ", x["comment_id"], x["user_id"])), ", ").alias("thread"))
