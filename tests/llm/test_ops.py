@@ -313,9 +313,9 @@ def test_licenses(spark):
 
 
 def test_licenses_equal_alignment_everywhere():
-    """Paragraphs with an edit in each fifteen words are found where an alignment along every diagonal finds them, and nowhere else."""
+    """Paragraphs with an edit in each fifteen words, though not of a word that tells licenses apart, are found where an alignment along every diagonal finds them, and nowhere else."""
     rnd = random.Random(5)
-    index = licenses.Index(sorted(licenses.TEMPLATES.items()))
+    index = licenses.Index(licenses.alternatives(licenses.TEMPLATES))
     filler = "lorem ipsum of the software in this work any use without dolor".split()
     for _ in range(40):
         p = rnd.randrange(len(index.words))
@@ -324,7 +324,7 @@ def test_licenses_equal_alignment_everywhere():
         if not part:
             continue
         words = licenses.WORD.findall(part[0].lower())
-        for at in range(7, len(words), 15):
+        for at in [at for at in range(7, len(words), 15) if not licenses.telling([words[at]])]:
             words[at] = rnd.choice(["changed", "changed twice", ""])
         text = " ".join(rnd.choices(filler, k=30) + words + rnd.choices(filler, k=30))
         h = index.hashes(licenses.WORD.findall(text))

@@ -83,9 +83,47 @@ TEMPLATES |= {key: GNU_NOTICE.format(work=work, name=name, version=version) for
 *_conditions, _disclaimer = TEMPLATES["BSD-2-Clause"].split("\n")
 TEMPLATES["BSD-3-Clause"] = "\n".join([*_conditions, BSD_ENDORSEMENT, _disclaimer])
 
+#: Short names of licenses, several for some; a name of two words alone is too common to count.
+SHORT = {
+    "MIT-short": "the MIT License\nMIT License Copyright\nlicensed under MIT",
+    "Apache-2.0-short": "Apache License 2.0\nApache License Version 2.0\nApache 2.0 License",
+    "BSD-short": "the BSD License\nBSD License Copyright",
+    "BSD-2-Clause-short": "BSD 2-Clause License",
+    "BSD-3-Clause-short": "BSD 3-Clause License",
+    "GPL-2.0-short": "GNU GPL v2\nGNU General Public License version 2\nGNU General Public License v2.0",
+    "GPL-3.0-short": "GNU GPL v3\nGNU General Public License version 3\nGNU General Public License v3.0",
+    "LGPL-2.1-short": "GNU LGPL v2.1\nGNU Lesser General Public License version 2.1",
+    "LGPL-3.0-short": "GNU LGPL v3\nGNU Lesser General Public License version 3",
+    "AGPL-3.0-short": "GNU AGPL v3\nGNU Affero General Public License version 3",
+    "MPL-2.0-short": "Mozilla Public License 2.0\nMozilla Public License version 2.0",
+    "EPL-2.0-short": "Eclipse Public License 2.0\nEclipse Public License v2.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0-name": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0-name": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+}
+#: Identifiers that follow ``SPDX-License-Identifier:``.
+SPDX = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 EPL-2.0 ISC Zlib BSL-1.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0".split()
+TEMPLATES |= SHORT | {f"{name}-spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}
+#: Words that tell licenses and their clauses apart; like numbers, a match must have just those of its template.
+TELLING = frozenset(
+    "mit apache bsd gnu gpl gplv2 gplv3 lgpl agpl lesser library affero mozilla mpl eclipse epl isc zlib unlicense bsl boost cc cc0 by nc nd sa commons attribution noncommercial noderivatives noderivs sharealike clause only later".split()
+)
+
 WORD = regex.compile(r"[^\W_]+")
 
 
+#: Words in front of a short name that make it another one.
+MODIFIED = [["lesser"], ["affero"], ["library"], ["non"], ["not"]]
+
+
+def telling(words: list[str]) -> list[str]:
+    """The words that decide which license and version it is, in order."""
+    return [w for w in words if w in TELLING or any(c.isdigit() for c in w)]
+
+
 class Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_WORDS:
@@ -119,7 +157,7 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]]):
         self.known = Hashes()
         self.names, self.total = [name for name, _ in templates], [0] * len(templates)
-        self.of, self.words = [], []  # template and words of each paragraph
+        self.of, self.words, self.telling = [], [], []  # template, words, and words that must be exact, of each paragraph
         entries: dict[int, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(templates):
             parts: list[list[str]] = []
@@ -138,8 +176,12 @@ class Index:
                 self.total[k] += len(h)
                 self.of.append(k)
                 self.words.append(h)
+                self.telling.append(telling(words))
         self.entries = entries
         self.keys = np.array(sorted(entries), np.uint64)
+        # a run of fewer words may lie between two kept grams of a text, so all its grams are looked up for these
+        tiny = {p for p, h in enumerate(self.words) if len(h) < GRAM + WINDOW - 1}
+        self.tiny = np.array(sorted(v for v, places in entries.items() if any(p in tiny for p, _ in places)), np.uint64)
 
     def hashes(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
@@ -147,9 +189,13 @@ class Index:
     def candidates(self, h: np.ndarray) -> list[tuple[int, int]]:
         """(paragraph, diagonal) pairs that fingerprints meet; a diagonal is text place less paragraph place. Diagonals of one
         strip of the band are aligned once, along the one met most; long paragraphs must be met once in HIT_EVERY words."""
-        at, g = winnowed(grams(h))
-        if not len(self.keys) or not len(g):
+        every = grams(h)
+        at, _ = winnowed(every)
+        if not len(self.keys) or not len(at):
             return []
+        if len(self.tiny):
+            at = np.union1d(at, np.flatnonzero(self.tiny[np.minimum(np.searchsorted(self.tiny, every), len(self.tiny) - 1)] == every))
+        g = every[at]
         place = np.searchsorted(self.keys, g)
         hit = np.flatnonzero(self.keys[np.minimum(place, len(self.keys) - 1)] == g)
         met = Counter((p, int(at[i]) - k) for i in hit for p, k in self.entries[int(g[i])])
@@ -198,22 +244,27 @@ def scan_text(text: str | None, index: Index) -> list[tuple[str, float, int, int
     A paragraph is found where COVERAGE of its words align; of overlapping places of one paragraph the best stays, and copies
     are all reported. Found paragraphs of a template that follow one another in its order are one match, whose coverage is
     their matched words over all words of the template. A match goes if better ones (more matched words, then more coverage) hold
-    over half of its place.
+    over half of its place. Numbers, names of licenses and of their clauses must be those of the paragraph, in its order, if it has any or is
+    short; in a short one words put in count like words left out.
     """
     if not text:
         return []
-    h = index.hashes(WORD.findall(text.lower()))
+    words = WORD.findall(text.lower())
+    h = index.hashes(words)
     found = index.candidates(h)
     if not found:
         return []
     spans = [m.span() for m in WORD.finditer(text)]
     if len(spans) != len(h):  # lower-casing changed the words' number
-        h = index.hashes([text[a:b].lower() for a, b in spans])
+        words = [text[a:b].lower() for a, b in spans]
+        h = index.hashes(words)
         found = index.candidates(h)
     out = []
     for p, d in found:
         n, a, b = align(h, index.words[p], d)
-        if n and n / len(index.words[p]) >= COVERAGE:
+        size, exact = len(index.words[p]), index.telling[p]
+        short = size < EVERY
+        if n and n / (size + (b + 1 - a - n if short else 0)) >= COVERAGE and (not (short or exact) or telling(words[a : b + 1]) == exact) and not (short and words[max(a - 1, 0) : a] in MODIFIED):
             out.append((-n / len(index.words[p]), a, b + 1, p, n))
     taken: dict[int, list[tuple[int, int]]] = {}
     kept = []
@@ -237,6 +288,11 @@ def scan_text(text: str | None, index: Index) -> list[tuple[str, float, int, int
     return sorted(said, key=lambda m: (m[2], m[3], m[0]))
 
 
+def alternatives(templates: dict[str, str]) -> list[tuple[str, str]]:
+    """(name, text) of all templates; the lines of a short name are templates of their own."""
+    return sorted((name, one) for name, text in templates.items() for one in (text.split("\n") if name in SHORT and text else [text]))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, coverage, start, stop, words of every template match in every whole text.
 
@@ -244,7 +300,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     columns are left out. Templates of fewer than GRAM words can't be found; all templates' bytes must be under
     TEMPLATES_BOUND, since all go to every worker. One pass, no shuffle.
     """
-    listed = sorted((TEMPLATES if templates is None else templates).items())
+    listed = alternatives(TEMPLATES if templates is None else templates)
     if sum(len((t or "").encode()) for _, t in listed) > TEMPLATES_BOUND:
         raise ValueError("the templates exceed TEMPLATES_BOUND")
     shared = docs.sparkSession.sparkContext.broadcast(listed)
