@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.manifest import ranked
 from tidemark.plans.shared import bounded, stored
 
 #: Consecutive ids that one window group holds when documents are put in order.
@@ -14,11 +15,14 @@ HEADS_BROADCAST = 500_000
 
 
 def canonical(text: Column) -> Column:
-    """NFC, lower case, each run of white space one space, trimmed; null counts as empty."""
-    composed = F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    # plain ASCII is its own normal form
-    nfc = F.when(F.octet_length(text) == F.length(text), text).otherwise(composed)
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(nfc), r"(?U)\s+", " ")), F.lit(""))
+    """NFC, full case folding, each run of white space one space, trimmed; null counts as empty. Folding makes STRASSE and straße one text, which
+    lower case would not."""
+    plain = F.octet_length(text) == F.length(text)
+    composed = lambda t: F.call_function("java_method", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(False))
+    folded = F.call_function("java_method", F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(text), F.lit(True))
+    # plain ASCII is its own normal form, and folds to lower case; a folded text may need composing again
+    same = F.when(plain, F.lower(text)).otherwise(composed(folded))
+    return F.coalesce(F.trim(F.regexp_replace(same, r"(?U)\s+", " ")), F.lit(""))
 
 
 def digest(canon: Column) -> Column:
@@ -80,17 +84,16 @@ def with_next_text(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: the text of the next document by descending doc_id; after the last comes the first.
 
     Rows lie in runs of RUN ids, so no task sorts more than a run. The head of each run is also dealt to the run
-    above it (the topmost head to the lowest run) as a guest behind that run's own rows. Null ids come last;
-    equal ids follow one another by text. One row alone is its own next.
+    above it (the topmost head to the lowest run) as a guest behind that run's own rows. Runs are put in order by range partitions, so ids may be as sparse as
+    they like. Null ids come last, in one run; equal ids follow one another by text. One row alone is its own next.
     """
     runs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.floor(F.col("doc_id") / RUN), F.lit(-(1 << 60))).alias("run"))
-    heads = runs.groupBy("run").agg(F.max("doc_id").alias("doc_id"))
-    block = F.floor(F.col("run") / RUN)
-    lows = heads.groupBy(block.alias("block")).agg(F.min("run").alias("low"))
-    lows = lows.select("block", F.lead("low").over(Window.orderBy("block")).alias("above"), F.min("low").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"))
-    up = heads.withColumn("block", block).withColumn("near", F.lead("run").over(Window.partitionBy("block").orderBy("run"))).join(bounded(lows), "block")
-    up = up.select(F.col("run").alias("from_run"), F.col("doc_id").alias("head"), F.coalesce("near", "above", "lowest").alias("host"))
-    if heads.count() <= HEADS_BROADCAST:
+    heads = ranked(stored(runs.groupBy("run").agg(F.max("doc_id").alias("doc_id"))), "run")
+    heads = stored(heads)
+    n = heads.count()
+    above = heads.select(F.col("run").alias("host"), F.pmod(F.col("rank") - 1, F.lit(max(n, 1))).alias("rank"))
+    up = heads.join(above, "rank").select(F.col("run").alias("from_run"), F.col("doc_id").alias("head"), "host")
+    if n <= HEADS_BROADCAST:
         up = F.broadcast(up)
     hosts = runs.join(up, (F.col("run") == F.col("from_run")) & F.col("doc_id").eqNullSafe(F.col("head")), "left").select("doc_id", "text", "run", "host")
     dealt = hosts.select("doc_id", "text", F.explode(F.when(F.col("host").isNull(), F.array(F.struct(F.col("run"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("run"), F.lit(False).alias("guest")), F.struct(F.col("host").alias("run"), F.lit(True).alias("guest"))))).alias("at"))
