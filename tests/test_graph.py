@@ -4,6 +4,7 @@ import random
 from collections import defaultdict, deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import graph
 from tidemark.operators.components import connected_components
@@ -116,3 +117,17 @@ def test_roots_with_cycle_and_missing_parent(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 99), (5, 6), (6, 5)], "id long, parent long")
     got = {r.id: (r.root, r.depth) for r in graph.resolve_roots(nodes, rounds=6).collect()}
     assert got == {1: (1, 0), 2: (1, 1), 3: (1, 2), 4: (4, 0), 5: (None, None), 6: (None, None)}
+
+
+def test_betweenness_estimate_is_near_the_whole(spark):
+    """From a quarter of the nodes, scaled, the ranking and the sum of scores are near those from all."""
+    rnd = random.Random(12)
+    edges = [(int(120 * rnd.random() ** 2), rnd.randrange(120)) for _ in range(700)]
+    e = spark.createDataFrame(edges, "src long, dst long").distinct()
+    nodes = e.selectExpr("explode(array(src, dst)) as node").distinct()
+    whole = {r.node: r.score for r in graph.betweenness(e).collect()}
+    some = nodes.orderBy(F.xxhash64("node"), "node").limit(30)
+    part = {r.node: r.score * nodes.count() / 30 for r in graph.betweenness(e, some).collect()}
+    top = lambda s: set(sorted(s, key=lambda k: (-s[k], k))[:12])
+    assert len(top(whole) & top(part)) >= 8
+    assert abs(sum(part.values()) / sum(whole.values()) - 1) < 0.25

@@ -1,5 +1,6 @@
 """Joins, similarity, sources and streams on hand-made rows."""
 
+import hashlib
 import json
 
 import numpy as np
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import simjoin
 from tidemark.operators import tables as ops
+from tidemark.plans import shared
 from tidemark.sources import social
 from tidemark.streaming import jobs
 
@@ -120,3 +122,30 @@ def test_contribution_sinks(spark, tmp_path):
     assert packets == {1: [(1, "a", -2.0), (2, "b", 1.0)], 2: [(1, "a", 0.5)], None: [(1, "é,\n", 0.0)]}
     back = spark.read.options(header=True, multiLine=True, escape="\"").schema(df.schema).csv(f"{tmp_path}/out/long")
     assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+
+
+def test_file_digests(spark, tmp_path):
+    names = {"b.txt": b"two", "a.txt": b"one", "c.bin": bytes(range(256))}
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        for name in sorted(names, reverse=folder == "y"):
+            (tmp_path / folder / name).write_bytes(names[name])
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in social.file_digests(spark, str(tmp_path / "x")).collect()}
+    sha = {n: hashlib.sha256(c).hexdigest() for n, c in names.items()}
+    assert got == {n: (len(c), sha[n]) for n, c in names.items()}
+    want = hashlib.sha256("\n".join(f"{n} {sha[n]}" for n in sorted(names)).encode()).hexdigest()
+    assert social.multi_digest(spark, str(tmp_path / "x")) == social.multi_digest(spark, str(tmp_path / "y")) == want
+    (tmp_path / "y" / "a.txt").write_bytes(b"changed")
+    assert social.multi_digest(spark, str(tmp_path / "y")) != want
+
+
+def test_suppression_stays_in_groups(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (5, 6)], "a long, b long")
+    groups = spark.createDataFrame([(1, "x"), (2, "x"), (3, "y"), (4, "y"), (5, None), (6, None)], "id long, label string")
+    inside = simjoin.within_groups(pairs, groups, "label")
+    assert sorted(map(tuple, inside.collect())) == [(1, 2), (3, 4)]
+    assert sorted(r.id for r in simjoin.greedy_keep(groups.select("id"), inside).collect()) == [1, 3, 5, 6]
+
+
+def test_scratch_is_refused_on_a_cluster():
+    assert shared.one_machine("local[8]") and shared.one_machine("local") and not shared.one_machine("local-cluster[2,1,1024]") and not shared.one_machine("spark://host:7077") and not shared.one_machine("yarn")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.plans.shared import stored
+from tidemark.plans.shared import released, stored
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -67,14 +69,16 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance:
     links = stored(out.join(n_out, "src").select("src", "dst", (1 / F.col("k")).alias("share")))
     nodes = stored(out.select(F.explode(F.array("src", "dst")).alias("node")).distinct().join(n_out.select(F.col("src").alias("node"), F.lit(False).alias("sends")), "node", "left").select("node", F.coalesce("sends", F.lit(True)).alias("dangling")))
     n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
+    rank, last = nodes.withColumn("rank", F.lit(1.0 / max(n, 1))), None
     for _ in range(rounds if n else 0):
         lost = rank.agg(F.sum(F.when(F.col("dangling"), F.col("rank")))).first()[0] or 0.0
         got = links.join(rank.select(F.col("node").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         new = rank.join(got, "node", "left").select("node", "dangling", ((1 - alpha + alpha * lost) / n + alpha * F.coalesce("got", F.lit(0.0))).alias("rank"), F.col("rank").alias("old"))
         new = stored(new)
         change = new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-        rank = new.drop("old")
+        if last is not None:
+            released(last)
+        rank, last = new.drop("old"), new
         if change < tolerance * n:
             break
     return rank.select("node", "rank")
@@ -83,12 +87,15 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 50, tolerance:
 def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """node, score: power iteration of the undirected adjacency plus identity, unit length."""
     sym = stored(both_ways(undirected(edges)))
-    score = sym.select(F.col("a").alias("node")).distinct().withColumn("score", F.lit(1.0))
+    score, last = sym.select(F.col("a").alias("node")).distinct().withColumn("score", F.lit(1.0)), None
     for _ in range(rounds):
         got = sym.join(score.select(F.col("node").alias("b"), "score"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("score").alias("got"))
-        new = stored(score.join(got, "node", "left").select("node", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("raw"), F.col("score").alias("old")))
-        size = new.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw")))).first()[0] or 1.0
-        new = new.select("node", (F.col("raw") / size).alias("score"), "old")
+        raw = stored(score.join(got, "node", "left").select("node", (F.col("score") + F.coalesce("got", F.lit(0.0))).alias("raw"), F.col("score").alias("old")))
+        if last is not None:
+            released(last)
+        last = raw
+        size = raw.agg(F.sqrt(F.sum(F.col("raw") * F.col("raw")))).first()[0] or 1.0
+        new = raw.select("node", (F.col("raw") / size).alias("score"), "old")
         change = new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] or 0.0
         score = new.drop("old")
         if change < tolerance:
@@ -99,14 +106,15 @@ def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) ->
 def core_numbers(edges: DataFrame) -> DataFrame:
     """node, core: each node takes the H-index of its neighbours' values, from the degrees down, until nothing changes."""
     sym = stored(both_ways(undirected(edges)))
-    value = stored(sym.groupBy("a").agg(F.count("*").alias("core")))
+    value = last = stored(sym.groupBy("a").agg(F.count("*").alias("core")))
     while True:
         near = sym.join(value.select(F.col("a").alias("b"), "core"), "b").groupBy("a", "core").agg(F.count("*").alias("n"))
         above = F.sum("n").over(Window.partitionBy("a").orderBy(F.desc("core")))  # neighbours with at least this value
         h = near.withColumn("h", F.least("core", above)).groupBy("a").agg(F.max("h").alias("new"))
         new = stored(value.join(h, "a").select("a", F.least("core", "new").alias("core"), F.col("core").alias("old")))
         moved = new.where("core != old").limit(1).count()
-        value = new.select("a", "core")
+        released(last)
+        value, last = new.select("a", "core"), new
         if not moved:
             return value.select(F.col("a").alias("node"), "core")
 
@@ -118,14 +126,13 @@ def betweenness(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame
     nodes = out.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     start = (sources.select("node") if sources is not None else nodes).select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(0).alias("level"), F.lit(1.0).alias("paths"))
     levels = [stored(start)]
-    seen = levels[0].select("s", "v")
     while True:
+        seen = reduce(lambda x, y: x.union(y), [x.select("s", "v") for x in levels])  # each level is written once
         step = levels[-1].join(out, F.col("v") == F.col("src")).groupBy("s", "dst").agg(F.sum("paths").alias("paths")).withColumnRenamed("dst", "v")
         nxt = stored(step.join(seen, ["s", "v"], "left_anti").select("s", "v", F.lit(len(levels)).alias("level"), "paths"))
         if not nxt.limit(1).count():
             break
         levels.append(nxt)
-        seen = stored(seen.union(nxt.select("s", "v")))
     depend = levels[-1].select("s", "v", "paths", F.lit(0.0).alias("d"))
     total = depend
     for k in range(len(levels) - 2, -1, -1):

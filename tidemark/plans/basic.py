@@ -285,8 +285,7 @@ EV = "ev AS (SELECT user_id, list(event_id ORDER BY event_id) AS ids FROM trace
 @query("evidence_link", f", {EV}, one AS (SELECT user_id, unnest(ids) * 2 AS evidence_id FROM ev) SELECT o.user_id, o.evidence_id, t.action, t.event_id IS NULL AS unresolved FROM one o LEFT JOIN trace t ON t.event_id = o.evidence_id")
 def evidence_link(spark, d):
     t = social.trace(spark, d)
-    lists = t.groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    one = lists.select("user_id", F.explode("ids").alias("i")).select("user_id", (F.col("i") * 2).alias("evidence_id"))
+    one = t.select("user_id", (F.col("event_id") * 2).alias("evidence_id"))
     return one.join(t.select(F.col("event_id").alias("evidence_id"), "action", F.lit(True).alias("hit")), "evidence_id", "left").select("user_id", "evidence_id", "action", F.col("hit").isNull().alias("unresolved"))
 
 

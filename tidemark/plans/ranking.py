@@ -193,8 +193,8 @@ def trend(spark, d):
 
 @query("rec_random")
 def rec_random(spark, d):
-    """Five posts for each user by hash order, from users of one nation against all posts."""
-    u = social.users(spark, d).where("nation = 3").select("user_id")
+    """Five posts for each user by hash order, of all posts."""
+    u = social.users(spark, d).select("user_id")
     return simjoin.random_per_query(u, social.posts(spark, d).select("post_id"), "user_id", "post_id", 5)
 
 
@@ -376,6 +376,13 @@ def top_indegree(spark, d):
     return social.follows(spark, d).groupBy(F.col("followee_id").alias("user_id")).agg(F.count("*").alias("in_degree")).orderBy(F.desc("in_degree"), "user_id").limit(10)
 
 
+@query("lorentz_maps", ", e AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) / 20) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e) SELECT vec_id, v[1] AS logged, v[1] * tanh(n / 2) / n AS projected FROM n")
+def lorentz_maps(spark, d):
+    """First coordinate of each vector after the exponential and logarithmic map, and of its image in the Poincare ball."""
+    x = table(spark, d, "embeddings").select("vec_id", geo.exp0(geo.scaled(F.slice("embedding", 1, 8), F.lit(0.05))).alias("x"))
+    return x.select("vec_id", F.element_at(geo.log0(F.col("x")), 1).alias("logged"), F.element_at(geo.to_poincare(F.col("x")), 1).alias("projected"))
+
+
 @query("negative_pairs", ", g AS (SELECT id, pow(count(*), 0.75) AS w FROM (SELECT follower_id AS id FROM follows UNION ALL SELECT followee_id FROM follows) GROUP BY 1), r AS (SELECT id, -ln((CAST('0x' || substr(sha256('neg|' || id), 1, 13) AS BIGINT) + 1) / 4503599627370497.0) / greatest(w, 1e-6) AS race FROM g) SELECT id FROM r ORDER BY race, id LIMIT 20")
 def negative_pairs(spark, d):
     g = social.follows(spark, d).select(F.explode(F.array("follower_id", "followee_id")).alias("id")).groupBy("id").agg(F.pow(F.count("*"), F.lit(0.75)).alias("w"))
@@ -441,6 +448,15 @@ def neardup_suppress(spark, d):
     return simjoin.greedy_keep(e.select(F.col("vec_id").alias("id")), conflicts.select("a", "b"))
 
 
+@query("neardup_in_groups")
+def neardup_in_groups(spark, d):
+    """The same within each label: vectors of two labels don't suppress one another."""
+    e = table(spark, d, "embeddings")
+    label = e.select(F.col("vec_id").alias("id"), "label")
+    conflicts = simjoin.cosine_pairs(e, "vec_id", "embedding", 0.3)
+    return simjoin.greedy_keep(label.select("id"), simjoin.within_groups(conflicts, label, "label"))
+
+
 @query("cosine_pairs", NORMED + f" SELECT a.vec_id AS vec_id, {COS.format(a='a.u', b='b.u')} AS cosine FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(spark, d):
     e = table(spark, d, "embeddings")

@@ -16,15 +16,23 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share: ``spark.checkpoint.dir`` when the session has it.
 
-    A session without that setting is a single machine (tests, notebooks); it gets a temporary folder.
+    A session on one machine (tests, notebooks) that lacks the setting gets a temporary folder. On a cluster such a folder would be
+    another one on each machine, so a session there without the setting is refused.
     """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not one_machine(spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(given)
     return given
 
 
+def one_machine(master: str) -> bool:
+    """Whether driver and executors are one process: ``local``, ``local[8]``, not ``local-cluster``."""
+    return master == "local" or master.startswith("local[")
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it again: lineage ends there, so that
     the loss of an executor costs no more than the stage that it was in. The files go when the JVM ends."""

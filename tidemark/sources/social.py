@@ -108,6 +108,13 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def multi_digest(spark: SparkSession, path: str) -> str:
+    """One SHA-256 for all files under ``path``: of the lines ``name digest`` in order of the names behind it, so it neither depends on the order of reading nor on where the folder lies."""
+    files = file_digests(spark, path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "sha256")
+    lines = F.sort_array(F.collect_list(F.concat_ws(" ", "name", "sha256")))  # one entry a file
+    return files.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("digest")).first()["digest"]
+
+
 def write_bundle(frames: dict[str, DataFrame], out: str, mode: str = "errorifexists") -> DataFrame:
     """Writes each frame as Parquet under ``out`` and returns the manifest: table, rows, columns, and an order-free digest."""
     spark, rows = next(iter(frames.values())).sparkSession, []
