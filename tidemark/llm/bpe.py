@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Words, and token pairs, kept in a worker's tables of what is known; a full table is emptied, so memory stays bounded.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 80_000
 
 OUT = "doc_id long, n_tokens int, ids array<int>, decoded string"
 
