@@ -31,7 +31,8 @@ FEATURES = 8
 def lexicon(labelled: DataFrame) -> DataFrame:
     """term, weight: the TERMS terms with the highest log odds of toxic against other rows, each odds lowered by 1.64
     of its standard errors so that rare terms don't lead by chance. A stem (first letters of
-    a longer word) ends in ``*``. Counts are of all labelled rows (``text``, ``toxic``) that have a term."""
+    a longer word) ends in ``*``. Counts are of all labelled rows (``text``, ``toxic``) that have a term; a row given twice counts twice. Ties go by term. Without labelled
+    rows, or without toxic ones, there are no terms."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
     stems = [F.array_distinct(F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, F.lit(1), F.lit(n)), F.lit("*")))) for n in STEMS]
     rows = labelled.where("text is not null and toxic is not null").select(F.explode(F.concat(words, *stems)).alias("term"), "toxic")
@@ -176,7 +177,7 @@ def features(hits: list, size: int, matcher: Matcher) -> np.ndarray:
 
 def train(labelled: DataFrame) -> dict:
     """Lexicon and weights from rows with doc_id, text, toxic (0/1). Counts use all rows; the eight weights are fitted
-    on the FIT_ROWS rows with the smallest hash. Without rows of both kinds every text scores the share of label 1, or 0."""
+    on the rows of the FIT_ROWS smallest hashes of doc_id; rows that share one of these ids all count. Without rows of both kinds every text scores the share of label 1, or 0."""
     rows = labelled.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
     terms = [(r["term"], float(r["weight"])) for r in lexicon(rows).collect()]
     shared = rows.sparkSession.sparkContext.broadcast(terms)
