@@ -169,3 +169,16 @@ def test_modules_equal_least_squares(spark):
     c = abs(np.corrcoef(x[:, :5].T))
     assert means["one", "two"] == pytest.approx(c[:2, 2:4].mean()) and means["one", "one"] == pytest.approx(c[0, 1])
     assert means["one", "three"] == pytest.approx(c[:2, 4].mean() / 2)  # the constant column is like nothing
+
+
+def test_paired_gate(spark):
+    def gate(rows):
+        return evaluation.paired_gate(spark.createDataFrame(rows, "seed int, method string, distortion double, agreement double, loss double"), "a", "b").first()
+
+    good = [(s, m, 1.0 - 0.5 * (m == "b"), 0.5, 0.1 + 0.01 * (m == "b")) for s in range(6) for m in "ab"]
+    one = gate(good)
+    assert (one.pairs, one.better, one.kept, one.tolerable, one.ready) == (6, 6, 6, True, True) and one.mean_reduction == pytest.approx(0.5)
+    assert not gate(good[:8]).ready and gate(good[:8]).pairs == 4
+    assert not gate([*good[:-1], (5, "b", 0.5, 0.5, 0.2)]).ready and gate([*good[:-1], (5, "b", 2.0, 0.5, 0.1)]).ready
+    none = gate(good[:1])
+    assert none.pairs == 0 and none.mean_gain is None and not none.ready

@@ -89,3 +89,10 @@ def test_taxonomy(spark):
 
 def test_empty(spark):
     assert nested.with_canonical(spark.createDataFrame([], SCHEMA), "text").count() == 0
+
+
+def test_profile_quality(spark):
+    good = {"Summary": "word " * 80, "Generated At": "x", "Base": {"a": 1, "b": ["x", "y"], "c": None}, "D": {"e": " ", "f": {}, "g": False}}
+    rows = [(1, json.dumps(good)), (2, json.dumps(good | {"Summary": "short"})), (3, None), (4, "[1, 2]"), (5, json.dumps({"Summary": 5, "A": {"Summary": "inner"}})), (6, "{}")]
+    got = {r.row: (r.leaves, r.words, r.valid) for r in nested.profile_quality(spark.createDataFrame(rows, "row long, json string"), 4).collect()}
+    assert got == {1: (4, 80, True), 2: (4, 1, False), 3: (0, 0, False), 4: (2, 0, False), 5: (1, got[5][1], False), 6: (0, 0, False)}

@@ -58,6 +58,22 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, inverse, strict=True)], "name string, vif double")
 
 
+def paired_gate(rows: DataFrame, base: str, other: str, tolerance: float = 0.02, least: int = 5, share: float = 0.8) -> DataFrame:
+    """One row on the seeds of ``rows`` (seed, method, distortion, agreement, loss) that have both methods: pairs, mean reduction of distortion, mean gain of agreement and mean change of loss
+    from ``base`` to ``other``, better (pairs with less distortion), kept (pairs with no less agreement), tolerable (no loss grew by over ``tolerance``) and ready.
+
+    ready asks for ``least`` pairs, ``share`` of them better and ``share`` kept, rounded up, and tolerable. It is a gate for going on, no proof. Of several rows of a seed
+    and method the smallest values count; without pairs the means are null and nothing is ready.
+    """
+    value = lambda c, m: F.min(F.when(F.col("method") == m, F.col(c)))
+    sides = rows.groupBy("seed").agg(*[value(c, m).alias(f"{c}_{k}") for c in ("distortion", "agreement", "loss") for k, m in (("a", base), ("b", other))], F.count_if(F.col("method") == base).alias("n_a"), F.count_if(F.col("method") == other).alias("n_b"))
+    gain = {"reduction": F.col("distortion_a") - F.col("distortion_b"), "gain": F.col("agreement_b") - F.col("agreement_a"), "change": F.col("loss_b") - F.col("loss_a")}
+    pairs = sides.where("n_a > 0 and n_b > 0").select(*[c.alias(n) for n, c in gain.items()])
+    one = pairs.agg(F.count("*").alias("pairs"), *[F.avg(n).alias(f"mean_{n}") for n in gain], F.count_if(F.col("reduction") > 0).alias("better"), F.count_if(F.col("gain") >= 0).alias("kept"), F.coalesce(F.max("change") <= tolerance, F.lit(False)).alias("tolerable"))
+    need = F.ceil(F.col("pairs") * share)
+    return one.withColumn("ready", (F.col("pairs") >= least) & (F.col("better") >= need) & (F.col("kept") >= need) & F.col("tolerable"))
+
+
 def covariances(df: DataFrame, columns: list[str]):
     """The covariance matrix of the rows without a null in ``columns``, from one aggregate; it has one row a column and comes to the driver."""
     import numpy as np

@@ -104,3 +104,21 @@ def siblings(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     own = nodes.join(asked.select("row", "node"), ["row", "node"], "left_semi").select("row", "node", "parent")
     other = nodes.select(F.col("row").alias("of"), F.col("node").alias("sibling"), F.col("parent").alias("up"))
     return own.join(other, (F.col("row") == F.col("of")) & F.col("parent").eqNullSafe(F.col("up")) & (F.col("node") != F.col("sibling"))).select("row", "node", "sibling")
+
+
+#: Keys of a profile that aren't its content.
+NO_CONTENT = ("Generated At", "Profile Index", "Summary")
+
+
+def profile_quality(profiles: DataFrame, least_leaves: int, least_words: int = 80) -> DataFrame:
+    """row, leaves, words, valid of each profile (row, json): its non-empty leaves outside NO_CONTENT (top level), the words of its Summary, and whether both are enough.
+
+    Null, empty and blank leaves, and empty objects and lists, count as empty; a text that is no JSON object has neither leaves nor words.
+    """
+    found = leaves(profiles.select("row", "json"))
+    filled = ~F.col("value").isin("null", "{}", "[]") & ~F.col("value").rlike(r'^"(\s|\\[nrt])*"$')
+    content = found.where((F.size("path") > 0) & ~F.coalesce(F.get("path", F.lit(0))["key"].isin(*NO_CONTENT), F.lit(False))).groupBy("row").agg(F.count_if(filled).alias("leaves"))
+    summary = F.expr("try_variant_get(try_parse_json(json), '$.Summary', 'string')")
+    words = F.size(F.filter(F.split(F.coalesce(summary, F.lit("")), r"\s+"), lambda w: w != ""))
+    every = profiles.select("row", words.alias("words")).join(content, "row", "left").select("row", F.coalesce("leaves", F.lit(0)).cast("long").alias("leaves"), F.col("words").cast("long").alias("words"))
+    return every.withColumn("valid", (F.col("leaves") >= least_leaves) & (F.col("words") >= least_words))

@@ -76,3 +76,10 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """name, value (as text), n: how often each value of each column occurs, nulls included, in one pass over the table."""
     each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]))
     return df.select(each.alias("x")).groupBy("x.name", "x.value").agg(F.count("*").alias("n"))
+
+
+def padded(curves: DataFrame, key: str, step: str, value: str, length: int) -> DataFrame:
+    """key, step, value for the steps 0 to ``length`` - 1 of every key: its value at the step or else the last one before; null before the first. Later steps are left out."""
+    spine = curves.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias(step))
+    w = Window.partitionBy(key).orderBy(step)
+    return spine.join(curves.select(key, F.col(step).cast("long").alias(step), value), [key, step], "left").select(key, step, F.last(value, ignorenulls=True).over(w).alias(value))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.operators import evaluation as ev
-from tidemark.operators import graph
+from tidemark.operators import graph, nested
 from tidemark.operators import tables as ops
 from tidemark.plans.registry import query
 from tidemark.plans.shared import table
@@ -533,3 +533,32 @@ def plan_summary(spark, d):
 @query("value_counts", "SELECT 'l_returnflag' AS name, l_returnflag AS value, count(*) AS n FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linestatus', l_linestatus, count(*) FROM lineitem GROUP BY 2 UNION ALL SELECT 'l_linenumber', CAST(l_linenumber AS VARCHAR), count(*) FROM lineitem GROUP BY 2", views=False)
 def value_counts(spark, d):
     return ops.value_counts(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"])
+
+
+@query("paired_gate", ", s AS (SELECT user_id % 8 AS seed, action AS method, avg(value) AS distortion, count(*) / 100.0 AS agreement, max(value) / 1000 AS loss FROM trace WHERE action IN ('click', 'view') GROUP BY 1, 2), "
+       "p AS (SELECT a.distortion - b.distortion AS reduction, b.agreement - a.agreement AS gain, b.loss - a.loss AS change FROM s a JOIN s b USING (seed) WHERE a.method = 'click' AND b.method = 'view'), "
+       "o AS (SELECT count(*) AS pairs, avg(reduction) AS mean_reduction, avg(gain) AS mean_gain, avg(change) AS mean_change, count(*) FILTER (reduction > 0) AS better, count(*) FILTER (gain >= 0) AS kept, coalesce(max(change) <= 0.02, false) AS tolerable FROM p) "
+       "SELECT *, pairs >= 5 AND better >= ceil(0.8 * pairs) AND kept >= ceil(0.8 * pairs) AND tolerable AS ready FROM o")
+def paired_gate(spark, d):
+    t = social.trace(spark, d).where("action in ('click', 'view')")
+    rows = t.groupBy((F.col("user_id") % 8).alias("seed"), F.col("action").alias("method")).agg(F.avg("value").alias("distortion"), (F.count("*") / 100.0).alias("agreement"), (F.max("value") / 1000).alias("loss"))
+    return ev.paired_gate(rows, "click", "view")
+
+
+@query("profile_check", "SELECT p_partkey AS row, 4 + CAST(p_size % 2 AS BIGINT) AS leaves, CAST(1 + p_size % 3 AS BIGINT) AS words, p_size % 2 = 1 AND p_size % 3 > 0 AS valid FROM part", views=False)
+def profile_check(spark, d):
+    """Quality of nested profiles made of the parts' columns."""
+    size = F.col("p_size").cast("int")
+    extra = F.when(size % 2 == 1, '"some"').otherwise('" "')
+    summary = F.array_join(F.array_repeat(F.lit("word"), (1 + size % 3).cast("int")), " ")
+    text = F.concat(F.lit('{"Summary": "'), summary, F.lit('", "Generated At": 1, "Base": {"brand": "'), F.col("p_brand"), F.lit('", "size": '), size.cast("string"), F.lit(', "more": ['), extra, F.lit(', "x", {}, null]}, "Other": {"deep": {"er": 5}, "none": ""}}'))
+    return nested.profile_quality(table(spark, d, "part").select(F.col("p_partkey").alias("row"), text.alias("json")), 5, 2)
+
+
+@query("padded_scale", ", f AS (SELECT post_id, user_id, min(step) AS step FROM reactions GROUP BY 1, 2), g AS (SELECT post_id, step, CAST(sum(count(*)) OVER (PARTITION BY post_id ORDER BY step) AS BIGINT) AS scale FROM f GROUP BY 1, 2), spine AS (SELECT post_id, unnest(range(300)) AS step FROM (SELECT DISTINCT post_id FROM g)) "
+       "SELECT s.post_id, s.step, (SELECT max(scale) FROM g WHERE g.post_id = s.post_id AND g.step <= s.step) AS scale FROM spine s")
+def padded_scale(spark, d):
+    """Cumulative scale of each cascade over 300 steps, padded with the last value."""
+    first = social.reactions(spark, d).groupBy("post_id", "user_id").agg(F.min("step").alias("step"))
+    g = first.groupBy("post_id", "step").agg(F.count("*").alias("n")).withColumn("scale", F.sum("n").over(Window.partitionBy("post_id").orderBy("step")))
+    return ops.padded(g, "post_id", "step", "scale", 300)
