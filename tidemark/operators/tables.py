@@ -83,3 +83,33 @@ def padded(curves: DataFrame, key: str, step: str, value: str, length: int) -> D
     spine = curves.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(length - 1).cast("long"))).alias(step))
     w = Window.partitionBy(key).orderBy(step)
     return spine.join(curves.select(key, F.col(step).cast("long").alias(step), value), [key, step], "left").select(key, step, F.last(value, ignorenulls=True).over(w).alias(value))
+
+
+def typed_edges(tables: list[tuple[DataFrame, str, str, str, str]]) -> DataFrame:
+    """src_type, src, relation, dst_type, dst of all edge tables (src, dst) and their inverses. Each entry is a table, the types of its ends, and the names of the
+    relation and its inverse; rows with a null end are left out, repeated edges stay."""
+    out = None
+    for df, src_type, relation, dst_type, inverse in tables:
+        ends = [(src_type, "src", relation, dst_type, "dst"), (dst_type, "dst", inverse, src_type, "src")]
+        each = F.explode(F.array(*[F.struct(F.lit(a).alias("src_type"), F.col(x).cast("long").alias("src"), F.lit(r).alias("relation"), F.lit(b).alias("dst_type"), F.col(y).cast("long").alias("dst")) for a, x, r, b, y in ends]))
+        one = df.where("src is not null and dst is not null").select(each.alias("e")).select("e.*")  # both directions from one scan
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def evidence_rows(tables: list[tuple[DataFrame, str, list[str], str, str | None]]) -> DataFrame:
+    """evidence_id, kind, actor, text of all tables in one form. Each entry is a table, the prefix of its ids, the columns that make an id (joined by ``>``), the actor's column and
+    that of the text, or None; a row without a part of its id is left out."""
+    out = None
+    for df, prefix, ids, actor, text in tables:
+        known = df.dropna(subset=ids)
+        one = known.select(F.concat(F.lit(prefix + ":"), F.concat_ws(">", *ids)).alias("evidence_id"), F.lit(prefix).alias("kind"), F.col(actor).cast("long").alias("actor"), (F.col(text) if text else F.lit(None)).cast("string").alias("text"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def evidence_lists(df: DataFrame, key: str, columns: list[str], separator: str = r"\s*[;|]\s*") -> DataFrame:
+    """key, field, position, value of the text lists in ``columns``: each cell is split at the separator, blank entries are left out, positions count what is left from 1."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.filter(F.transform(F.split(F.coalesce(F.col(c).cast("string"), F.lit("")), separator), lambda x: F.trim(x)), lambda x: x != "").alias("values")) for c in columns]))
+    rows = df.select(key, each.alias("x")).select(key, "x.field", F.posexplode("x.values").alias("position", "value"))
+    return rows.select(key, "field", (F.col("position") + 1).cast("long").alias("position"), "value")

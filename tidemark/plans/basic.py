@@ -405,3 +405,42 @@ def nli_calibration(spark, d):
 def coarse_filter(spark, d):
     """A hundred posts at random, by the order of a seeded digest: the candidates for a costly ranking."""
     return social.posts(spark, d).select("post_id").orderBy(F.md5(F.concat(F.lit("coarse|"), F.col("post_id"))), "post_id").limit(100)
+
+
+REACTED = "SELECT user_id AS src, post_id AS dst FROM reactions WHERE action = '{}' AND post_id IS NOT NULL"
+RELATIONS = [("user", "posts", "post", "authored_by", "SELECT user_id AS src, post_id AS dst FROM posts"), ("user", "follows", "user", "followed_by", "SELECT follower_id AS src, followee_id AS dst FROM follows"), ("user", "likes", "post", "liked_by", REACTED.format("like")), ("user", "comments_on", "post", "commented_by", REACTED.format("comment"))]
+
+
+@query(
+    "typed_graph",
+    ", e AS (" + " UNION ALL ".join(f"SELECT '{a}' AS src_type, src, '{r}' AS relation, '{b}' AS dst_type, dst FROM ({sql}) UNION ALL SELECT '{b}', dst, '{inverse}', '{a}', src FROM ({sql})" for a, r, b, inverse, sql in RELATIONS) + ") SELECT src_type, relation, dst_type, count(*) AS edges, CAST(sum(src * 31 + dst) AS BIGINT) AS mark FROM e GROUP BY 1, 2, 3",
+)
+def typed_graph(spark, d):
+    """Edges of four relations and their inverses, counted with a mark of their ends."""
+    r = social.reactions(spark, d)
+    reacted = lambda action: r.where(F.col("action") == action).select(F.col("user_id").alias("src"), F.col("post_id").alias("dst"))
+    tables = [social.posts(spark, d).select(F.col("user_id").alias("src"), F.col("post_id").alias("dst")), social.follows(spark, d).select(F.col("follower_id").alias("src"), F.col("followee_id").alias("dst")), reacted("like"), reacted("comment")]
+    e = ops.typed_edges([(t, a, relation, b, inverse) for t, (a, relation, b, inverse, _) in zip(tables, RELATIONS, strict=True)])
+    return e.groupBy("src_type", "relation", "dst_type").agg(F.count("*").alias("edges"), F.sum(F.col("src") * 31 + F.col("dst")).alias("mark"))
+
+
+@query(
+    "evidence_all",
+    "SELECT 'trace:' || event_id AS evidence_id, 'trace' AS kind, user_id AS actor, action AS text FROM trace UNION ALL SELECT 'post:' || post_id, 'post', user_id, lang FROM posts UNION ALL SELECT 'follow:' || follower_id || '>' || followee_id, 'follow', follower_id, NULL FROM follows "
+    "UNION ALL SELECT 'comment:' || event_id || '>' || post_id, 'comment', user_id, NULL FROM reactions WHERE action = 'comment' AND post_id IS NOT NULL UNION ALL SELECT 'like:' || user_id || '>' || post_id || '>' || event_id, 'like', user_id, NULL FROM reactions WHERE action = 'like' AND post_id IS NOT NULL UNION ALL SELECT 'user:' || user_id, 'user', user_id, user_name FROM users",
+)
+def evidence_all(spark, d):
+    """Evidence rows of six tables in one form."""
+    r = social.reactions(spark, d)
+    return ops.evidence_rows([
+        (social.trace(spark, d), "trace", ["event_id"], "user_id", "action"), (social.posts(spark, d), "post", ["post_id"], "user_id", "lang"), (social.follows(spark, d), "follow", ["follower_id", "followee_id"], "follower_id", None),
+        (r.where("action = 'comment'"), "comment", ["event_id", "post_id"], "user_id", None), (r.where("action = 'like'"), "like", ["user_id", "post_id", "event_id"], "user_id", None), (social.users(spark, d), "user", ["user_id"], "user_id", "user_name"),
+    ])
+
+
+@query("evidence_from_lists", ", c AS (SELECT c_custkey AS user_id, c_name || ' ; ;' || c_mktsegment AS names, CASE WHEN c_custkey % 3 > 0 THEN c_nationkey || '|x' END AS places FROM customer), u AS (SELECT user_id, 'names' AS field, list_filter(list_transform(string_split_regex(names, '\\s*[;|]\\s*'), lambda x: trim(x)), lambda x: x <> '') AS v FROM c UNION ALL SELECT user_id, 'places', list_filter(string_split_regex(coalesce(places, ''), '\\s*[;|]\\s*'), lambda x: x <> '') FROM c) SELECT user_id, field, unnest(range(1, len(v) + 1)) AS position, unnest(v) AS value FROM u")
+def evidence_from_lists(spark, d):
+    """Entries of text lists in two columns, in order."""
+    c = table(spark, d, "customer")
+    rows = c.select(F.col("c_custkey").alias("user_id"), F.concat("c_name", F.lit(" ; ;"), "c_mktsegment").alias("names"), F.when(F.col("c_custkey") % 3 > 0, F.concat(F.col("c_nationkey").cast("string"), F.lit("|x"))).alias("places"))
+    return ops.evidence_lists(rows, "user_id", ["names", "places"])
