@@ -19,8 +19,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words, and token pairs, kept in a worker's tables of what is known; a full table is emptied, so memory stays bounded.
-CACHE_PIECES = 80_000
+#: Words, and token pairs, kept in a worker's tables of what is known. A full table of pairs is emptied; of words, those not met since the last time
+#: it was half full go, so memory stays bounded and frequent words stay.
+CACHE_PIECES = 200_000
 
 OUT = "doc_id long, n_tokens int, ids array<int>, decoded string"
 
@@ -81,6 +82,7 @@ class Bpe:
         self.offsets = np.concatenate([[0], np.cumsum([len(b) for b in blob])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(blob), np.uint8)
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the joined texts is exactly (left, right), from the merge trees along the seam.
@@ -154,7 +156,6 @@ class Bpe:
         if not text:
             return np.empty(0, np.int32)
         out: list[bytes] = []
-        known = self.known
         parts = self.special.split(text) if self.special and self.special.search(text) else [text]
         for part in parts:
             if part in self.added:
@@ -164,11 +165,11 @@ class Bpe:
                 part = unicodedata.normalize("NFC", part)
             part = self.space.sub(" ", part).replace("Σ", "σ").lower()
             for p in self.piece.findall(part):
-                ids = known.get(p)
+                ids = self.known.get(p)
                 if ids is None:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    ids = known[p] = self.ids_of(p)
+                    if 2 * len(self.known) >= CACHE_PIECES:
+                        self.known, self.before = {}, self.known
+                    ids = self.known[p] = self.before.get(p) or self.ids_of(p)
                 out.append(ids)
         return np.frombuffer(b"".join(out), np.int32)
 
