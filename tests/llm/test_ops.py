@@ -167,6 +167,26 @@ def test_lines_of_a_hot_group(spark):
     assert {r.doc_id: r.text for r in linededup.dedup_lines(docs(spark, rows)).collect()} == brute_lines(rows)
 
 
+@pytest.mark.parametrize("percent", [80, 65])
+def test_lines_filters_in_whole_numbers(spark, percent):
+    """The filters of the joins let pass what the bounds of the similarity let pass, without a division or rounding for each pair."""
+    cases, top = [], 24
+    for n in range(1, top + 1):
+        for at in range(n - -(-n * percent // 100) + 1):
+            cases.append((n, at, (1 << n) - 1))
+    rows = spark.createDataFrame(cases, "n int, at int, bits long").select("*", F.lit(1).alias("key"), linededup.room(percent).alias("room"))
+    pairs = rows.alias("a").join(rows.alias("b"), linededup.plausible(percent, ("bits",)))
+    said = pairs._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].split("\n", 1)[0]
+    assert "FLOOR" not in said and " / " not in said and " div " not in said
+    want = set()
+    for n, at, _ in cases:
+        for m, by, _ in cases:
+            least = -(-percent * (n + m) // (100 + percent))
+            if abs(n - m) <= n + m - 2 * least and min(n - at, m - by) >= least and at + by <= n + m - 2 * least and 100 * min(n, m) >= percent * max(n, m):
+                want.add((n, at, m, by))
+    assert {tuple(r) for r in pairs.select("a.n", "a.at", "b.n", "b.at").collect()} == want
+
+
 def test_toxicity_matches_misspellings_and_quotes(spark):
     m = toxicity.Matcher([("idiot", 3.0), ("worthless", 2.0), ("scum", 2.0), ("lowei*", 1.0)])
     found = lambda t: [(m_[2], m_[3], m_[4]) for m_ in toxicity.hits_of(t, m)]

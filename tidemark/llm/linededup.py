@@ -73,27 +73,28 @@ def on_lists(docs: DataFrame, lists: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(lists) if entries <= LISTS_BROADCAST else lists, ["doc", "text_hash"], how)
 
 
-def overlap(a: Column, b: Column, percent: int) -> Column:
-    """Least number of common words for the similarity, from the two sizes."""
-    return F.floor((percent * (a + b) + (99 + percent)) / (100 + percent))
-
-
 def bitmap(words: str, part: int) -> Column:
     """One of two parts of a parity bitmap of 128 bits: a word flips the bit that its hash names."""
     return F.expr(f"aggregate({words}, 0L, (acc, w) -> if((w & 64) = {64 * part}, acc ^ shiftleft(1L, int(w & 63)), acc))")
 
 
+def room(percent: int) -> Column:
+    """Of a row with ``n`` words, whose prefix word is at place ``at``: the most words of a line that can be similar if this word is the first
+    of the common ones. Of two such sets of a and b words, percent * (a + b) / (100 + percent) are common at least, and n - at at most."""
+    return F.expr(f"int(({100 + percent} * (n - at) - {percent} * n) div {percent})")
+
+
 def plausible(percent: int, maps: tuple[str, ...]) -> Column:
-    """Whether rows a and b of one prefix word can belong to similar lines: length, positional and bitmap filter."""
-    na, nb = F.col("a.n"), F.col("b.n")
-    least = overlap(na, nb, percent)
-    spare = na + nb - 2 * least
+    """Whether rows a and b of one prefix word can belong to similar lines: length, positional and bitmap filter, in whole numbers.
+
+    The ``room`` of both rows holds the first two filters. Bits that differ are even or odd as the sizes' sum is, so their
+    bound needs no rounding."""
+    differ = reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in maps])
     return (
         (F.col("a.key") == F.col("b.key"))
-        & (100 * F.least(na, nb) >= percent * F.greatest(na, nb))
-        & (F.col("a.at") + F.col("b.at") <= spare)
-        & (reduce(add, [F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in maps]) <= spare)
-        & (F.least(na - F.col("a.at"), nb - F.col("b.at")) >= least)
+        & (F.col("a.room") >= F.col("b.n"))
+        & (F.col("b.room") >= F.col("a.n"))
+        & ((100 + percent) * differ <= (100 - percent) * (F.col("a.n") + F.col("b.n")))
     )
 
 
@@ -117,6 +118,7 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ``docs`` has doc, text_hash and text (none null); rows equal in the first two are one text. Equal lines are one from the start, so
     a line that a third of all documents share costs one row a partition; the joins see each distinct line once.
     """
+    texts = docs
     docs = docs.select("doc", "text_hash", once(F.lower("text")).alias("text"))
 
     def lines_of(frame):
@@ -136,14 +138,15 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefix = F.slice("keys", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     rows = sets.select("h", n.alias("n"), once(bits).alias("bits"), prefix.alias("prefix")).select("h", "n", "bits", F.posexplode("prefix").alias("at", "key"))
     # half of the word's hash will do to meet
-    rows = rows.withColumn("key", (F.col("key") % ((1 << 31) - 1)).cast("int"))
+    rows = rows.select("h", "n", "bits", room(percent).alias("room"), (F.col("key") % ((1 << 31) - 1)).cast("int").alias("key"))
     # rows of lines that have a partner before or behind them
     met = stored(rows.alias("a").join(rows.alias("b"), plausible(percent, ("bits",)) & (F.col("a.h") != F.col("b.h")), "left_semi"))
 
     lines = stored(met.select("h").distinct())
     wanted = marked.where("not repeat").join(bounded(lines), F.col("h1") == F.col("h")).groupBy("doc", "text_hash").agg(F.collect_list("line").alias("listed"))
     wanted = stored(wanted)
-    full = lines_of(on_lists(docs, wanted, "inner")).where(F.array_contains("listed", F.col("line"))).select("doc", "text_hash", "line", norm)
+    held = on_lists(texts, wanted, "inner").select("doc", "text_hash", "listed", once(F.lower("text")).alias("text"))
+    full = lines_of(held).where(F.array_contains("listed", F.col("line"))).select("doc", "text_hash", "line", norm)
     # with wider bitmaps, so that few texts have to move
     hashed = once(hashed_words(F.col("norm"))).alias("words")
     full = full.select("doc", "text_hash", "line", "norm", hashed).select(F.xxhash64("norm").alias("h"), "doc", "text_hash", "line", "norm", once(F.array_distinct("words")).alias("words"))
@@ -169,10 +172,10 @@ def similar_lines(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return found
 
     # the first prefix word that met another line settles most lines; the rest try their other words
-    firsts = stored(tried.groupBy("h").agg(F.min("at").alias("least")))
+    firsts = stored(tried.groupBy("h").agg(F.max("room").alias("most")))
     ordered = stored(tried.join(bounded(firsts), "h"))
-    first = decided(ordered.where("at = least").drop("least"))
-    second = decided(ordered.where("at > least").drop("least").join(bounded(first.select("h")), "h", "left_anti"))
+    first = decided(ordered.where("room = most").drop("most"))
+    second = decided(ordered.where("room < most").drop("most").join(bounded(first.select("h")), "h", "left_anti"))
     gone = stored(marked.where("repeat").select("doc", "text_hash", "line").unionByName(first.unionByName(second).drop("h")).distinct())
     released(marked, full, placed, tried, firsts, ordered, first, second)
     return gone
