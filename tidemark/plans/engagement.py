@@ -255,11 +255,8 @@ SELECT cascade, "at", size, depth, breadth, virality FROM shape LEFT JOIN mean U
 @query("cascade_times", WITH_ROOTS + MOMENTS, views=False)
 def cascade_times(spark, d):
     """Size, depth, breadth and virality of every repost cascade at each of its moments; a post whose original isn't there yet isn't reached."""
-    p = social.posts(spark, d).select("post_id", "original_post_id", F.col("step").alias("time"))
-    in_tree = p.join(roots(spark, d).select("post_id", F.col("root").alias("cascade")), "post_id")
-    nodes = in_tree.select("cascade", F.col("post_id").alias("node"), "time", F.col("original_post_id").isNull().alias("is_root"))
-    edges = in_tree.where("original_post_id is not null").select("cascade", F.col("original_post_id").alias("src"), F.col("post_id").alias("dst"))
-    return cascade.over_time(nodes, edges)
+    p = social.posts(spark, d).select(F.col("post_id").alias("node"), F.col("original_post_id").alias("parent"), F.col("step").alias("time"))
+    return cascade.trees_over_time(p)
 
 
 @query("isolates", "SELECT user_id FROM users WHERE user_id NOT IN (SELECT follower_id FROM follows UNION SELECT followee_id FROM follows)")
