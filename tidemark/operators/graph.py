@@ -150,42 +150,63 @@ def modularity(pairs: DataFrame, label: DataFrame) -> float:
     return c.agg(F.sum(F.col("inside") / m - F.pow(F.col("total") / (2 * m), 2))).first()[0] or 0.0
 
 
+def moves(sym: DataFrame, label: DataFrame, two_m: float) -> DataFrame:
+    """Of label (node, community, k): node, community, k, inside (weight of the node's edges into its community), to (the community with the largest gain, ties to its own and
+    then to the smaller name). Edges (a, b, w, both ways) are dealt out twice: to the label of b, and with it to a."""
+    tot = label.groupBy("community").agg(F.sum("k").alias("tot"))
+    own = label.join(tot, "community").select("node", "community", "k", "tot")
+    sent = sym.join(own.select(F.col("node").alias("b"), F.col("community").alias("near"), F.col("tot").alias("near_tot")), "b").select("a", "near", "near_tot", "w")
+    near = sent.repartition("a").groupBy("a", "near").agg(F.first("near_tot").alias("near_tot"), F.sum("w").alias("w")).withColumnRenamed("a", "node")
+    gain = lambda w, tot, mine: F.round(w - F.col("k") * (tot - F.when(mine, F.col("k")).otherwise(0.0)) / two_m, 9)
+    mine = F.col("near") == F.col("community")
+    best = F.max(F.when(F.col("near").isNotNull(), F.struct(gain(F.col("w"), F.col("near_tot"), mine).alias("gain"), mine.cast("int").alias("mine"), (-F.col("near")).alias("name"))))
+    top = own.join(near, "node", "left").groupBy("node", "community", "k", "tot").agg(best.alias("best"), F.coalesce(F.max(F.when(mine, F.col("w"))), F.lit(0.0)).alias("inside"))
+    stay = F.struct(gain(F.lit(0.0), F.col("tot"), F.lit(True)).alias("gain"), F.lit(1).alias("mine"), (-F.col("community")).alias("name"))
+    return top.select("node", "community", "k", "inside", F.when(F.col("best") > stay, -F.col("best.name")).otherwise(F.col("community")).alias("to"))
+
+
 def communities(edges: DataFrame, rounds: int = 8, levels: int = 4) -> DataFrame:
     """node, community by modularity: nodes of one parity (changing each round) move to the neighbouring community with
     the largest gain, ties to the smaller name; a round that doesn't raise modularity is taken back and ends the
-    level; communities then become nodes. Names are the smallest member. Isolates aren't in the edge table."""
+    level; communities then become nodes. Names are the smallest member. Isolates aren't in the edge table.
+
+    A round reads the edges once: the next moves and the modularity of the labels come from the same sums."""
     pairs = stored(undirected(edges).withColumn("w", F.lit(1.0)))
     whole = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("community")))
     for _ in range(levels):
-        label = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("community")))
         sym = stored(pairs.where("a != b").select("a", "b", "w").union(pairs.where("a != b").select("b", "a", "w")))
-        k = stored(pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "w"), F.struct(F.col("b").alias("node"), "w"))).alias("x")).groupBy("x.node").agg(F.sum("x.w").alias("k")))
-        two_m = k.agg(F.sum("k")).first()[0] or 1.0
-        best, still = modularity(pairs, label), 0
+        k = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "w"), F.struct(F.col("b").alias("node"), "w"))).alias("x")).groupBy("x.node").agg(F.sum("x.w").alias("k"))
+        m, loops = pairs.agg(F.sum("w"), F.sum(F.when(F.col("a") == F.col("b"), F.col("w")))).first()
+        m, loops = m or 1.0, loops or 0.0
+
+        def weighed(label, sym=sym, m=m, loops=loops):
+            found = stored(moves(sym, label, 2 * m))
+            inside, squares = found.groupBy("community").agg(F.sum("inside").alias("inside"), F.sum("k").alias("tot")).agg(F.sum("inside"), F.sum(F.pow(F.col("tot") / (2 * m), 2))).first()
+            return found, (loops + (inside or 0.0) / 2) / m - (squares or 0.0)
+
+        (now, best), still = weighed(k.select("node", F.col("node").alias("community"), "k")), 0
         started = best
         for r in range(rounds):
-            tot = label.join(k, "node").groupBy("community").agg(F.sum("k").alias("tot"))
-            near = sym.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy(F.col("a").alias("node"), "community").agg(F.sum("w").alias("w"))
-            near = near.unionByName(label.withColumn("w", F.lit(0.0))).groupBy("node", "community").agg(F.sum("w").alias("w"))
-            own = label.select("node", F.col("community").alias("own"))
-            gain = near.join(tot, "community").join(k, "node").join(own, "node").withColumn("gain", F.round(F.col("w") - F.col("k") * (F.col("tot") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)) / two_m, 9))
-            top = gain.groupBy("node").agg(F.max_by("community", F.struct("gain", (F.col("community") == F.col("own")).cast("int"), -F.col("community"))).alias("to"))
             gate = F.pmod(F.xxhash64("node", F.lit(r // 2)) + r, F.lit(2)) == 0
-            new = stored(label.join(top, "node", "left").select("node", F.when(gate, F.coalesce("to", "community")).otherwise(F.col("community")).alias("community")))
-            q = modularity(pairs, new)
+            new, q = weighed(now.select("node", F.when(gate, F.col("to")).otherwise(F.col("community")).alias("community"), "k"))
             if q > best + 1e-9:
-                label, best, still = new, q, 0
+                released(now)
+                now, best, still = new, q, 0
             else:
+                released(new)
                 still += 1
                 if still == 2:
                     break
+        released(sym)
         if best <= started + 1e-9:
             break
-        named = label.join(label.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", F.col("name").alias("community"))
+        named = now.join(now.groupBy("community").agg(F.min("node").alias("name")), "community").select("node", F.col("name").alias("community"))
         named = stored(named)
-        whole = stored(whole.withColumnRenamed("community", "mid").join(named.select(F.col("node").alias("mid"), "community"), "mid").select("node", "community"))
+        joined = stored(whole.withColumnRenamed("community", "mid").join(named.select(F.col("node").alias("mid"), "community"), "mid").select("node", "community"))
         a, b = named.select(F.col("node").alias("a"), F.col("community").alias("ca")), named.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        pairs = stored(pairs.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        folded = stored(pairs.join(a, "a").join(b, "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")))
+        released(now, named, whole, pairs)
+        whole, pairs = joined, folded
     return whole
 
 
